@@ -27,6 +27,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestar.llm.common import ship_package
+
 #: White space as Unicode defines it (Python's own classes add U+001C to U+001F).
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Entries of each memo table before it is emptied.
@@ -254,6 +256,7 @@ def encode_documents(df: DataFrame, ranks_file: bytes, pattern: str, id_col: str
     """
     if len(ranks_file) > 64 << 20:
         raise ValueError("a rank file of more than 64 MB is not broadcast")
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(ranks_file)
     kind = df.schema[id_col].dataType.simpleString()
 
