@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import byte_bpe, chat, embedding_dedup, main_text, mixing, near_duplicates, secrets, simhash
+from lodestar.llm import byte_bpe, chat, embedding_dedup, lattice_lm, main_text, mixing, near_duplicates, secrets, simhash
 from lodestar.llm.common import read_table, text_of
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    held_out = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 5 == 1
+    return lattice_lm.score_documents(read_table(spark, sf_dir, "documents"), model, held_out)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -81,6 +90,6 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op3_byte_bpe, op5_near_duplicates, op6_embedding_dedup, op7_fingerprints, op8_secret_scan, op9_chat, op10_main_text)
+    f.__name__: f for f in (op1_lattice_lm, op2_mixing, op3_byte_bpe, op5_near_duplicates, op6_embedding_dedup, op7_fingerprints, op8_secret_scan, op9_chat, op10_main_text)
 }
 ORACLE_SQL: dict[str, str] = {}
