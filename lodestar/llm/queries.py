@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import byte_bpe, chat, embedding_dedup, lattice_lm, main_text, mixing, near_duplicates, secrets, simhash
+from lodestar.llm import byte_bpe, chat, embedding_dedup, importance, lattice_lm, main_text, mixing, near_duplicates, secrets, simhash
 from lodestar.llm.common import read_table, text_of
 
 
@@ -32,6 +32,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.classify(docs, read_table(spark, sf_dir, "labels")).drop("text")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,6 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lattice_lm, op2_mixing, op3_byte_bpe, op5_near_duplicates, op6_embedding_dedup, op7_fingerprints, op8_secret_scan, op9_chat, op10_main_text)
+    f.__name__: f for f in (op1_lattice_lm, op2_mixing, op3_byte_bpe, op4_quality, op5_near_duplicates, op6_embedding_dedup, op7_fingerprints, op8_secret_scan, op9_chat, op10_main_text)
 }
 ORACLE_SQL: dict[str, str] = {}
