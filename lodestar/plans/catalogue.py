@@ -4,7 +4,570 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestar.functions import text as T
+from lodestar.functions import udfs
+from lodestar.operators import corpus as C
+from lodestar.operators import evaluation as E
+from lodestar.operators import knowledge as K
+from lodestar.operators import search as S
+from lodestar.operators.components import connected_components
+from lodestar.sources.tables import kg_edges, kg_nodes, table
+from lodestar.streaming import logs as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- pieces of the DuckDB texts
+WS = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+LIST = lambda words: "[" + ",".join(f"'{w}'" for w in words) + "]"
+TOK = rf"list_filter(regexp_extract_all(translate(lower({{}}),'’',chr(39)), '{T.SEARCH_TOKEN.replace(chr(39), chr(39) * 2)}'), lambda t: NOT list_contains({LIST(T.STOP)}, t))"
+tok = TOK.format
+WORDS = rf"list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({LIST(T.FUNCTION_WORDS)}, w))"
+STEM = "CASE " + " ".join(f"WHEN ends_with({{0}},'{e}') AND length({{0}}) >= {len(e) + 3} THEN left({{0}}, length({{0}})-{len(e)})" for e in ("ing", "ed", "es", "s", "e")) + " ELSE {0} END"
+content = lambda x: f"list_sort(list_distinct(list_transform({WORDS.format(x)}, lambda w: {STEM.format('w')})))"
+KG = """kg_edges AS (SELECT 'cust:'||o_custkey AS src, CASE l_returnflag WHEN 'A' THEN 'RESOLVED_BY' WHEN 'N' THEN 'CAUSED_BY' ELSE 'EXHIBITS' END AS rel,
+ 'part:'||l_partkey AS dst, round(1-l_discount,3) AS conf, l_orderkey||':'||l_linenumber||':0' AS chunk, strftime(l_shipdate,'%Y-%m-%d') AS ts, 'supp'||(l_suppkey%4) AS model
+ FROM lineitem JOIN orders ON l_orderkey=o_orderkey {0})"""
+KG_ALL, KG_THIN = KG.format(""), KG.format("WHERE l_returnflag='R' AND l_quantity>45")
+NODES = """kg_nodes AS (SELECT 'cust:'||c_custkey AS node_id,'Symptom' AS label,c_name AS text FROM customer UNION ALL SELECT 'part:'||p_partkey,'Fix',p_name FROM part
+ UNION ALL SELECT 'supp:'||s_suppkey,'Cause',s_name FROM supplier UNION ALL SELECT 'nation:'||n_nationkey,'Component',n_name FROM nation UNION ALL SELECT 'region:'||r_regionkey,'ProductFamily',r_name FROM region)"""
+EID = "left(sha1(src||'|'||rel||'|'||dst),16)"
+MERGED = f"""merged AS (SELECT {EID} AS edge_id, src, rel, dst, list_sort(list_distinct(list(chunk))) AS chunks, round(max(conf),3) AS conf, min(ts) AS first_ts,
+ array_to_string(list_sort(list_distinct(list(model))),',') AS models, count(*) AS n_support FROM kg_edges GROUP BY src,rel,dst)"""
+RELW = "CASE rel " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.RELATION_WEIGHT.items()) + " ELSE 0.5 END"
+ADJ = f"""adj AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, {RELW}*greatest(conf,0.1) AS w FROM kg_edges WHERE src<>dst UNION ALL SELECT dst, src, {RELW}*greatest(conf,0.1) FROM kg_edges WHERE src<>dst) GROUP BY src,dst)"""
+BM = f"""dt AS (SELECT doc_id AS doc, {tok("text")} AS t FROM documents), post AS (SELECT doc, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc, len(t) AS dl, unnest(t) AS term FROM dt) GROUP BY doc, term),
+ st AS (SELECT count(*) AS n_docs, coalesce(avg(len(t)),1.0) AS avgdl FROM dt), idf AS (SELECT term, count(*) AS df, ln(1+(any_value(n_docs)-count(*)+0.5)/(count(*)+0.5)) AS idf FROM post, st GROUP BY term),
+ qt AS (SELECT item_id AS qid, unnest(list_distinct({tok("text")})) AS term FROM benchmark),
+ bms AS (SELECT qid, doc, sum(tf*2.2/(tf+1.2*(0.25+0.75*dl/avgdl))*idf) AS score FROM post JOIN qt USING(term) JOIN idf USING(term), st GROUP BY qid, doc),
+ bm AS (SELECT qid, doc, score, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score,9) DESC, doc) AS rk FROM bms) WHERE rk<=50)"""
+LEX = f"""lexs AS (SELECT qid, doc, len(list_intersect(q, t))/greatest(len(q),1) AS score FROM (SELECT item_id AS qid, list_distinct({tok("text")}) AS q FROM benchmark), (SELECT doc_id AS doc, list_distinct({tok("text")}) AS t FROM documents)),
+ lex AS (SELECT qid, doc, score, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score,9) DESC, doc) AS rk FROM lexs WHERE score>0) WHERE rk<=50)"""
+RRF = "rrf AS (SELECT qid, doc, score, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score,9) DESC, doc) AS rk FROM (SELECT qid, doc, sum(1.0/(60+rk)) AS score FROM (SELECT qid,doc,rk FROM bm UNION ALL SELECT qid,doc,rk FROM lex) GROUP BY qid,doc)) WHERE rk<=30)"
+GOLD = "gold AS (SELECT item_id AS qid, doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+def _docs(s, d):
+    return table(s, d, "documents")
+
+
+def _q(s, d):
+    return table(s, d, "benchmark")
+
+
+# ---- text
+@query(rf"SELECT doc_id, regexp_replace(trim(regexp_replace(text, '{WS}+', ' ', 'g')), ' ([.,;:!?)\]])', '\1', 'g') AS cleaned FROM documents")
+def txt_clean(s, d):
+    return _docs(s, d).select("doc_id", T.clean(F.col("text")).alias("cleaned"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n_tokens FROM documents")
+def txt_count_tokens(s, d):
+    return _docs(s, d).select("doc_id", T.count_tokens(F.col("text")).cast("long").alias("n_tokens"))
+
+
+@query(f"SELECT doc_id, len(t) AS n_tokens, array_to_string(t,' ') AS tokens FROM (SELECT doc_id, {tok('text')} AS t FROM documents)")
+def txt_bm25_tokens(s, d):
+    t = T.search_tokens(F.col("text"))
+    return _docs(s, d).select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+@query()
+def txt_term_id(s, d):
+    t = _docs(s, d).select(F.explode(T.search_tokens(F.col("text"))).alias("term")).distinct()
+    return t.select("term", T.term_id(F.col("term")).alias("id"))
+
+
+@query("SELECT p_partkey, slug, 'Fix:'||slug||':'||left(sha1('Fix|'||p_name),6) AS node_id FROM (SELECT *, coalesce(nullif(left(regexp_replace(regexp_replace(lower(p_name),'[^a-z0-9]+','-','g'),'^-+|-+$','','g'),60),''),'x') AS slug FROM part)")
+def txt_slug_node_id(s, d):
+    return table(s, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"), T.node_id(F.lit("Fix"), F.col("p_name")).alias("node_id"))
+
+
+@query(f"WITH {KG_ALL} SELECT chunk, {EID} AS edge_id FROM kg_edges")
+def txt_edge_id(s, d):
+    return kg_edges(s, d).select("chunk", T.edge_id(F.col("src"), F.col("rel"), F.col("dst")).alias("edge_id"))
+
+
+@query(f"WITH {KG_ALL} SELECT split_part(chunk,':',1) AS article, count(*) AS n FROM kg_edges GROUP BY 1")
+def txt_article_of(s, d):
+    return kg_edges(s, d).groupBy(T.article_of(F.col("chunk")).alias("article")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT item_id, array_to_string({content('text')},' ') AS words FROM benchmark")
+def txt_content_words(s, d):
+    return _q(s, d).select("item_id", F.array_join(T.content_words(F.col("text")), " ").alias("words"))
+
+
+@query(f"WITH {GOLD} SELECT qid, doc, round(CASE WHEN len(a)>0 THEN len(list_intersect(a,q))/len(a) ELSE 0.0 END,6) AS leak FROM (SELECT g.qid, g.doc, {content('b.text')} AS q, {content('d.text')} AS a FROM gold g JOIN benchmark b ON b.item_id=g.qid JOIN documents d ON d.doc_id=g.doc)")
+def txt_leak_overlap(s, d):
+    g = _gold(s, d).join(_q(s, d).select(F.col("item_id").alias("qid"), T.content_words(F.col("text")).alias("q")), "qid").join(_docs(s, d).select(F.col("doc_id").alias("doc"), T.content_words(F.col("text")).alias("a")), "doc")
+    return g.select("qid", "doc", F.round(T.overlap_share(F.col("a"), F.col("q")), 6).alias("leak"))
+
+
+@query(r"SELECT o_orderkey, strftime(o_orderdate,'%Y-%m-%d') AS iso FROM orders")
+def txt_dates(s, d):
+    shown = F.date_format("o_orderdate", "MMMM d, yyyy")
+    return table(s, d, "orders").select("o_orderkey", T.parse_date(shown).alias("iso"))
+
+
+ALIASES = {"article": ["the", "der", "la"], "of": ["of", "de"], "that": ["que", "that"]}
+
+
+@query(r"SELECT doc_id, array_to_string(list_filter([" + ",".join(f"CASE WHEN regexp_matches(text, '(?i)(^|[^\\w-])({'|'.join(v)})($|[^\\w-])') THEN '{k}' END" for k, v in ALIASES.items()) + "], lambda x: x IS NOT NULL),',') AS names FROM documents WHERE lang='en'")
+def txt_alias_mentions(s, d):
+    return _docs(s, d).where("lang = 'en'").select("doc_id", F.array_join(T.alias_mentions(F.col("text"), ALIASES), ",").alias("names"))
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '(?i)\b(if|when|unless)\b') AS conditional, len(regexp_extract_all(lower(text), '\bwhen\b')) AS n_when FROM documents WHERE lang='en'")
+def txt_conditional_sentences(s, d):
+    x = _docs(s, d).where("lang = 'en'")
+    return x.select("doc_id", T.is_conditional(F.col("text")).alias("conditional"), F.regexp_count(F.lower("text"), F.lit(r"\bwhen\b")).cast("long").alias("n_when"))
+
+
+@query()
+def txt_partial_ratio(s, d):
+    g = _gold(s, d).join(_q(s, d).select(F.col("item_id").alias("qid"), F.col("text").alias("q")), "qid").join(_docs(s, d).select(F.col("doc_id").alias("doc"), "text"), "doc")
+    return g.select("qid", "doc", udfs.partial_ratio(T.normalize(udfs.nfkc("q")), T.normalize(udfs.nfkc("text"))).alias("ratio"))
+
+
+# ---- sources
+@query("SELECT user_id, event_id, event_type, round(value,6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r=1")
+def src_latest_record(s, d):
+    return L.latest(table(s, d, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@query(r"SELECT o_orderpriority, sha256(string_agg(o_orderkey::VARCHAR, chr(10) ORDER BY o_orderkey::VARCHAR)) AS freeze FROM orders GROUP BY 1")
+def src_freeze_hash(s, d):
+    k = F.array_sort(F.collect_list(F.col("o_orderkey").cast("string")))
+    return table(s, d, "orders").groupBy("o_orderpriority").agg(F.sha2(F.encode(F.array_join(k, "\n"), "UTF-8"), 256).alias("freeze"))
+
+
+@query("SELECT sha256(role||'|'||text) AS cache_key, count(*) AS n FROM conversations GROUP BY 1")
+def src_cache_keys(s, d):
+    k = F.sha2(F.encode(F.concat_ws("|", "role", "text"), "UTF-8"), 256)
+    return table(s, d, "conversations").groupBy(k.alias("cache_key")).agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT page_id, nullif(regexp_extract(url, '/([0-9]+)(?:\.html)?(?:[?#].*)?$', 1),'') AS article FROM pages")
+def src_page_ids(s, d):
+    return table(s, d, "pages").select("page_id", F.nullif(F.regexp_extract("url", r"/([0-9]+)(?:\.html)?(?:[?#].*)?$", 1), F.lit("")).alias("article"))
+
+
+# ---- documents
+@query(r"""SELECT page_id, replace(regexp_extract(html,'(?s)<title>(.*?)</title>',1),'&amp;','&') AS title, len(regexp_extract_all(html,'<p>')) AS n_paragraphs FROM pages""")
+def doc_title_paragraphs(s, d):
+    return C.page_parts(table(s, d, "pages")).select("page_id", "title", "n_paragraphs")
+
+
+@query(r"""SELECT page_id, unnest(list_distinct(regexp_extract_all(html,'href="([^"]*)"',1))) AS href FROM pages""")
+def doc_links(s, d):
+    return C.page_parts(table(s, d, "pages")).select("page_id", F.explode(F.array_distinct("links")).alias("href"))
+
+
+@query("SELECT doc, pos, start, start+length(unit) AS \"end\" FROM (SELECT doc, pos, unit, coalesce(sum(length(unit)+1) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::BIGINT AS start FROM (SELECT doc_id AS doc, unnest(u) AS unit, unnest(range(len(u)))::INT AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS u FROM documents)))")
+def doc_offsets(s, d):
+    return C.units(_docs(s, d)).select("doc", "pos", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query()
+def doc_chunks(s, d):
+    return C.chunks(_docs(s, d))
+
+
+@query()
+def doc_budget(s, d):
+    x = F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("id"), F.col("n_chars").alias("n"), (F.col("doc_id") % 50 == 0).alias("must"))), lambda a, b: F.when(a["must"] != b["must"], F.when(a["must"], -1).otherwise(1)).otherwise(F.when(a["id"] < b["id"], -1).otherwise(1)))
+    return _docs(s, d).groupBy("source").agg(x.alias("x")).select("source", F.explode(C.budget_fold(F.col("x"), 20_000)).alias("doc_id"))
+
+
+# ---- graph
+@query(f"WITH {KG_ALL}, {MERGED} SELECT edge_id, src, rel, dst, array_to_string(chunks,',') AS chunks, conf, first_ts, models, n_support FROM merged")
+def kg_edge_merge(s, d):
+    return K.merge_edges(kg_edges(s, d)).withColumn("chunks", F.array_join("chunks", ","))
+
+
+@query(f"WITH {KG_ALL} SELECT dst, model, n FROM (SELECT dst, model, n, row_number() OVER (PARTITION BY dst ORDER BY n DESC, seen) AS r FROM (SELECT dst, model, count(*) AS n, min(chunk) AS seen FROM kg_edges GROUP BY dst, model)) WHERE r=1")
+def kg_surface_mode(s, d):
+    return K.surface_mode(kg_edges(s, d), "dst", "model", "chunk")
+
+
+@query(f"WITH {KG_ALL} SELECT DISTINCT node, chunk FROM (SELECT src AS node, chunk FROM kg_edges UNION ALL SELECT dst, chunk FROM kg_edges)")
+def kg_mentions(s, d):
+    e = kg_edges(s, d)
+    return e.select(F.col("src").alias("node"), "chunk").unionAll(e.select("dst", "chunk")).distinct()
+
+
+@query(f"WITH {KG_ALL}, {MERGED}, v AS (SELECT {EID} AS edge_id, list_sort(list_distinct(list(chunk))) AS chunks FROM kg_edges WHERE conf>=0.95 GROUP BY src,rel,dst) SELECT edge_id, src, dst, array_to_string(v.chunks,',') AS chunks FROM merged JOIN v USING(edge_id)")
+def kg_verified(s, d):
+    e = kg_edges(s, d)
+    verdicts = e.select(T.edge_id(F.col("src"), F.col("rel"), F.col("dst")).alias("edge_id"), "chunk", (F.col("conf") >= 0.95).alias("supported"))
+    return K.verified_edges(K.merge_edges(e), verdicts).select("edge_id", "src", "dst", F.array_join("chunks", ",").alias("chunks"))
+
+
+TEMPLATES = {"RESOLVED_BY": "{h} is fixed by {t}", "CAUSED_BY": "{h} comes from {t}", "EXHIBITS": "{h} shows {t}"}
+
+
+@query(f"WITH {KG_ALL} SELECT chunk, replace(replace(CASE rel " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TEMPLATES.items()) + " END,'{h}',src),'{t}',dst) AS claim, floor((row_number() OVER (PARTITION BY split_part(chunk,':',1) ORDER BY chunk, dst)-1)/12)::BIGINT AS batch FROM kg_edges")
+def kg_claims(s, d):
+    t = F.element_at(F.create_map(*[F.lit(x) for kv in TEMPLATES.items() for x in kv]), F.col("rel"))
+    w = Window.partitionBy(T.article_of(F.col("chunk"))).orderBy("chunk", "dst")
+    return kg_edges(s, d).select("chunk", F.replace(F.replace(t, F.lit("{h}"), F.col("src")), F.lit("{t}"), F.col("dst")).alias("claim"), F.floor((F.row_number().over(w) - 1) / 12).alias("batch"))
+
+
+@query(f"WITH {KG_ALL} SELECT rel, count(*) AS n, count(DISTINCT src) AS heads, count(DISTINCT dst) AS tails FROM kg_edges WHERE rel IN ('RESOLVED_BY','CAUSED_BY') GROUP BY rel")
+def kg_relation_allowed(s, d):
+    allowed = s.createDataFrame([("RESOLVED_BY", "cust", "part"), ("CAUSED_BY", "cust", "part"), ("RUNS", "part", "cust")], "rel string, head string, tail string")
+    e = kg_edges(s, d).withColumn("head", F.split_part("src", F.lit(":"), F.lit(1))).withColumn("tail", F.split_part("dst", F.lit(":"), F.lit(1)))
+    return e.join(F.broadcast(allowed), ["rel", "head", "tail"], "left_semi").groupBy("rel").agg(F.count("*").alias("n"), F.countDistinct("src").alias("heads"), F.countDistinct("dst").alias("tails"))
+
+
+@query(f"WITH {KG_ALL}, {NODES}, deg AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM kg_edges UNION ALL SELECT dst FROM kg_edges) GROUP BY node) SELECT label, count(*) AS n, round(avg(coalesce(d,0)),6) AS mean_degree, quantile_cont(coalesce(d,0),0.5) AS median_degree, max(coalesce(d,0)) AS max_degree, round(100*avg(CASE WHEN d IS NULL THEN 1 ELSE 0 END),6) AS isolated_pct FROM kg_nodes LEFT JOIN deg ON node=node_id GROUP BY label")
+def kg_degree_by_label(s, d):
+    return K.degree_by_label(kg_nodes(s, d), kg_edges(s, d))
+
+
+@query(f"WITH {KG_ALL} SELECT rel, model, count(*) AS n, round(avg(conf),6) AS mean_conf FROM kg_edges GROUP BY GROUPING SETS ((rel),(rel,model),())")
+def kg_counts(s, d):
+    return kg_edges(s, d).groupingSets([[F.col("rel")], [F.col("rel"), F.col("model")], []], F.col("rel"), F.col("model")).agg(F.count("*").alias("n"), F.round(F.avg("conf"), 6).alias("mean_conf"))
+
+
+@query(f"WITH {KG_ALL}, {NODES} SELECT round(100*avg(CASE WHEN node_id IN (SELECT src FROM kg_edges WHERE rel='RESOLVED_BY') THEN 1 ELSE 0 END),6) AS fix_pct, count(*) AS n FROM kg_nodes WHERE label='Symptom'")
+def kg_fix_pct(s, d):
+    fixed = kg_edges(s, d).where("rel = 'RESOLVED_BY'").select(F.col("src").alias("node_id"), F.lit(1).alias("fixed")).distinct()
+    return kg_nodes(s, d).where("label = 'Symptom'").join(fixed, "node_id", "left").agg(F.round(100 * F.avg(F.coalesce("fixed", F.lit(0))), 6).alias("fix_pct"), F.count("*").alias("n"))
+
+
+@query(f"WITH RECURSIVE {KG_THIN}, b AS (SELECT src, dst FROM kg_edges UNION SELECT dst, src FROM kg_edges), r AS (SELECT src AS node, src AS c FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON b.src=r.node) SELECT node, min(c) AS component FROM r GROUP BY node")
+def kg_components(s, d):
+    return connected_components(kg_edges(s, d, thin=True))
+
+
+@query(f"WITH {KG_THIN} SELECT src, dst, r FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY max(conf) DESC, dst) AS r FROM kg_edges GROUP BY src, dst) WHERE r<=3")
+def gen_single_hop(s, d):
+    e = kg_edges(s, d, thin=True).groupBy("src", "dst").agg(F.max("conf").alias("c"))
+    return e.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy(F.col("c").desc(), "dst")).alias("r")).where("r <= 3")
+
+
+@query(f"WITH {KG_THIN}, p AS (SELECT DISTINCT src, dst FROM kg_edges), rare AS (SELECT dst FROM p GROUP BY dst HAVING count(*) BETWEEN 2 AND 3) SELECT x.src AS a, y.src AS b, x.dst AS via FROM p x JOIN p y ON x.dst=y.dst AND x.src<y.src WHERE x.dst IN (SELECT dst FROM rare)")
+def gen_multi_constraint(s, d):
+    return K.multi_constraint(kg_edges(s, d, thin=True))
+
+
+@query(f"WITH {KG_THIN} SELECT e.src, p_brand, count(*) AS n FROM kg_edges e JOIN part ON 'part:'||p_partkey=e.dst JOIN customer ON 'cust:'||c_custkey=e.src WHERE c_mktsegment='BUILDING' GROUP BY 1,2")
+def gen_cross(s, d):
+    p = table(s, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("dst"), "p_brand")
+    c = table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("cust:"), "c_custkey").alias("src"))
+    return kg_edges(s, d, thin=True).join(p, "dst").join(c, "src").groupBy("src", "p_brand").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {KG_ALL}, {ADJ} SELECT src, dst, round(w,6) AS w FROM adj")
+def grf_adjacency(s, d):
+    return K.adjacency(kg_edges(s, d)).select("src", "dst", F.round("w", 6).alias("w"))
+
+
+@query(f"WITH {KG_THIN}, b AS (SELECT src, dst FROM kg_edges UNION SELECT dst, src FROM kg_edges), s0 AS (SELECT src AS node FROM b WHERE src LIKE 'cust:%' GROUP BY src ORDER BY md5(src), src LIMIT 5), h1 AS (SELECT DISTINCT s0.node AS qid, b.dst AS node FROM s0 JOIN b ON b.src=s0.node), h2 AS (SELECT DISTINCT h1.qid, b.dst AS node FROM h1 JOIN b ON b.src=h1.node), u AS (SELECT node AS qid, node, 0 AS hop FROM s0 UNION ALL SELECT qid, node, 1 FROM h1 UNION ALL SELECT qid, node, 2 FROM h2) SELECT qid, node, min(hop) AS hop FROM u GROUP BY qid, node")
+def grf_expand_pool(s, d):
+    e = kg_edges(s, d, thin=True)
+    return K.expand(e, _seeds(e).select(F.col("node").alias("qid"), "node"), 2)
+
+
+def _seeds(e):
+    n = e.select(F.col("src").alias("node")).distinct()
+    return n.orderBy(F.md5(F.encode("node", "UTF-8")), "node").limit(5)
+
+
+@query(
+    f"WITH RECURSIVE {KG_THIN}, {ADJ}, tot AS (SELECT src, sum(w) AS t FROM adj GROUP BY src), mv AS (SELECT a.src, a.dst, a.w/t AS p FROM adj a JOIN tot USING(src)), "
+    "s0 AS (SELECT src AS node, 0.2 AS r FROM (SELECT DISTINCT src FROM kg_edges) ORDER BY md5(src), src LIMIT 5), "
+    "pr AS (SELECT 0 AS i, node, r::DOUBLE AS m FROM s0 UNION ALL SELECT i, node, sum(m) FROM (SELECT pr.i+1 AS i, mv.dst AS node, 0.5*pr.m*mv.p AS m FROM pr JOIN mv ON mv.src=pr.node WHERE pr.i<10 UNION ALL SELECT x.i+1, s0.node, 0.5*s0.r FROM s0, (SELECT DISTINCT i FROM pr WHERE i<10) x) GROUP BY i, node) "
+    "SELECT node, round(m,6) AS mass FROM pr WHERE i=10"
+)
+def grf_ppr_k(s, d):
+    e = kg_edges(s, d, thin=True)
+    return K.personalized_pagerank(K.adjacency(e), _seeds(e).withColumn("weight", F.lit(1.0))).select("node", F.round("mass", 6).alias("mass"))
+
+
+STEP = f"step AS (SELECT src, dst, max(f) AS f FROM (SELECT src, dst, greatest(conf,0.1)*{RELW}*0.8 AS f FROM kg_edges UNION ALL SELECT dst, src, greatest(conf,0.1)*{RELW}*0.8 FROM kg_edges) GROUP BY src, dst)"
+RANKED = "row_number() OVER (PARTITION BY qid ORDER BY round(score,9) DESC, array_to_string(path,'>'))"
+
+
+def _hop(i: int) -> str:
+    return f"n{i} AS (SELECT f.qid, list_append(f.path, step.dst) AS path, f.score*step.f*(CASE WHEN b.node IS NULL THEN 1.0 ELSE 2.0 END) AS score, step.dst AS node FROM f{i - 1} f JOIN step ON step.src=f.node LEFT JOIN s0 b ON b.node=step.dst AND b.node=f.qid WHERE NOT list_contains(f.path, step.dst)), f{i} AS (SELECT qid, path, score, node FROM (SELECT *, {RANKED} AS r FROM n{i}) WHERE r<=300)"
+
+
+@query(f"WITH {KG_THIN}, {STEP}, s0 AS (SELECT src AS node FROM (SELECT DISTINCT src FROM kg_edges) ORDER BY md5(src), src LIMIT 5), f0 AS (SELECT node AS qid, [node] AS path, 1.0 AS score, node FROM s0), {_hop(1)}, {_hop(2)}, {_hop(3)} SELECT qid, array_to_string(path,'>') AS path, round(score,6) AS score, rk FROM (SELECT *, {RANKED} AS rk FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2 UNION ALL SELECT * FROM n3) WHERE node LIKE 'part:%') WHERE rk<=20")
+def grf_paths(s, d):
+    e = kg_edges(s, d, thin=True)
+    seeds = _seeds(e).select(F.col("node").alias("qid"), "node", F.lit(1.0).alias("weight"))
+    return K.paths(e, seeds, ["part"]).select("qid", F.array_join("path", ">").alias("path"), F.round("score", 6).alias("score"), "rk")
+
+
+@query(f"WITH {KG_THIN}, b AS (SELECT src, dst FROM kg_edges UNION SELECT dst, src FROM kg_edges), g AS (SELECT src, count(*) AS d FROM b GROUP BY src) SELECT x.src AS a, y.src AS b, round(sum(1/ln(d)),6) AS score FROM b x JOIN b y ON x.dst=y.dst AND x.src<y.src JOIN g ON g.src=x.dst WHERE d>1 GROUP BY 1,2")
+def grf_adamic_adar(s, d):
+    return K.adamic_adar(kg_edges(s, d, thin=True)).select("a", "b", F.round("score", 6).alias("score"))
+
+
+# ---- retrieval
+@query(f"WITH {BM} SELECT n_docs, round(avgdl,6) AS avgdl FROM st")
+def bm25_avgdl(s, d):
+    return S.average_length(_docs(s, d)).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {BM} SELECT term, df, round(idf,6) AS idf FROM idf")
+def bm25_idf(s, d):
+    return S.idf(S.postings(_docs(s, d)), S.average_length(_docs(s, d))).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {BM} SELECT doc, term, round(tf*2.2/(tf+1.2*(0.25+0.75*dl/avgdl)),6) AS w FROM post, st")
+def bm25_weights(s, d):
+    return S.weights(S.postings(_docs(s, d)), S.average_length(_docs(s, d))).select("doc", "term", F.round("w", 6).alias("w"))
+
+
+@query(f"WITH {BM} SELECT qid, doc, round(score,6) AS score, rk FROM bm")
+def ret_bm25(s, d):
+    return S.bm25(_q(s, d), _docs(s, d)).select("qid", "doc", F.round("score", 6).alias("score"), "rk")
+
+
+def _lexical(s, d):
+    q = _q(s, d).select(F.col("item_id").alias("qid"), F.array_distinct(T.search_tokens(F.col("text"))).alias("qt"))
+    terms = q.select("qid", F.size("qt").alias("n"), F.explode("qt").alias("term"))
+    hits = S.postings(_docs(s, d)).join(terms, "term").groupBy("qid", "doc").agg((F.count("*") / F.greatest(F.first("n"), F.lit(1))).alias("score"))
+    return S.top_k(hits, 50)
+
+
+@query(f"WITH {LEX} SELECT qid, doc, round(score,6) AS score, rk FROM lex")
+def svc_lexical(s, d):
+    return _lexical(s, d).select("qid", "doc", F.round("score", 6).alias("score"), "rk")
+
+
+@query(f"WITH {BM}, {LEX}, {RRF} SELECT qid, doc, round(score,6) AS score, rk FROM rrf")
+def ret_rrf(s, d):
+    return S.fuse(S.bm25(_q(s, d), _docs(s, d)), _lexical(s, d)).select("qid", "doc", F.round("score", 6).alias("score"), "rk")
+
+
+BLEND = "bl AS (SELECT r.qid, r.doc, coalesce((r.score-avg(r.score) OVER w)/nullif(round(stddev_pop(r.score) OVER w,12),0),0) AS z1, coalesce((l.score-avg(l.score) OVER w)/nullif(round(stddev_pop(l.score) OVER w,12),0),0) AS z2 FROM rrf r JOIN lexs l USING(qid,doc) WINDOW w AS (PARTITION BY r.qid))"
+
+
+@query(f"WITH {BM}, {LEX}, {RRF}, {BLEND} SELECT qid, doc, round(score,6) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score,9) DESC, doc) AS rk FROM (SELECT qid, doc, 0.5*z1+0.5*z2 AS score FROM bl)) WHERE rk<=8")
+def ret_blend(s, d):
+    return _blend(s, d).select("qid", "doc", F.round("score", 6).alias("score"), "rk")
+
+
+def _blend(s, d):
+    fused = S.fuse(S.bm25(_q(s, d), _docs(s, d)), _lexical(s, d))
+    q = _q(s, d).select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
+    x = fused.join(F.broadcast(q), "qid").join(_docs(s, d).select(F.col("doc_id").alias("doc"), "text"), "doc")
+    x = x.select("qid", "doc", F.col("score").alias("s1"), S.lexical_share(F.col("q"), F.col("text")).alias("s2"))
+    x = x.select("qid", "doc", (0.5 * S.zscore("s1") + 0.5 * S.zscore("s2")).alias("score"))
+    return S.top_k(x, 8)
+
+
+@query("SELECT qid, doc, round(score,6) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score,9) DESC, doc) AS rk FROM (SELECT q.vec_id AS qid, v.vec_id AS doc, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings v ON q.vec_id<>v.vec_id WHERE q.vec_id<20)) WHERE rk<=10")
+def ret_dense(s, d):
+    v = table(s, d, "embeddings")
+    q = v.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    return S.dense(q, v.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")), 10).select("qid", "doc", F.round("score", 6).alias("score"), "rk")
+
+
+@query("WITH r AS (SELECT q.vec_id AS qid, v.vec_id AS doc, q.label AS ql, v.label AS l, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings v ON q.vec_id<>v.vec_id WHERE q.vec_id<20), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score,9) DESC, doc) AS rk FROM r) WHERE rk<=50) SELECT qid, doc, pos FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY rk) AS pos FROM t WHERE l<>ql) WHERE pos>2 AND pos<=9")
+def ret_hard_negatives(s, d):
+    v = table(s, d, "embeddings")
+    q = v.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    ranked = S.dense(q, v.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")), 50)
+    return S.hard_negatives(ranked, v.select(F.col("vec_id").alias("doc"), F.col("label").alias("grp")))
+
+
+@query(f"WITH {BM}, {LEX} SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY m[1], m[2], doc) AS pos FROM (SELECT qid, doc, min([rk, l]) AS m FROM (SELECT qid, doc, rk, 1 AS l FROM bm UNION ALL SELECT qid, doc, rk, 2 FROM lex) GROUP BY qid, doc)")
+def ret_merges(s, d):
+    both = S.bm25(_q(s, d), _docs(s, d)).select("qid", "doc", "rk", F.lit(1).alias("list")).unionByName(_lexical(s, d).select("qid", "doc", "rk", F.lit(2).alias("list")))
+    return S.merge_round_robin(both)
+
+
+@query("SELECT l.v AS lambda, d.v AS depth, m.v AS mode FROM (VALUES (0.05),(0.1),(0.2)) l(v), (VALUES (1),(3)) d(v), (VALUES ('prior'),('protected'),('union')) m(v)")
+def bench_grid(s, d):
+    a = s.createDataFrame([(x,) for x in (0.05, 0.1, 0.2)], "lambda double")
+    b = s.createDataFrame([(x,) for x in (1, 3)], "depth int")
+    c = s.createDataFrame([(x,) for x in ("prior", "protected", "union")], "mode string")
+    return a.crossJoin(b).crossJoin(c)
+
+
+# ---- evaluation
+def _gold(s, d):
+    return _q(s, d).select(F.col("item_id").alias("qid"), F.col("text").alias("q")).join(_docs(s, d).select(F.col("doc_id").alias("doc"), "text"), F.contains("text", F.col("q"))).select("qid", "doc")
+
+
+RECALL = "rec AS (SELECT qid, count(*) AS n_gold, avg(CASE WHEN b.doc IS NULL THEN 0.0 ELSE 1.0 END) AS recall, bool_and(b.doc IS NOT NULL) AS complete FROM gold g LEFT JOIN (SELECT * FROM bm WHERE rk<=8) b USING(qid,doc) GROUP BY qid)"
+
+
+@query(f"WITH {BM}, {GOLD}, {RECALL} SELECT qid, n_gold, round(recall,6) AS recall, complete FROM rec")
+def m_recall(s, d):
+    return E.recall_at_k(S.bm25(_q(s, d), _docs(s, d)), _gold(s, d)).select("qid", "n_gold", F.round("recall", 6).alias("recall"), "complete")
+
+
+@query(f"WITH {BM}, {GOLD}, {RECALL} SELECT count(*) AS n, round(avg(recall),6) AS mean_recall, round(avg(complete::INT),6) AS share_complete FROM rec")
+def m_report(s, d):
+    r = E.recall_at_k(S.bm25(_q(s, d), _docs(s, d)), _gold(s, d))
+    return r.agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.avg(F.col("complete").cast("int")), 6).alias("share_complete"))
+
+
+@query(f"WITH {BM}, {GOLD} SELECT qid, doc FROM gold WHERE NOT EXISTS (SELECT 1 FROM bm WHERE bm.qid=gold.qid AND bm.doc=gold.doc AND rk<=3)")
+def m_miss(s, d):
+    return _gold(s, d).join(S.bm25(_q(s, d), _docs(s, d)).where("rk <= 3"), ["qid", "doc"], "left_anti")
+
+
+@query("SELECT count_if(quality=0 AND toxic=1) AS tp, count_if(quality=1 AND toxic=1) AS fp, count_if(quality=0 AND toxic=0) AS fn, round(count_if(quality=0 AND toxic=1)/nullif(count_if(toxic=1),0),6) AS precision, round(count_if(quality=0 AND toxic=1)/nullif(count_if(quality=0),0),6) AS recall FROM labels")
+def m_abstention(s, d):
+    c = lambda x: F.count_if(F.expr(x))
+    return table(s, d, "labels").agg(c("quality = 0 and toxic = 1").alias("tp"), c("quality = 1 and toxic = 1").alias("fp"), c("quality = 0 and toxic = 0").alias("fn"), F.round(c("quality = 0 and toxic = 1") / F.nullif(c("toxic = 1"), F.lit(0)), 6).alias("precision"), F.round(c("quality = 0 and toxic = 1") / F.nullif(c("quality = 0"), F.lit(0)), 6).alias("recall"))
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value),6) AS mean, round(quantile_cont(value,0.5),6) AS p50, round(quantile_cont(value,0.95),6) AS p95 FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY event_type")
+def m_percentiles(s, d):
+    p = E.percentiles(table(s, d, "events"), "event_type", "value")
+    return p.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95")])
+
+
+@query("SELECT event_type, round(value,6) AS p95_order FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id)-1 AS r, greatest(0, floor(0.95*count(*) OVER (PARTITION BY event_type))::INT-1) AS at FROM events) WHERE r=at")
+def m_p95_order(s, d):
+    return E.order_p95(table(s, d, "events"), "event_type", "value", "event_id").select("event_type", F.round("p95_order", 6).alias("p95_order"))
+
+
+@query("SELECT coalesce(o_orderpriority,'ALL') AS priority, count(*) AS n, round(avg(CASE WHEN o_orderstatus='F' THEN 1.0 ELSE 0.0 END),6) AS share_f FROM orders GROUP BY ROLLUP(o_orderpriority)")
+def m_rollup(s, d):
+    x = table(s, d, "orders").rollup("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)), 6).alias("share_f"))
+    return x.select(F.coalesce("o_orderpriority", F.lit("ALL")).alias("priority"), "n", "share_f")
+
+
+@query("SELECT event_type, round(avg(value) FILTER (WHERE user_id%3=0),6) AS s0, round(avg(value) FILTER (WHERE user_id%3=1),6) AS s1, round(avg(value) FILTER (WHERE user_id%3=2),6) AS s2 FROM events GROUP BY event_type")
+def m_by_type(s, d):
+    e = table(s, d, "events").withColumn("sys", F.concat(F.lit("s"), F.col("user_id") % 3))
+    return e.groupBy("event_type").pivot("sys", ["s0", "s1", "s2"]).agg(F.round(F.avg("value"), 6))
+
+
+@query("WITH c AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1,2), t AS (SELECT sum(n) AS t, sum(n) FILTER (WHERE a=b) AS same FROM c), p AS (SELECT sum(x.na*y.nb) AS c FROM (SELECT a AS v, sum(n) AS na FROM c GROUP BY a) x JOIN (SELECT b AS v, sum(n) AS nb FROM c GROUP BY b) y USING(v)) SELECT t::BIGINT AS n, round(same/t,6) AS po, round((same/t-c/(t*t))/(1-c/(t*t)),6) AS kappa FROM t, p")
+def s_kappa(s, d):
+    return E.cohens_kappa(table(s, d, "labels"), "quality", "toxic").select("n", F.round("po", 6).alias("po"), F.round("kappa", 6).alias("kappa"))
+
+
+@query("WITH c AS (SELECT quality::DOUBLE AS a, (n_chars%3)::DOUBLE/2 AS b FROM labels JOIN documents USING(doc_id)), x AS (SELECT count(*) AS n, sum(abs(a-b)) AS seen FROM c), e AS (SELECT sum(p.na*q.nb*abs(p.a-q.b)) AS e FROM (SELECT a, count(*) AS na FROM c GROUP BY a) p, (SELECT b, count(*) AS nb FROM c GROUP BY b) q) SELECT n, round(1-seen*n/e,6) AS weighted_kappa FROM x, e")
+def s_weighted_kappa(s, d):
+    x = table(s, d, "labels").join(_docs(s, d).select("doc_id", "n_chars"), "doc_id").withColumn("b", F.col("n_chars") % 3 / 2)
+    return E.weighted_kappa(x, "quality", "b").select("n", F.round("weighted_kappa", 6).alias("weighted_kappa"))
+
+
+@query("SELECT count(*) AS n, round(avg(CASE WHEN quality=1-toxic THEN 1.0 ELSE 0.0 END),6) AS exact, round(avg(quality),6) AS mean_a, round(avg(1-toxic),6) AS mean_b FROM labels")
+def s_agreement(s, d):
+    x = table(s, d, "labels")
+    return x.agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("quality") == 1 - F.col("toxic"), 1.0).otherwise(0.0)), 6).alias("exact"), F.round(F.avg("quality"), 6).alias("mean_a"), F.round(F.avg(1 - F.col("toxic")), 6).alias("mean_b"))
+
+
+@query("SELECT count(*) AS n, round(avg(d),6) AS mean, round(CASE WHEN count(*)<2 OR stddev_samp(d)=0 THEN 0 ELSE avg(d)/stddev_samp(d) END,6) AS d_z FROM (SELECT l_quantity-25.0 AS d FROM lineitem)")
+def s_effect_size(s, d):
+    return E.effect_size(table(s, d, "lineitem").select((F.col("l_quantity") - 25.0).alias("d")), "d")
+
+
+@query("WITH p AS (SELECT event_type||':'||(user_id%7) AS k, avg(value)/1000 - floor(avg(value)/1000) AS p FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS r, count(*) OVER () AS m FROM p) SELECT k, round(p,6) AS p, round(max(least(1.0,(m-r+1)*p)) OVER (ORDER BY p, k ROWS UNBOUNDED PRECEDING),6) AS p_holm FROM r")
+def s_holm(s, d):
+    a = F.avg("value") / 1000
+    p = table(s, d, "events").groupBy(F.concat_ws(":", "event_type", F.col("user_id") % 7).alias("k")).agg((a - F.floor(a)).alias("p"))
+    return E.holm(p, "p", "k").select("k", F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"))
+
+
+@query("SELECT round(sum(rate*n)/sum(n),6) AS rate, sum(n)::BIGINT AS n FROM (SELECT o_orderpriority, count(*) AS n, avg(CASE WHEN o_orderstatus='O' THEN 1.0 ELSE 0.0 END) FILTER (WHERE o_orderkey%3=0) AS rate FROM orders GROUP BY 1)")
+def s_strata_rate(s, d):
+    x = table(s, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.avg(F.when(F.col("o_orderkey") % 3 == 0, F.when(F.col("o_orderstatus") == "O", 1.0).otherwise(0.0))).alias("rate"))
+    return x.agg(F.round(F.sum(F.col("rate") * F.col("n")) / F.sum("n"), 6).alias("rate"), F.sum("n").alias("n"))
+
+
+HASH8 = "('0x'||substr(md5({0}),1,8))::BIGINT"
+
+
+@query(f"WITH x AS (SELECT doc_id AS k, quality::DOUBLE AS v FROM labels WHERE quality IS NOT NULL), b AS (SELECT b, sum(c*v)/nullif(sum(c),0) AS m FROM (SELECT b, v, list_sum(list_transform([0.36787944117144233,0.7357588823428847,0.9196986029286058,0.9810118431238462,0.9963401531726563,0.9994058151824183], lambda z: CASE WHEN h>=z THEN 1 ELSE 0 END)) AS c FROM (SELECT b, v, {HASH8.format(chr(39) + '13|' + chr(39) + '||b||' + chr(39) + '|' + chr(39) + '||k')}/4294967296.0 AS h FROM x, range(1,201) t(b))) GROUP BY b) SELECT (SELECT count(*) FROM x) AS n, (SELECT round(avg(v),6) FROM x) AS mean, round(quantile_cont(m,0.025),6) AS low, round(quantile_cont(m,0.975),6) AS high FROM b")
+def s_bootstrap_hash(s, d):
+    return E.bootstrap_mean(table(s, d, "labels"), "quality", "doc_id")
+
+
+@query("WITH x AS (SELECT doc_id AS k, (quality-1+toxic)::DOUBLE AS v FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), b AS (SELECT b, avg(CASE WHEN substr(md5('13|'||b||'|'||k),1,1)<'8' THEN v ELSE -v END) AS m FROM x, range(1,201) t(b) GROUP BY b), o AS (SELECT count(*) AS n, avg(v) AS mean FROM x) SELECT n, round(mean,6) AS mean, round(((SELECT count(*) FROM b WHERE abs(m)>=abs(mean)-1e-12)+1)/201,6) AS p FROM o")
+def s_permutation_hash(s, d):
+    return E.permutation_test(table(s, d, "labels").withColumn("v", F.col("quality") - 1 + F.col("toxic")), "v", "doc_id")
+
+
+@query("WITH c AS (SELECT n_chars AS s, sum(quality) AS p, sum(1-quality) AS n FROM labels JOIN documents USING(doc_id) GROUP BY 1) SELECT round(sum(p*(coalesce(below,0)+n/2))/nullif(sum(p)*sum(n),0),6) AS auroc FROM (SELECT *, sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM c)")
+def gnn_auroc(s, d):
+    x = table(s, d, "labels").join(_docs(s, d).select("doc_id", "n_chars"), "doc_id")
+    return E.auroc(x, "n_chars", "quality").select(F.round("auroc", 6).alias("auroc"))
+
+
+FR = "sc AS (SELECT c_nationkey AS qid, c_custkey AS doc, round(c_acctbal,-2) AS score, c_mktsegment='BUILDING' AS pos FROM customer), fr AS (SELECT a.qid, a.doc, 1+(SELECT count(*) FROM sc b WHERE b.qid=a.qid AND NOT b.pos AND b.score>a.score)+(SELECT count(*) FROM sc b WHERE b.qid=a.qid AND NOT b.pos AND b.score=a.score)/2 AS rank FROM sc a WHERE pos)"
+
+
+def _ranks(s, d):
+    c = table(s, d, "customer").select(F.col("c_nationkey").alias("qid"), F.col("c_custkey").alias("doc"), F.round("c_acctbal", -2).alias("score"), "c_mktsegment")
+    return E.filtered_ranks(c.drop("c_mktsegment"), c.where("c_mktsegment = 'BUILDING'"))
+
+
+@query(f"WITH {FR} SELECT qid, doc, round(rank,6) AS rank FROM fr")
+def gnn_filtered_rank(s, d):
+    return _ranks(s, d).select("qid", "doc", F.round("rank", 6).alias("rank"))
+
+
+@query(f"WITH {FR} SELECT round(avg(1/rank),6) AS mrr, round(avg((rank<=1)::INT),6) AS hits1, round(avg((rank<=3)::INT),6) AS hits3, round(avg((rank<=10)::INT),6) AS hits10 FROM fr")
+def gnn_mrr(s, d):
+    r = _ranks(s, d)
+    return r.agg(F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"), *[F.round(F.avg((F.col("rank") <= k).cast("int")), 6).alias(f"hits{k}") for k in (1, 3, 10)])
+
+
+# ---- windows, samples, packing
+@query("SELECT o_orderkey, CASE WHEN r<=round_even(0.4*n,0) THEN 'dev' ELSE 'test' END AS split FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('13|'||o_orderkey), o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)")
+def win_split(s, d):
+    return E.stratified_split(table(s, d, "orders"), "o_orderkey", "o_orderpriority").select("o_orderkey", "split")
+
+
+@query("SELECT o_orderkey, o_custkey FROM (SELECT *, md5('13|'||o_orderkey) AS h, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('13|'||o_orderkey), o_orderkey) AS r FROM orders) WHERE r<=2 ORDER BY h, o_orderkey LIMIT 100")
+def win_cap_sample(s, d):
+    return E.cap_per_group(table(s, d, "orders"), "o_orderkey", "o_custkey", 2, 100).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT event_id, event_type, r FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5('13|'||event_id), event_id) AS r FROM events) ORDER BY r, event_type LIMIT 60")
+def win_interleave(s, d):
+    w = Window.partitionBy("event_type").orderBy(E.stable_order("13", F.col("event_id")), "event_id")
+    return table(s, d, "events").select("event_id", "event_type", F.row_number().over(w).alias("r")).orderBy("r", "event_type").limit(60)
+
+
+@query("SELECT o_orderpriority, least(n, greatest(10, round_even(200*n/sum(n) OVER (),0)))::BIGINT AS take FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)")
+def win_allocate(s, d):
+    c = table(s, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy())
+    return c.select("o_orderpriority", F.least("n", F.greatest(F.lit(10), F.bround(200 * F.col("n") / total))).cast("long").alias("take"))
+
+
+@query("WITH t AS (SELECT conv_id AS qid, turn AS pos, length(text) AS n FROM conversations), u AS (SELECT *, sum(n) OVER (PARTITION BY qid ORDER BY pos) AS upto FROM t), v AS (SELECT *, coalesce(max((upto>1500)::INT) OVER (PARTITION BY qid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS done FROM u) SELECT qid, pos, take FROM (SELECT qid, pos, (CASE WHEN done=1 THEN 0 WHEN upto<=1500 THEN n WHEN 1500-(upto-n)>80 THEN floor((1500-(upto-n))*0.7) ELSE 0 END)::BIGINT AS take FROM v) WHERE take>0")
+def win_context_pack(s, d):
+    c = table(s, d, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("pos"), F.length("text").alias("n"))
+    return C.context_pack(c, 1500)
+
+
+# ---- service and streams
+@query(f"WITH {KG_THIN} SELECT DISTINCT src, rel, dst FROM kg_edges WHERE src IN (SELECT node FROM (SELECT DISTINCT src AS node FROM kg_edges) ORDER BY md5(node), node LIMIT 5)")
+def svc_entity(s, d):
+    e = kg_edges(s, d, thin=True)
+    return e.join(_seeds(e), F.col("src") == F.col("node"), "left_semi").select("src", "rel", "dst").distinct()
+
+
+@query("SELECT strftime(ts,'%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value),6) AS mean_value FROM events GROUP BY 1,2")
+def st_latency_window(s, d):
+    return L.latency_windows(table(s, d, "events"))
