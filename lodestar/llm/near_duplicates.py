@@ -50,24 +50,22 @@ MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64
 class Vocabulary(dict):
     """Word -> place in growing arrays of hashes; emptied when it is full, which changes no result."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 250_000):
         self.most = most
-        self.hashes: list[int] = []
-        self.array = np.zeros(0, np.uint64)
+        self.array = np.zeros(2 * most, np.uint64)
 
     def __missing__(self, word: str) -> int:
-        self.hashes.append(xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")))
-        self[word] = at = len(self.hashes) - 1
+        self[word] = at = len(self)
+        if at == len(self.array):
+            self.array = np.concatenate([self.array, np.zeros_like(self.array)])
+        self.array[at] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
         return at
 
     def look_up(self, words: list[str]) -> np.ndarray:
         if len(self) > self.most:
             self.clear()
-            self.hashes, self.array = [], np.zeros(0, np.uint64)
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if len(self.hashes) > len(self.array):
-            self.array = np.concatenate([self.array, np.array(self.hashes[len(self.array) :], np.uint64)])
-        return self.array[at]
+            self.array = np.zeros(2 * self.most, np.uint64)
+        return self.array[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
 
 
 #: This worker process's words, used by all its tasks.
@@ -192,10 +190,9 @@ def _shingle_pass(idf, wanted):
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
             kept = []
             for i in range(batch.num_rows):
-                a, b = ((np.frombuffer(cols[k][i], np.uint64), np.frombuffer(cols[k + 1][i], np.float32)) for k in (2, 4))
+                a, b = ((np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64), np.frombuffer(batch.column(k + 1)[i].as_buffer(), np.float32)) for k in (2, 4))
                 low, high = sorted((float(a[1].sum(dtype=np.float64)), float(b[1].sum(dtype=np.float64))))
                 if high > 0 and low / high >= threshold and weighted_jaccard(a, b) >= threshold:
                     kept.append(i)
@@ -213,7 +210,7 @@ def _alike(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, leaders: int = 6, small: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, leaders: int = 2, small: int = 8, rounds: int = 3) -> DataFrame:
     """(id, class_id, kept) for each row: the least id of its class, and whether it is that one."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -251,15 +248,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     led = large.groupBy("key").agg(F.array_distinct(F.array(*first)).alias("leaders"))
     many = large.join(led, "key").select("id", F.explode("leaders").alias("to")).where("id != to").select(*ordered(F.col("id"), F.col("to")))
     links = verified(few.unionByName(many))
-    # once more, between groups that share a large bucket
-    groups = connected_components(links, "a", "b")
-    own = large.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("group"))
-    split = own.groupBy("key").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 != g2").select("key")
-    own = scratch(own.join(split, "key"))
-    second = [F.min(F.struct(F.xxhash64("group", F.lit(i)).alias("h"), F.xxhash64("id", F.lit(i)).alias("k"), "id", "group")) for i in range(leaders, 2 * leaders)]
-    led = own.groupBy("key").agg(F.array_distinct(F.transform(F.array(*second), lambda x: F.struct(x["id"].alias("to"), x["group"].alias("to_group")))).alias("leaders"))
-    again = own.join(led, "key").select("id", "group", F.inline("leaders")).where("group != to_group").select(*ordered(F.col("id"), F.col("to")))
-    links = links.unionByName(verified(again))
+    # again, between groups that share a large bucket
+    for i in range(1, rounds):
+        groups = connected_components(links, "a", "b")
+        own = large.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("group"))
+        split = own.groupBy("key").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 != g2").select("key")
+        own = scratch(own.join(split, "key"))
+        drawn_by = [F.min(F.struct(F.xxhash64("group", F.lit(j)).alias("h"), F.xxhash64("id", F.lit(j)).alias("k"), "id", "group")) for j in range(i * leaders, (i + 1) * leaders)]
+        led = own.groupBy("key").agg(F.array_distinct(F.transform(F.array(*drawn_by), lambda x: F.struct(x["id"].alias("to"), x["group"].alias("to_group")))).alias("leaders"))
+        more = own.join(led, "key").select("id", "group", F.inline("leaders")).where("group != to_group").select(*ordered(F.col("id"), F.col("to")))
+        links = links.unionByName(verified(more))
     classes = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
     entry = copies.join(classes, "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     out = drawn.select("id", "digest").join(entry, "digest")
