@@ -47,7 +47,7 @@ def bm25(queries: DataFrame, docs: DataFrame, qid: str = "item_id", qtext: str =
 def top_k(scored: DataFrame, k: int, by: str = "score", group: str = "qid", tie: str = "doc") -> DataFrame:
     """The k largest per group, ties by id, with their rank."""
     w = Window.partitionBy(group).orderBy(F.round(by, 9).desc(), F.col(tie).asc())
-    return scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+    return scored.withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= k)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -84,7 +84,7 @@ def zscore(x: str, group: str = "qid") -> Column:
 def merge_round_robin(lists: DataFrame) -> DataFrame:
     """(qid, doc, pos) from (qid, doc, list, rk): first place of each by rank, then list."""
     first = lists.groupBy("qid", "doc").agg(F.min(F.struct("rk", "list")).alias("m"))
-    return first.select("qid", "doc", F.row_number().over(Window.partitionBy("qid").orderBy("m.rk", "m.list", "doc")).alias("pos"))
+    return first.select("qid", "doc", F.row_number().over(Window.partitionBy("qid").orderBy("m.rk", "m.list", "doc")).cast("long").alias("pos"))
 
 
 def hard_negatives(ranked: DataFrame, group_of: DataFrame, skip: int = 2, n: int = 7) -> DataFrame:
@@ -92,4 +92,4 @@ def hard_negatives(ranked: DataFrame, group_of: DataFrame, skip: int = 2, n: int
     g = group_of.select(F.col("doc").alias("q"), F.col("grp").alias("qgrp"))
     d = ranked.join(group_of, "doc").join(g, F.col("qid") == F.col("q")).where("grp != qgrp")
     w = Window.partitionBy("qid").orderBy("rk")
-    return d.withColumn("pos", F.row_number().over(w)).where((F.col("pos") > skip) & (F.col("pos") <= skip + n)).select("qid", "doc", "pos")
+    return d.withColumn("pos", F.row_number().over(w).cast("long")).where((F.col("pos") > skip) & (F.col("pos") <= skip + n)).select("qid", "doc", "pos")

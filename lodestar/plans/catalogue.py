@@ -14,6 +14,7 @@ from lodestar.operators import evaluation as E
 from lodestar.operators import knowledge as K
 from lodestar.operators import search as S
 from lodestar.operators.components import connected_components
+from lodestar.sources.storage import ship_package
 from lodestar.sources.tables import kg_edges, kg_nodes, table
 from lodestar.streaming import logs as L
 
@@ -140,6 +141,7 @@ def txt_conditional_sentences(s, d):
 
 @query()
 def txt_partial_ratio(s, d):
+    ship_package(s)
     g = _gold(s, d).join(_q(s, d).select(F.col("item_id").alias("qid"), F.col("text").alias("q")), "qid").join(_docs(s, d).select(F.col("doc_id").alias("doc"), "text"), "doc")
     return g.select("qid", "doc", udfs.partial_ratio(T.normalize(udfs.nfkc("q")), T.normalize(udfs.nfkc("text"))).alias("ratio"))
 
@@ -259,7 +261,7 @@ def kg_components(s, d):
 @query(f"WITH {KG_THIN} SELECT src, dst, r FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY max(conf) DESC, dst) AS r FROM kg_edges GROUP BY src, dst) WHERE r<=3")
 def gen_single_hop(s, d):
     e = kg_edges(s, d, thin=True).groupBy("src", "dst").agg(F.max("conf").alias("c"))
-    return e.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy(F.col("c").desc(), "dst")).alias("r")).where("r <= 3")
+    return e.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy(F.col("c").desc(), "dst")).cast("long").alias("r")).where("r <= 3")
 
 
 @query(f"WITH {KG_THIN}, p AS (SELECT DISTINCT src, dst FROM kg_edges), rare AS (SELECT dst FROM p GROUP BY dst HAVING count(*) BETWEEN 2 AND 3) SELECT x.src AS a, y.src AS b, x.dst AS via FROM p x JOIN p y ON x.dst=y.dst AND x.src<y.src WHERE x.dst IN (SELECT dst FROM rare)")
@@ -429,7 +431,7 @@ def m_miss(s, d):
     return _gold(s, d).join(S.bm25(_q(s, d), _docs(s, d)).where("rk <= 3"), ["qid", "doc"], "left_anti")
 
 
-@query("SELECT count_if(quality=0 AND toxic=1) AS tp, count_if(quality=1 AND toxic=1) AS fp, count_if(quality=0 AND toxic=0) AS fn, round(count_if(quality=0 AND toxic=1)/nullif(count_if(toxic=1),0),6) AS precision, round(count_if(quality=0 AND toxic=1)/nullif(count_if(quality=0),0),6) AS recall FROM labels")
+@query("SELECT count_if(quality=0 AND toxic=1)::BIGINT AS tp, count_if(quality=1 AND toxic=1)::BIGINT AS fp, count_if(quality=0 AND toxic=0)::BIGINT AS fn, round(count_if(quality=0 AND toxic=1)/nullif(count_if(toxic=1),0),6) AS precision, round(count_if(quality=0 AND toxic=1)/nullif(count_if(quality=0),0),6) AS recall FROM labels")
 def m_abstention(s, d):
     c = lambda x: F.count_if(F.expr(x))
     return table(s, d, "labels").agg(c("quality = 0 and toxic = 1").alias("tp"), c("quality = 1 and toxic = 1").alias("fp"), c("quality = 0 and toxic = 0").alias("fn"), F.round(c("quality = 0 and toxic = 1") / F.nullif(c("toxic = 1"), F.lit(0)), 6).alias("precision"), F.round(c("quality = 0 and toxic = 1") / F.nullif(c("quality = 0"), F.lit(0)), 6).alias("recall"))
@@ -441,7 +443,7 @@ def m_percentiles(s, d):
     return p.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95")])
 
 
-@query("SELECT event_type, round(value,6) AS p95_order FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id)-1 AS r, greatest(0, floor(0.95*count(*) OVER (PARTITION BY event_type))::INT-1) AS at FROM events) WHERE r=at")
+@query("SELECT event_type, round(value,6) AS p95_order FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id)-1 AS r, greatest(0, floor(0.95*count(*) OVER (PARTITION BY event_type))::INT-1) AS place FROM events) WHERE r=place")
 def m_p95_order(s, d):
     return E.order_p95(table(s, d, "events"), "event_type", "value", "event_id").select("event_type", F.round("p95_order", 6).alias("p95_order"))
 
@@ -545,7 +547,7 @@ def win_cap_sample(s, d):
 @query("SELECT event_id, event_type, r FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5('13|'||event_id), event_id) AS r FROM events) ORDER BY r, event_type LIMIT 60")
 def win_interleave(s, d):
     w = Window.partitionBy("event_type").orderBy(E.stable_order("13", F.col("event_id")), "event_id")
-    return table(s, d, "events").select("event_id", "event_type", F.row_number().over(w).alias("r")).orderBy("r", "event_type").limit(60)
+    return table(s, d, "events").select("event_id", "event_type", F.row_number().over(w).cast("long").alias("r")).orderBy("r", "event_type").limit(60)
 
 
 @query("SELECT o_orderpriority, least(n, greatest(10, round_even(200*n/sum(n) OVER (),0)))::BIGINT AS take FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)")
