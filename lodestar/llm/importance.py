@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lodestar.llm.common import scratch, ship_package
 from lodestar.llm.near_duplicates import MULTIPLIERS, Vocabulary
@@ -138,7 +139,7 @@ class Classifier:
         sums = [F.sum(c).alias(c) for c in ("raw", "good", "bad_texts", "good_texts")]
         got = docs.select("doc_id", "text").mapInArrow(count, "b int, raw long, good long, bad_texts long, good_texts long").groupBy("b").agg(*sums).toPandas()
         table = np.zeros((4, BUCKETS))
-        table[:, got["b"].to_numpy()] = got[["raw", "good", "bad_texts", "good_texts"]].to_numpy().T
+        table[:, got["b"].to_numpy(dtype=np.int64)] = got[["raw", "good", "bad_texts", "good_texts"]].to_numpy().T
         n_good = sum(first.values())
         model = cls(spark, log_ratios(table[0], table[1]), telling(table[2], table[3], len(first) - n_good, n_good, z), None)
         rest = spark.sparkContext.broadcast({i: y for n, (i, y) in enumerate(known.items()) if n % 2})
@@ -175,8 +176,8 @@ class Classifier:
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], names=[*names, "n_grams", "mean", "sure"])
 
         names = df.columns
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        return df.mapInArrow(run, f"{fields}, n_grams long, mean double, sure double")
+        more = [StructField("n_grams", LongType()), StructField("mean", DoubleType()), StructField("sure", DoubleType())]
+        return df.mapInArrow(run, StructType([*df.schema.fields, *more]))
 
     def keyed(self, df: DataFrame, temperature: float = 0.1, seed: int = 3) -> DataFrame:
         """df with log_weight and key, null for texts without n-grams."""
@@ -188,8 +189,10 @@ class Classifier:
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs (doc_id, text and any other columns) with n_grams, log_weight, key and kept."""
+    """(doc_id, text, rest, n_grams, log_weight, key, kept); rest is a struct of the other columns of docs, whatever their names."""
     free = docs.select("doc_id", "text")
+    rest = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    docs = docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None).cast("string")).alias("rest"))
     model = Classifier.fit(free, labels, **options)
     keys = scratch(model.keyed(free).select("log_weight", "key").where("key is not null"))
     k = keys.where("log_weight > 0").count()

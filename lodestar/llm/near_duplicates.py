@@ -21,7 +21,7 @@ share a bucket, shingle lists. Equal texts are one entry from the start, and the
 from an equi-join on the text's digest.
 
 Edge cases: a null text is an empty one; texts without words link with equal texts only; equal
-texts are one class; rows of one id are one document; an empty table gives an empty result.
+texts are one class; rows of one id, null being one, are one document; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ DF_BUCKETS = 1 << 18
 BANDS, ROWS = 10, 3
 DRAWS = BANDS * ROWS
 MAP_BITS = 24
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 WORDS = re.compile(r"\w+")
 MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -146,7 +148,7 @@ def word_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     got = docs.select("text").mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(DF_BUCKETS, np.int64)
     words = got[got["b"] >= 0]
-    df[words["b"].to_numpy()] = words["n"].to_numpy()
+    df[words["b"].to_numpy(dtype=np.int64)] = words["n"].to_numpy(dtype=np.int64)
     return df, int(got.loc[got["b"] < 0, "n"].sum())
 
 
@@ -214,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, class_id, kept) for each row: the least id of its class, and whether it is that one."""
     spark = docs.sparkSession
     ship_package(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(text_col).alias("text"))
     idf = spark.sparkContext.broadcast(idf_of(*word_frequencies(d)))  # 1 MB
     drawn = scratch(d.mapInArrow(_draw_pass(idf), "id long, digest binary, draws binary"))
     copies = drawn.groupBy("digest").agg(F.min("id").alias("rep"))
@@ -261,4 +263,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
     entry = copies.join(classes, "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     out = drawn.select("id", "digest").join(entry, "digest")
-    return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+    given = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
+    return out.select(given("id").alias(id_col), given("class_id").alias("class_id"), (F.col("id") == F.col("class_id")).alias("kept"))

@@ -34,7 +34,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return importance.classify(docs, read_table(spark, sf_dir, "labels")).drop("text")
+    return importance.classify(docs, read_table(spark, sf_dir, "labels")).drop("text", "rest")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

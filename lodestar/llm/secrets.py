@@ -150,9 +150,9 @@ def spans_of(text: Column, cut: float, random_p: float = 0.001) -> Column:
     return F.transform(F.array(both), lambda b: F.array_sort(F.concat(b["base"], F.filter(b["more"], lambda x: ~F.exists(b["base"], lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]))))))[0].cast(SPAN)
 
 
-def scan(docs: DataFrame, text_col: str = "text", rate: float = 0.01) -> DataFrame:
-    """docs with one more column, ``spans``."""
-    return docs.withColumn("spans", spans_of(text_of(text_col), discovery_cut(docs, text_col, rate)))
+def scan(docs: DataFrame, text_col: str = "text", rate: float = 0.01, out: str = "spans") -> DataFrame:
+    """docs with one more column, named by ``out``."""
+    return docs.withColumn(out, spans_of(text_of(text_col), discovery_cut(docs, text_col, rate)))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
