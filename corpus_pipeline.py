@@ -17,20 +17,21 @@ from lodestar.llm.common import read_table, scratch, text_of
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return importance.classify(docs, read_table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    got = importance.classify(docs, read_table(spark, sf_dir, "labels")).where("kept")
+    return got.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, the one of the least id."""
     kept = near_duplicates.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long") == F.col("kept_id"), "left_semi")
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret; n_chars follows the text."""
-    found = secrets.scan(docs)
-    hit = F.size("spans") > 0
-    text = F.when(hit, secrets.redacted(text_of(), F.col("spans"))).otherwise(F.col("text"))
+    found = secrets.scan(docs, out="__spans")
+    hit = F.size("__spans") > 0
+    text = F.when(hit, secrets.redacted(text_of(), F.col("__spans"))).otherwise(F.col("text"))
     done = found.withColumn("text", text).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
 
