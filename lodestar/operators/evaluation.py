@@ -118,3 +118,38 @@ def permutation_test(df: DataFrame, diff: str, key: str, draws: int = 200, seed:
     seen = d.agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
     got = means.join(F.broadcast(seen), F.lit(True)).agg(F.first("n").alias("n"), F.round(F.first("mean"), 6).alias("mean"), F.sum(F.when(F.abs("m") >= F.abs("mean") - 1e-12, 1).otherwise(0)).alias("x"))
     return got.select("n", "mean", F.round((F.col("x") + 1) / (draws + 1), 6).alias("p"))
+
+
+def citations(cited: DataFrame, gold: DataFrame) -> DataFrame:
+    """(qid, precision, recall) of cited documents, for queries that have gold."""
+    g = gold.select("qid", "doc").distinct()
+    hit = cited.select("qid", "doc").distinct().join(g.withColumn("hit", F.lit(1)), ["qid", "doc"], "left").groupBy("qid").agg(F.count("*").alias("cited"), F.count("hit").alias("hits"))
+    return hit.join(g.groupBy("qid").agg(F.count("*").alias("n")), "qid").select("qid", (F.col("hits") / F.col("cited")).alias("precision"), (F.col("hits") / F.col("n")).alias("recall"))
+
+
+def prf_rollup(df: DataFrame, kind: str, predicted: Column, actual: Column) -> DataFrame:
+    """Precision, recall and F1 per type and for all (``ALL``); 0 where undefined."""
+    c = df.rollup(kind).agg(F.count_if(predicted & actual).alias("tp"), F.count_if(predicted & ~actual).alias("fp"), F.count_if(~predicted & actual).alias("fn"))
+    ratio = lambda a, b: F.round(F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)), 6)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return c.select(F.coalesce(kind, F.lit("ALL")).alias("type"), "tp", "fp", "fn", ratio(tp, tp + fp).alias("p"), ratio(tp, tp + fn).alias("r"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+def recovered_broken(gold: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: gold that only the second system finds, gold that only the first finds, and all gold."""
+    mark = lambda d, c: d.select("qid", "doc").distinct().withColumn(c, F.lit(True))
+    x = gold.select("qid", "doc").distinct().join(mark(before, "a"), ["qid", "doc"], "left").join(mark(after, "b"), ["qid", "doc"], "left")
+    a, b = F.coalesce("a", F.lit(False)), F.coalesce("b", F.lit(False))
+    return x.agg(F.count_if(b & ~a).alias("recovered"), F.count_if(a & ~b).alias("broken"), F.count("*").alias("n"))
+
+
+def permutation_exact(df: DataFrame, diff: str, key: str, most: int = 16) -> DataFrame:
+    """Sign-flip test over all 2^n signs of at most ``most`` differences (more fail): (n, mean, p)."""
+    d = df.where(F.col(diff).isNotNull())
+    if d.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} differences; use permutation_test")
+    x = d.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(diff).cast("double").alias("v")))).alias("a"), F.count("*").alias("n"), F.avg(diff).alias("mean"))
+    x = x.select("n", "mean", F.transform("a", lambda y: y["v"]).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, cast(n as int)) - 1"))).alias("b"))
+    flipped = F.expr("aggregate(transform(v, (y, i) -> if(getbit(b, i) = 1, -y, y)), 0D, (s, y) -> s + y) / n")
+    out = x.groupBy("n", "mean").agg(F.avg(F.when(F.abs(flipped) >= F.abs("mean") - 1e-12, 1.0).otherwise(0.0)).alias("p"))
+    return out.select("n", F.round("mean", 6).alias("mean"), F.round("p", 6).alias("p"))

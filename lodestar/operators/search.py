@@ -93,3 +93,25 @@ def hard_negatives(ranked: DataFrame, group_of: DataFrame, skip: int = 2, n: int
     d = ranked.join(group_of, "doc").join(g, F.col("qid") == F.col("q")).where("grp != qgrp")
     w = Window.partitionBy("qid").orderBy("rk")
     return d.withColumn("pos", F.row_number().over(w).cast("long")).where((F.col("pos") > skip) & (F.col("pos") <= skip + n)).select("qid", "doc", "pos")
+
+
+def hash_embed(docs: DataFrame, dim: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, bucket, w): bag of hashed tokens, of unit length; dim is a power of two."""
+    t = docs.select(F.col(id_col).alias("doc"), F.explode(search_tokens(F.col(text_col))).alias("t"))
+    b = t.groupBy("doc", F.pmod(F.conv(F.substring(F.md5(F.encode("t", "UTF-8")), 25, 8), 16, 10).cast("long"), F.lit(dim)).alias("bucket")).agg(F.count("*").alias("n"))
+    return b.select("doc", "bucket", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("doc")))).alias("w"))
+
+
+def link_pool(ranked: DataFrame, links: DataFrame, depth: int, head: int) -> DataFrame:
+    """(qid, doc) that the first ``depth`` link to, either way, and that aren't in the head already."""
+    both = links.select("src", "dst").unionAll(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    reached = ranked.where(F.col("rk") <= depth).join(both, F.col("doc") == F.col("src")).select("qid", F.col("dst").alias("doc")).distinct()
+    return reached.join(ranked.where(F.col("rk") <= head).select("qid", "doc"), ["qid", "doc"], "left_anti")
+
+
+def protected_fill(ranked: DataFrame, extras: DataFrame, keep: int = 6, k: int = 8) -> DataFrame:
+    """(qid, doc, pos): the first ``keep``, then extras in their order, then the rest up to k."""
+    own = ranked.where(F.col("rk") <= k).select("qid", "doc", F.when(F.col("rk") <= keep, 0).otherwise(2).alias("p"), "rk")
+    every = own.unionByName(extras.select("qid", "doc", F.lit(1).alias("p"), "rk"))
+    pos = F.row_number().over(Window.partitionBy("qid").orderBy("p", "rk", "doc")).cast("long")
+    return every.withColumn("pos", pos).where(F.col("pos") <= k).select("qid", "doc", "pos")
