@@ -8,10 +8,12 @@
    the same one with the probability of their weighted Jaccard similarity. Its random triples
    come from a table of 2^16 that each draw enters by a hash of its own.
 3. Bands of 3 draws, ten of them: texts at 0.8 share a band with probability 0.9992.
-4. Candidates. In a bucket of at most 8 different texts each is compared with each. In a larger one each is
-   compared with ``leaders`` of its members, drawn by hashes, so pairs grow with the rows and never with
-   the square of a bucket; after a first round, groups that share a large bucket are compared
-   again by other leaders, drawn group by group.
+4. Candidates. In a bucket of at most 8 different texts each is compared with each. In a larger one
+   each is compared with ``leaders`` of its members, drawn by hashes, so pairs grow with the rows and
+   never with the square of a bucket. Large buckets that still hold several groups after that are
+   texts that share a passage: they are cut finer by ``finer`` further draws, each cut again in
+   buckets of which small ones are compared whole and large ones by leaders, now drawn group by
+   group. Two texts at 0.8 agree on one of the further draws with probability 0.9997.
 5. Verification. A pair whose draws agree in at least half the places (0.8 misses that with a
    probability below 1e-4) is linked if its exact weighted Jaccard similarity is 0.8 or more.
 6. Classes are the components of links and exact copies; the least id is a class's representative.
@@ -212,7 +214,20 @@ def _alike(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, leaders: int = 2, small: int = 8, rounds: int = 3) -> DataFrame:
+def _candidates(rows: DataFrame, leaders: int, small: int, salt: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of buckets with several groups, with their number n; pairs (a, b) of different groups) from (key, id, group)."""
+    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 != g2").select("key", "n")
+    own = scratch(rows.join(mixed, "key"))
+    few = own.where(F.col("n") <= small).groupBy("key").agg(F.collect_list(F.struct("id", "group")).alias("m"))
+    few = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.id < y.id and x.group != y.group").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    large = own.where(F.col("n") > small)
+    drawn_by = [F.min(F.struct(F.xxhash64("group", F.lit(j)).alias("h"), F.xxhash64("id", F.lit(j)).alias("k"), "id", "group")) for j in range(salt, salt + leaders)]
+    led = large.groupBy("key").agg(F.array_distinct(F.transform(F.array(*drawn_by), lambda x: F.struct(x["id"].alias("to"), x["group"].alias("to_group")))).alias("leaders"))
+    many = large.join(led, "key").select("id", "group", F.inline("leaders")).where("group != to_group").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
+    return own, few.unionByName(many)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, leaders: int = 2, small: int = 8, finer: int = 5) -> DataFrame:
     """(id, class_id, kept) for each row: the least id of its class, and whether it is that one."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -220,11 +235,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     idf = spark.sparkContext.broadcast(idf_of(*word_frequencies(d)))  # 1 MB
     drawn = scratch(d.mapInArrow(_draw_pass(idf), "id long, digest binary, draws binary"))
     copies = drawn.groupBy("digest").agg(F.min("id").alias("rep"))
-    texts = drawn.where("draws is not null").groupBy("digest").agg(F.min(F.struct("id", "draws")).alias("x")).select("x.*")
-    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("draws", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])
-    banded = scratch(texts.select("id", F.explode(keys).alias("key")))
-    counts = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = scratch(banded.join(counts, "key"))
+    texts = scratch(drawn.where("draws is not null").groupBy("digest").agg(F.min(F.struct("id", "draws")).alias("x")).select("x.*"))
+    draw = lambda i, n=1: F.substring("draws", 2 * i + 1, 2 * n)
+    keys = F.array(*[F.xxhash64(F.lit(b), draw(ROWS * b, ROWS)) for b in range(BANDS)])
+    shared, pairs = _candidates(texts.select("id", F.col("id").alias("group"), F.explode(keys).alias("key")), leaders, small, 0)
     # the texts of shared buckets, as a bitmap of fixed size; strays that hash alike are filtered by the joins below
     place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - MAP_BITS).cast("int")
     bits = shared.select("id").distinct().select(place(F.col("id")).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, p & 31)")).alias("b")).toPandas()
@@ -242,24 +256,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "wa", "hb", "wb")
         return scratch(full.mapInArrow(_verify(threshold), "a long, b long"))
 
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    few = shared.where(F.col("n") <= small).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    few = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b")
-    large = shared.where(F.col("n") > small).select("key", "id")
-    first = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id"))["id"] for i in range(leaders)]
-    led = large.groupBy("key").agg(F.array_distinct(F.array(*first)).alias("leaders"))
-    many = large.join(led, "key").select("id", F.explode("leaders").alias("to")).where("id != to").select(*ordered(F.col("id"), F.col("to")))
-    links = verified(few.unionByName(many))
-    # again, between groups that share a large bucket
-    for i in range(1, rounds):
-        groups = connected_components(links, "a", "b")
-        own = large.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("group"))
-        split = own.groupBy("key").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 != g2").select("key")
-        own = scratch(own.join(split, "key"))
-        drawn_by = [F.min(F.struct(F.xxhash64("group", F.lit(j)).alias("h"), F.xxhash64("id", F.lit(j)).alias("k"), "id", "group")) for j in range(i * leaders, (i + 1) * leaders)]
-        led = own.groupBy("key").agg(F.array_distinct(F.transform(F.array(*drawn_by), lambda x: F.struct(x["id"].alias("to"), x["group"].alias("to_group")))).alias("leaders"))
-        more = own.join(led, "key").select("id", "group", F.inline("leaders")).where("group != to_group").select(*ordered(F.col("id"), F.col("to")))
-        links = links.unionByName(verified(more))
+    links = verified(pairs)
+    # two rounds give nearly the components; where they fall short, more is compared
+    groups = connected_components(links, "a", "b", rounds=2).withColumnRenamed("node", "id")
+    large = shared.where(F.col("n") > small).select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("group"))
+    mixed = large.groupBy("key").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 != g2").select("key")
+    cuts = F.array(*[F.xxhash64("key", F.lit(i), draw(i)) for i in range(1, DRAWS, DRAWS // finer)])
+    finest = large.join(mixed, "key").join(texts, "id").select("id", "group", F.explode(cuts).alias("key"))
+    links = links.unionByName(verified(_candidates(finest, leaders, small, leaders)[1]))
     classes = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
     entry = copies.join(classes, "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     out = drawn.select("id", "digest").join(entry, "digest")
