@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,12 +73,41 @@ class Vocabulary(dict):
         return self.array[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
 
 
-#: This worker process's words, used by all its tasks.
-_OWN = Vocabulary()
+@cache
+def _word_marks() -> np.ndarray:
+    """Whether each code point is part of a word."""
+    marks = np.zeros(0x110000, np.bool_)
+    every = "".join(map(chr, range(0x110000)))
+    for m in WORDS.finditer(every):
+        marks[m.start() : m.end()] = True
+    return marks
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    return _OWN.look_up(WORDS.findall((text or "").lower()))
+    """64-bit hashes of the lower-case words in order, all computed at once: a polynomial of the code points."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = _word_marks()[codes]
+    starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(codes))
+    place -= place[starts][np.maximum(np.cumsum(np.bincount(starts, minlength=len(codes))) - 1, 0)]
+    terms = np.where(inside, (codes.astype(np.uint64) + np.uint64(1)) * _powers(int(place[inside].max()) + 1)[np.where(inside, place, 0)], np.uint64(0))
+    h = np.add.reduceat(terms, starts)
+    h ^= h >> np.uint64(31)
+    h *= MULTIPLIERS[50]
+    return h ^ (h >> np.uint64(29))
+
+
+_POWERS = [np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> np.ndarray:
+    """Powers of an odd number modulo 2^64, at least n of them."""
+    while len(_POWERS[0]) < n:
+        p = _POWERS[0]
+        _POWERS[0] = np.concatenate([p, p * (p[-1:] * MULTIPLIERS[49:50])])
+    return _POWERS[0]
 
 
 def shingles(hashes: np.ndarray, idf: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
