@@ -24,7 +24,6 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lodestar.llm.common import scratch, ship_package
-from lodestar.llm.near_duplicates import MULTIPLIERS, Vocabulary
+from lodestar.llm.near_duplicates import MULTIPLIERS, token_hashes
 
 BUCKETS = 1 << 18
-PARTS = re.compile(r"\w+|[^\w\s]+")
-_OWN = Vocabulary()
 
 
 def ngrams(text: str | None) -> np.ndarray:
     """Buckets of the words and marks of a text and of their neighbouring pairs."""
-    h = _OWN.look_up(PARTS.findall(text or ""))
+    h = token_hashes(text or "", marks=True)
     if not len(h):
         return np.zeros(0, np.int64)
     pairs = (h[:-1] ^ (h[1:] * MULTIPLIERS[50])) * MULTIPLIERS[51]

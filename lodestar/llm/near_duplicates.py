@@ -35,7 +35,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,46 +47,26 @@ DRAWS = BANDS * ROWS
 MAP_BITS = 24
 #: Stands for a null id.
 NO_ID = -(1 << 63)
-WORDS = re.compile(r"\w+")
 MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class Vocabulary(dict):
-    """Word -> place in growing arrays of hashes; emptied when it is full, which changes no result."""
-
-    def __init__(self, most: int = 250_000):
-        self.most = most
-        self.array = np.zeros(2 * most, np.uint64)
-
-    def __missing__(self, word: str) -> int:
-        self[word] = at = len(self)
-        if at == len(self.array):
-            self.array = np.concatenate([self.array, np.zeros_like(self.array)])
-        self.array[at] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
-        return at
-
-    def look_up(self, words: list[str]) -> np.ndarray:
-        if len(self) > self.most:
-            self.clear()
-            self.array = np.zeros(2 * self.most, np.uint64)
-        return self.array[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
-
-
 @cache
-def _word_marks() -> np.ndarray:
-    """Whether each code point is part of a word."""
-    marks = np.zeros(0x110000, np.bool_)
+def _kinds() -> np.ndarray:
+    """Of each code point: 0 white space, 1 part of a word, 2 a mark."""
+    kinds = np.full(0x110000, 2, np.uint8)
     every = "".join(map(chr, range(0x110000)))
-    for m in WORDS.finditer(every):
-        marks[m.start() : m.end()] = True
-    return marks
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the lower-case words in order, all computed at once: a polynomial of the code points."""
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = _word_marks()[codes]
-    starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    for kind, pattern in ((0, r"\s+"), (1, r"\w+")):
+        for m in re.finditer(pattern, every):
+            kinds[m.start() : m.end()] = kind
+    return kinds
+
+
+def token_hashes(text: str, marks: bool) -> np.ndarray:
+    """64-bit hashes of the words in order, and of the runs of marks if asked for, all computed at once: a polynomial of the code points."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[codes]
+    inside = kind > 0 if marks else kind == 1
+    starts = np.flatnonzero(inside & (kind != np.concatenate([np.zeros(1, np.uint8), kind[:-1]])))
     if not len(starts):
         return np.zeros(0, np.uint64)
     place = np.arange(len(codes))
@@ -99,6 +78,10 @@ def word_hashes(text: str | None) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    return token_hashes((text or "").lower(), marks=False)
+
+
 _POWERS = [np.ones(1, np.uint64)]
 
 
