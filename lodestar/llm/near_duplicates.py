@@ -9,11 +9,11 @@
    come from a table of 2^16 that each draw enters by a hash of its own.
 3. Bands of 3 draws, ten of them: texts at 0.8 share a band with probability 0.9992.
 4. Candidates. In a bucket of at most 8 different texts each is compared with each. In a larger one
-   each is compared with ``leaders`` of its members, drawn by hashes, so pairs grow with the rows and
-   never with the square of a bucket. Large buckets that still hold several groups after that are
-   texts that share a passage: they are cut finer by ``finer`` further draws, each cut again in
-   buckets of which small ones are compared whole and large ones by leaders, now drawn group by
-   group. Two texts at 0.8 agree on one of the further draws with probability 0.9997.
+   each is first compared with ``leaders`` of its members, drawn by hashes, which proves most groups
+   of copies. Buckets that still hold several groups are then compared whole: their members are
+   dealt into blocks of bounded size, and each pair of blocks is one small task that compares all
+   pairs of texts of different groups, so no pair of a bucket rests on the draw of leaders.
+   Members that no text of another group resembles by its draws leave before shingles are read.
 5. Verification. A pair whose draws agree in at least half the places (0.8 misses that with a
    probability below 1e-4) is linked if its exact weighted Jaccard similarity is 0.8 or more.
 6. Classes are the components of links and exact copies; the least id is a class's representative.
@@ -45,6 +45,8 @@ DF_BUCKETS = 1 << 18
 BANDS, ROWS = 10, 3
 DRAWS = BANDS * ROWS
 MAP_BITS = 24
+#: Shingles of a block, about: 6 MB.
+BLOCK_SHINGLES = 1 << 19
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -199,7 +201,7 @@ def _shingle_pass(idf, wanted):
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 sets = [shingles(word_hashes(x), table) for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h, _ in sets], pa.binary()), pa.array([w.tobytes() for _, w in sets], pa.binary())], names=["id", "h", "w"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h, _ in sets], pa.binary()), pa.array([w.tobytes() for _, w in sets], pa.binary()), pa.array([len(h) for h, _ in sets], pa.int32())], names=["id", "h", "w", "size"])
 
     return run
 
@@ -227,21 +229,92 @@ def _alike(least: float):
     return run
 
 
-def _candidates(rows: DataFrame, leaders: int, small: int, salt: int) -> tuple[DataFrame, DataFrame]:
+def _candidates(rows: DataFrame, leaders: int, small: int) -> tuple[DataFrame, DataFrame]:
     """(rows of buckets with several groups, with their number n; pairs (a, b) of different groups) from (key, id, group)."""
     mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 != g2").select("key", "n")
     own = scratch(rows.join(mixed, "key"))
     few = own.where(F.col("n") <= small).groupBy("key").agg(F.collect_list(F.struct("id", "group")).alias("m"))
     few = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.id < y.id and x.group != y.group").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     large = own.where(F.col("n") > small)
-    drawn_by = [F.min(F.struct(F.xxhash64("group", F.lit(j)).alias("h"), F.xxhash64("id", F.lit(j)).alias("k"), "id", "group")) for j in range(salt, salt + leaders)]
+    drawn_by = [F.min(F.struct(F.xxhash64("group", F.lit(j)).alias("h"), F.xxhash64("id", F.lit(j)).alias("k"), "id", "group")) for j in range(leaders)]
     led = large.groupBy("key").agg(F.array_distinct(F.transform(F.array(*drawn_by), lambda x: F.struct(x["id"].alias("to"), x["group"].alias("to_group")))).alias("leaders"))
     many = large.join(led, "key").select("id", "group", F.inline("leaders")).where("group != to_group").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
     return own, few.unionByName(many)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, leaders: int = 2, small: int = 8, finer: int = 5) -> DataFrame:
-    """(id, class_id, kept) for each row: the least id of its class, and whether it is that one."""
+def _block_pairs(rows: DataFrame, size: DataFrame) -> DataFrame:
+    """Rows of (key, id, ...), once for each pair (x, y) of blocks of their key that they take part in; ``size`` is (key, blocks). Each pair of rows of a key meets in one pair of blocks."""
+    own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int")
+    dealt = rows.join(size, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    return dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("blocks", "other")
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(places of the first block, places of the second, whether they are one block)."""
+    own, x, y = (t.column(c).to_numpy() for c in ("own", "x", "y"))
+    return np.flatnonzero(own == x[0]), np.flatnonzero(own == y[0]), bool(x[0] == y[0])
+
+
+def _stacked(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, DRAWS)
+
+
+def _resembled(least: float):
+    """Members (key, id) of a pair of blocks whose draws agree with those of a text of another group."""
+
+    def run(t: pa.Table) -> pa.Table:
+        left, right, _ = _sides(t)
+        group, d, found = t.column("group").to_numpy(), _stacked(t.column("draws")), np.zeros(t.num_rows, bool)
+        for a in left:
+            hit = right[(group[right] != group[a]) & ((d[right] == d[a]).sum(1) >= least * DRAWS)]
+            found[hit] = True
+            found[a] |= len(hit) > 0
+        return t.select(["key", "id"]).filter(pa.array(found))
+
+    return run
+
+
+def _block_links(threshold: float, least: float):
+    """Links (a, b) of a pair of blocks: all pairs of different groups are compared exactly, and a link merges two groups."""
+
+    def run(t: pa.Table) -> pa.Table:
+        left, right, one = _sides(t)
+        ids, d = t.column("id").to_numpy(), _stacked(t.column("draws"))
+        group = np.unique(t.column("group").to_numpy(), return_inverse=True)[1]
+        hashes = [np.frombuffer(x, np.uint64) for x in t.column("h").to_pylist()]
+        w = np.frombuffer(b"".join(t.column("w").to_pylist()), np.float32)
+        lengths = np.array([len(x) for x in hashes])
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        total = np.add.reduceat(w, starts, dtype=np.float64)
+        names, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        own = np.zeros(len(names), np.float32)
+        links: list[tuple[int, int]] = []
+        for a in left:
+            other = right[group[right] != group[a]]
+            other = other[other > a] if one else other
+            other = other[np.minimum(total[other], total[a]) >= threshold * np.maximum(total[other], total[a])]
+            other = other[(d[other] == d[a]).sum(1) >= least * DRAWS]
+            if not len(other):
+                continue
+            mine = at[starts[a] : ends[a]]
+            own[mine] = w[starts[a] : ends[a]]
+            # the others' lists, end to end
+            from_ = np.cumsum(lengths[other]) - lengths[other]
+            place = np.arange(lengths[other].sum()) + np.repeat(starts[other] - from_, lengths[other])
+            low = np.add.reduceat(np.minimum(own[at[place]], w[place]), from_, dtype=np.float64)
+            own[mine] = 0
+            for b in other[low >= threshold * (total[a] + total[other] - low)]:
+                if group[b] != group[a]:
+                    links.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+                    group[group == group[b]] = group[a]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, leaders: int = 2, small: int = 8, block: int = 512) -> DataFrame:
+    """(id, class_id, kept) for each row: the least id of its class, and whether it is that one. A block has about ``block`` texts, fewer where they are long."""
     spark = docs.sparkSession
     ship_package(spark)
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(text_col).alias("text"))
@@ -251,14 +324,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = scratch(drawn.where("draws is not null").groupBy("digest").agg(F.min(F.struct("id", "draws")).alias("x")).select("x.*"))
     draw = lambda i, n=1: F.substring("draws", 2 * i + 1, 2 * n)
     keys = F.array(*[F.xxhash64(F.lit(b), draw(ROWS * b, ROWS)) for b in range(BANDS)])
-    shared, pairs = _candidates(texts.select("id", F.col("id").alias("group"), F.explode(keys).alias("key")), leaders, small, 0)
+    shared, pairs = _candidates(texts.select("id", F.col("id").alias("group"), F.explode(keys).alias("key")), leaders, small)
     # the texts of shared buckets, as a bitmap of fixed size; strays that hash alike are filtered by the joins below
     place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - MAP_BITS).cast("int")
     bits = shared.select("id").distinct().select(place(F.col("id")).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, p & 31)")).alias("b")).toPandas()
     bitmap = np.zeros(1 << (MAP_BITS - 5), np.uint32)
     bitmap[bits["w"].to_numpy(dtype=np.int64)] = bits["b"].to_numpy(dtype=np.uint64).astype(np.uint32)
     wanted = spark.sparkContext.broadcast(bitmap.view(np.uint8))  # 2 MB
-    lists = d.select("id", "text", place(F.col("id")).alias("p")).mapInArrow(_shingle_pass(idf, wanted), "id long, h binary, w binary")
+    lists = d.select("id", "text", place(F.col("id")).alias("p")).mapInArrow(_shingle_pass(idf, wanted), "id long, h binary, w binary, size int")
     lists = scratch(lists.dropDuplicates(["id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -270,13 +343,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return scratch(full.mapInArrow(_verify(threshold), "a long, b long"))
 
     links = verified(pairs)
-    # two rounds give nearly the components; where they fall short, more is compared
+    # two rounds give nearly the components; buckets that still hold several groups are compared whole
     groups = connected_components(links, "a", "b", rounds=2).withColumnRenamed("node", "id")
-    large = shared.where(F.col("n") > small).select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("group"))
-    mixed = large.groupBy("key").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 != g2").select("key")
-    cuts = F.array(*[F.xxhash64("key", F.lit(i), draw(i)) for i in range(1, DRAWS, DRAWS // finer)])
-    finest = large.join(mixed, "key").join(texts, "id").select("id", "group", F.explode(cuts).alias("key"))
-    links = links.unionByName(verified(_candidates(finest, leaders, small, leaders)[1]))
+    large = shared.where(F.col("n") > small).select("key", "id", "n").join(groups, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("group"))
+    mixed = large.groupBy("key").agg(F.ceil(F.first("n") / block).alias("blocks"), F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 != g2").select("key", "blocks")
+    members = large.select("key", "id", "group").join(texts, "id")
+    near = _block_pairs(members, mixed).groupBy("key", "x", "y").applyInArrow(_resembled(0.5), "key long, id long").distinct()
+    members = scratch(members.join(near, ["key", "id"]).join(lists.select("id", "size"), "id"))
+    blocks = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
+    whole = _block_pairs(members.drop("size"), blocks).join(lists.drop("size"), "id")
+    links = links.unionByName(scratch(whole.groupBy("key", "x", "y").applyInArrow(_block_links(threshold, 0.5), "a long, b long")))
     classes = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
     entry = copies.join(classes, "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     out = drawn.select("id", "digest").join(entry, "digest")

@@ -183,6 +183,24 @@ def test_near_duplicates_are_found_and_others_left_alone(spark):
     assert got == {i: first[o] for i, o in origin.items()}
 
 
+def test_copies_alike_only_to_their_source_are_one_class(spark):
+    base = words(200, 21).split()
+    rows = [(0, " ".join(base), "a")]
+    for i in range(1, 1001):
+        rng = random.Random(i)
+        x = list(base)
+        for at in rng.sample(range(0, 200, 5), 4):
+            x[at] = rng.choice([v for v in base if v != x[at]])
+        rows.append((i, " ".join(x), "a"))
+    docs = documents(spark, rows)
+    idf = near_duplicates.idf_of(*near_duplicates.word_frequencies(docs.select("text")))
+    sets = [near_duplicates.shingles(near_duplicates.word_hashes(r[1]), idf) for r in rows]
+    assert all(near_duplicates.weighted_jaccard(sets[0], x) >= 0.8 for x in sets[1:])
+    assert max(near_duplicates.weighted_jaccard(sets[i], sets[i + 1]) for i in range(1, 100)) < 0.8
+    got = near_duplicates.near_duplicates(docs).collect()
+    assert len(got) == 1001 and {r["class_id"] for r in got} == {0}
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = near_duplicates.near_duplicates(odd).collect()
     by = {r["doc_id"]: r["class_id"] for r in got}
