@@ -254,26 +254,26 @@ def kg_fix_pct(s, d):
 
 
 @query(f"WITH RECURSIVE {KG_THIN}, b AS (SELECT src, dst FROM kg_edges UNION SELECT dst, src FROM kg_edges), r AS (SELECT src AS node, src AS c FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON b.src=r.node) SELECT node, min(c) AS component FROM r GROUP BY node")
-def kg_components(s, d):
-    return connected_components(kg_edges(s, d, thin=True))
+def kg_components(s, d, thin=True):
+    return connected_components(kg_edges(s, d, thin=thin))
 
 
 @query(f"WITH {KG_THIN} SELECT src, dst, r FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY max(conf) DESC, dst) AS r FROM kg_edges GROUP BY src, dst) WHERE r<=3")
-def gen_single_hop(s, d):
-    e = kg_edges(s, d, thin=True).groupBy("src", "dst").agg(F.max("conf").alias("c"))
+def gen_single_hop(s, d, thin=True):
+    e = kg_edges(s, d, thin=thin).groupBy("src", "dst").agg(F.max("conf").alias("c"))
     return e.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy(F.col("c").desc(), "dst")).cast("long").alias("r")).where("r <= 3")
 
 
 @query(f"WITH {KG_THIN}, p AS (SELECT DISTINCT src, dst FROM kg_edges), rare AS (SELECT dst FROM p GROUP BY dst HAVING count(*) BETWEEN 2 AND 3) SELECT x.src AS a, y.src AS b, x.dst AS via FROM p x JOIN p y ON x.dst=y.dst AND x.src<y.src WHERE x.dst IN (SELECT dst FROM rare)")
-def gen_multi_constraint(s, d):
-    return K.multi_constraint(kg_edges(s, d, thin=True))
+def gen_multi_constraint(s, d, thin=True):
+    return K.multi_constraint(kg_edges(s, d, thin=thin))
 
 
 @query(f"WITH {KG_THIN} SELECT e.src, p_brand, count(*) AS n FROM kg_edges e JOIN part ON 'part:'||p_partkey=e.dst JOIN customer ON 'cust:'||c_custkey=e.src WHERE c_mktsegment='BUILDING' GROUP BY 1,2")
-def gen_cross(s, d):
+def gen_cross(s, d, thin=True):
     p = table(s, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("dst"), "p_brand")
     c = table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("cust:"), "c_custkey").alias("src"))
-    return kg_edges(s, d, thin=True).join(p, "dst").join(c, "src").groupBy("src", "p_brand").agg(F.count("*").alias("n"))
+    return kg_edges(s, d, thin=thin).join(p, "dst").join(c, "src").groupBy("src", "p_brand").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {KG_ALL}, {ADJ} SELECT src, dst, round(w,6) AS w FROM adj")
@@ -282,8 +282,8 @@ def grf_adjacency(s, d):
 
 
 @query(f"WITH {KG_THIN}, b AS (SELECT src, dst FROM kg_edges UNION SELECT dst, src FROM kg_edges), s0 AS (SELECT src AS node FROM b WHERE src LIKE 'cust:%' GROUP BY src ORDER BY md5(src), src LIMIT 5), h1 AS (SELECT DISTINCT s0.node AS qid, b.dst AS node FROM s0 JOIN b ON b.src=s0.node), h2 AS (SELECT DISTINCT h1.qid, b.dst AS node FROM h1 JOIN b ON b.src=h1.node), u AS (SELECT node AS qid, node, 0 AS hop FROM s0 UNION ALL SELECT qid, node, 1 FROM h1 UNION ALL SELECT qid, node, 2 FROM h2) SELECT qid, node, min(hop) AS hop FROM u GROUP BY qid, node")
-def grf_expand_pool(s, d):
-    e = kg_edges(s, d, thin=True)
+def grf_expand_pool(s, d, thin=True):
+    e = kg_edges(s, d, thin=thin)
     return K.expand(e, _seeds(e).select(F.col("node").alias("qid"), "node"), 2)
 
 
@@ -298,8 +298,8 @@ def _seeds(e):
     "pr AS (SELECT 0 AS i, node, r::DOUBLE AS m FROM s0 UNION ALL SELECT i, node, sum(m) FROM (SELECT pr.i+1 AS i, mv.dst AS node, 0.5*pr.m*mv.p AS m FROM pr JOIN mv ON mv.src=pr.node WHERE pr.i<10 UNION ALL SELECT x.i+1, s0.node, 0.5*s0.r FROM s0, (SELECT DISTINCT i FROM pr WHERE i<10) x) GROUP BY i, node) "
     "SELECT node, round(m,6) AS mass FROM pr WHERE i=10"
 )
-def grf_ppr_k(s, d):
-    e = kg_edges(s, d, thin=True)
+def grf_ppr_k(s, d, thin=True):
+    e = kg_edges(s, d, thin=thin)
     return K.personalized_pagerank(K.adjacency(e), _seeds(e).withColumn("weight", F.lit(1.0))).select("node", F.round("mass", 6).alias("mass"))
 
 
@@ -312,15 +312,15 @@ def _hop(i: int) -> str:
 
 
 @query(f"WITH {KG_THIN}, {STEP}, s0 AS (SELECT src AS node FROM (SELECT DISTINCT src FROM kg_edges) ORDER BY md5(src), src LIMIT 5), f0 AS (SELECT node AS qid, [node] AS path, 1.0 AS score, node FROM s0), {_hop(1)}, {_hop(2)}, {_hop(3)} SELECT qid, array_to_string(path,'>') AS path, round(score,6) AS score, rk FROM (SELECT *, {RANKED} AS rk FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2 UNION ALL SELECT * FROM n3) WHERE node LIKE 'part:%') WHERE rk<=20")
-def grf_paths(s, d):
-    e = kg_edges(s, d, thin=True)
+def grf_paths(s, d, thin=True):
+    e = kg_edges(s, d, thin=thin)
     seeds = _seeds(e).select(F.col("node").alias("qid"), "node", F.lit(1.0).alias("weight"))
     return K.paths(e, seeds, ["part"]).select("qid", F.array_join("path", ">").alias("path"), F.round("score", 6).alias("score"), "rk")
 
 
 @query(f"WITH {KG_THIN}, b AS (SELECT src, dst FROM kg_edges UNION SELECT dst, src FROM kg_edges), g AS (SELECT src, count(*) AS d FROM b GROUP BY src) SELECT x.src AS a, y.src AS b, round(sum(1/ln(d)),6) AS score FROM b x JOIN b y ON x.dst=y.dst AND x.src<y.src JOIN g ON g.src=x.dst WHERE d>1 GROUP BY 1,2")
-def grf_adamic_adar(s, d):
-    return K.adamic_adar(kg_edges(s, d, thin=True)).select("a", "b", F.round("score", 6).alias("score"))
+def grf_adamic_adar(s, d, thin=True):
+    return K.adamic_adar(kg_edges(s, d, thin=thin)).select("a", "b", F.round("score", 6).alias("score"))
 
 
 # ---- retrieval
@@ -565,8 +565,8 @@ def win_context_pack(s, d):
 
 # ---- service and streams
 @query(f"WITH {KG_THIN} SELECT DISTINCT src, rel, dst FROM kg_edges WHERE src IN (SELECT node FROM (SELECT DISTINCT src AS node FROM kg_edges) ORDER BY md5(node), node LIMIT 5)")
-def svc_entity(s, d):
-    e = kg_edges(s, d, thin=True)
+def svc_entity(s, d, thin=True):
+    e = kg_edges(s, d, thin=thin)
     return e.join(_seeds(e), F.col("src") == F.col("node"), "left_semi").select("src", "rel", "dst").distinct()
 
 

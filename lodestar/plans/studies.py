@@ -11,7 +11,7 @@ from lodestar.functions import text as T
 from lodestar.operators import evaluation as E
 from lodestar.operators import knowledge as K
 from lodestar.operators import search as S
-from lodestar.plans.catalogue import ADJ, BM, EID, FR, GOLD, KG_ALL, KG_THIN, LEX, MERGED, RANKED, RECALL, RRF, STEP, _docs, _gold, _hop, _lexical, _q, _seeds, content, query, tok  # noqa: F401
+from lodestar.plans.catalogue import ADJ, BM, EID, FR, GOLD, KG_ALL, KG_THIN, LEX, MERGED, ORACLE_SQL, QUERIES, RANKED, RECALL, RRF, STEP, _docs, _gold, _hop, _lexical, _q, _seeds, content, query, tok  # noqa: F401
 from lodestar.sources.tables import kg_edges, table
 from lodestar.streaming import logs as L
 
@@ -63,22 +63,22 @@ def kg_validate(s, d):
 
 
 @query(f"WITH {KG_THIN} SELECT DISTINCT src, dst, p_type AS version FROM kg_edges JOIN part ON 'part:'||p_partkey=dst WHERE p_size>40")
-def gen_version(s, d):
+def gen_version(s, d, thin=True):
     v = table(s, d, "part").where("p_size > 40").select(F.concat(F.lit("part:"), "p_partkey").alias("dst"), F.col("p_type").alias("version"))
-    return kg_edges(s, d, thin=True).join(v, "dst").select("src", "dst", "version").distinct()
+    return kg_edges(s, d, thin=thin).join(v, "dst").select("src", "dst", "version").distinct()
 
 
 @query(f"WITH {KG_THIN}, c AS (SELECT c_nationkey AS code, min('cust:'||c_custkey) AS symptom FROM customer WHERE 'cust:'||c_custkey IN (SELECT src FROM kg_edges) GROUP BY 1) SELECT code, symptom, min(dst) AS fix FROM c JOIN kg_edges ON src=symptom GROUP BY 1,2")
-def gen_error(s, d):
-    e = kg_edges(s, d, thin=True).select("src", "dst")
+def gen_error(s, d, thin=True):
+    e = kg_edges(s, d, thin=thin).select("src", "dst")
     c = table(s, d, "customer").select(F.col("c_nationkey").alias("code"), F.concat(F.lit("cust:"), "c_custkey").alias("src")).join(e, "src", "left_semi")
     first = c.groupBy("code").agg(F.min("src").alias("symptom"))
     return first.join(e, F.col("symptom") == F.col("src")).groupBy("code", "symptom").agg(F.min("dst").alias("fix"))
 
 
 @query(f"WITH {KG_THIN}, {ADJ}, m AS (SELECT src AS node, split_part(chunk,':',1) AS a FROM kg_edges UNION ALL SELECT dst, split_part(chunk,':',1) FROM kg_edges), l AS (SELECT node AS src, 'article:'||a AS dst, 0.2*count(*) AS w FROM m GROUP BY 1,2) SELECT src, dst, round(sum(w),6) AS w FROM (SELECT src,dst,w FROM adj UNION ALL SELECT src,dst,w FROM l UNION ALL SELECT dst,src,w FROM l) GROUP BY 1,2")
-def grf_doc_layer(s, d):
-    e = kg_edges(s, d, thin=True)
+def grf_doc_layer(s, d, thin=True):
+    e = kg_edges(s, d, thin=thin)
     mentions = e.select(F.col("src").alias("node"), "chunk").unionAll(e.select("dst", "chunk"))
     return K.document_layer(K.adjacency(e), mentions).select("src", "dst", F.round("w", 6).alias("w"))
 
@@ -86,21 +86,21 @@ def grf_doc_layer(s, d):
 PATHS = f"{KG_THIN}, {STEP}, s0 AS (SELECT src AS node FROM (SELECT DISTINCT src FROM kg_edges) ORDER BY md5(src), src LIMIT 5), f0 AS (SELECT node AS qid, [node] AS path, 1.0 AS score, node FROM s0), {_hop(1)}, {_hop(2)}, {_hop(3)}, pt AS (SELECT qid, path, score, rk FROM (SELECT *, {RANKED} AS rk FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2 UNION ALL SELECT * FROM n3) WHERE node LIKE 'part:%') WHERE rk<=20)"
 
 
-def _paths(s, d):
-    e = kg_edges(s, d, thin=True)
+def _paths(s, d, thin=True):
+    e = kg_edges(s, d, thin=thin)
     return K.paths(e, _seeds(e).select(F.col("node").alias("qid"), "node", F.lit(1.0).alias("weight")), ["part"])
 
 
 @query(f"WITH {PATHS}, ex AS (SELECT qid, rk, path, unnest(range(1,len(path))) AS i FROM pt WHERE rk<=8) SELECT qid, rk, string_agg(CASE WHEN EXISTS (SELECT 1 FROM kg_edges k WHERE k.src=path[i] AND k.dst=path[i+1]) THEN path[i]||' -> '||path[i+1] ELSE path[i]||' <- '||path[i+1] END, '; ' ORDER BY i) AS shown FROM ex GROUP BY qid, rk")
-def grf_path_text(s, d):
-    return K.path_text(_paths(s, d).where("rk <= 8"), kg_edges(s, d, thin=True))
+def grf_path_text(s, d, thin=True):
+    return K.path_text(_paths(s, d, thin).where("rk <= 8"), kg_edges(s, d, thin=thin))
 
 
 @query(f"WITH {PATHS}, x AS (SELECT qid, unnest(path) AS node, score FROM pt), m AS (SELECT DISTINCT node, chunk FROM (SELECT src AS node, chunk FROM kg_edges UNION ALL SELECT dst, chunk FROM kg_edges)), c AS (SELECT qid, chunk AS doc, max(score) AS score FROM x JOIN m USING(node) GROUP BY 1,2) SELECT qid, doc, round(score,6) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score,9) DESC, doc) AS rk FROM c) WHERE rk<=8")
-def ret_s3(s, d):
-    e = kg_edges(s, d, thin=True)
+def ret_s3(s, d, thin=True):
+    e = kg_edges(s, d, thin=thin)
     m = e.select(F.col("src").alias("node"), "chunk").unionAll(e.select("dst", "chunk")).distinct()
-    c = _paths(s, d).select("qid", "score", F.explode("path").alias("node")).join(m, "node").groupBy("qid", F.col("chunk").alias("doc")).agg(F.max("score").alias("score"))
+    c = _paths(s, d, thin).select("qid", "score", F.explode("path").alias("node")).join(m, "node").groupBy("qid", F.col("chunk").alias("doc")).agg(F.max("score").alias("score"))
     return S.top_k(c, 8).select("qid", "doc", F.round("score", 6).alias("score"), "rk")
 
 
@@ -226,8 +226,8 @@ def s_bootstrap_exact(s, d):
 
 # ---- service and streams
 @query(f"WITH {KG_THIN}, ids AS (SELECT src AS node FROM (SELECT DISTINCT src FROM kg_edges) ORDER BY md5(src), src LIMIT 5), near AS (SELECT node FROM ids UNION SELECT dst FROM kg_edges WHERE src IN (SELECT node FROM ids)) SELECT DISTINCT src, rel, dst FROM kg_edges WHERE src IN (SELECT node FROM near) AND dst IN (SELECT node FROM near)")
-def svc_subgraph(s, d):
-    e = kg_edges(s, d, thin=True)
+def svc_subgraph(s, d, thin=True):
+    e = kg_edges(s, d, thin=thin)
     seeds = _seeds(e)
     near = seeds.unionByName(e.join(seeds, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node"))).distinct()
     return K.induced(e.select("src", "rel", "dst").distinct(), near)
@@ -241,3 +241,23 @@ def st_latest(s, d):
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality=1)")
 def st_resume(s, d):
     return _docs(s, d).join(table(s, d, "labels").where("quality = 1"), "doc_id", "left_anti").select("doc_id")
+
+
+# ---- the whole graph: what the catalogue runs on the thin one runs on all of kg_edges too, as NAME_whole
+THIN = ("kg_components", "gen_single_hop", "gen_multi_constraint", "gen_cross", "gen_version", "gen_error", "grf_expand_pool", "grf_ppr_k", "grf_paths", "grf_path_text", "grf_adamic_adar", "grf_doc_layer", "ret_s3", "svc_entity", "svc_subgraph")
+#: Spreading labels along a recursive query makes nodes times nodes rows; tests/test_whole.py holds it against brute force.
+NO_SQL = ("kg_components",)
+
+
+def _whole(name):
+    f = QUERIES[name]
+
+    def run(s, d):
+        return f(s, d, thin=False)
+
+    run.__name__ = f"{name}_whole"
+    return run
+
+
+for _name in THIN:
+    query(None if _name in NO_SQL else ORACLE_SQL[_name].replace(KG_THIN, KG_ALL))(_whole(_name))
