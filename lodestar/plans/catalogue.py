@@ -129,13 +129,13 @@ ALIASES = {"article": ["the", "der", "la"], "of": ["of", "de"], "that": ["que",
 
 
 @query(r"SELECT doc_id, array_to_string(list_filter([" + ",".join(f"CASE WHEN regexp_matches(text, '(?i)(^|[^\\w-])({'|'.join(v)})($|[^\\w-])') THEN '{k}' END" for k, v in ALIASES.items()) + "], lambda x: x IS NOT NULL),',') AS names FROM documents WHERE lang='en'")
-def txt_alias_mentions(s, d):
-    return _docs(s, d).where("lang = 'en'").select("doc_id", F.array_join(T.alias_mentions(F.col("text"), ALIASES), ",").alias("names"))
+def txt_alias_mentions(s, d, lang="lang = 'en'"):
+    return _docs(s, d).where(lang).select("doc_id", F.array_join(T.alias_mentions(F.col("text"), ALIASES), ",").alias("names"))
 
 
 @query(r"SELECT doc_id, regexp_matches(text, '(?i)\b(if|when|unless)\b') AS conditional, len(regexp_extract_all(lower(text), '\bwhen\b')) AS n_when FROM documents WHERE lang='en'")
-def txt_conditional_sentences(s, d):
-    x = _docs(s, d).where("lang = 'en'")
+def txt_conditional_sentences(s, d, lang="lang = 'en'"):
+    x = _docs(s, d).where(lang)
     return x.select("doc_id", T.is_conditional(F.col("text")).alias("conditional"), F.regexp_count(F.lower("text"), F.lit(r"\bwhen\b")).cast("long").alias("n_when"))
 
 

@@ -11,7 +11,7 @@ from lodestar.functions import text as T
 from lodestar.operators import evaluation as E
 from lodestar.operators import knowledge as K
 from lodestar.operators import search as S
-from lodestar.plans.catalogue import ADJ, BM, EID, FR, GOLD, KG_ALL, KG_THIN, LEX, MERGED, ORACLE_SQL, QUERIES, RANKED, RECALL, RRF, STEP, _docs, _gold, _hop, _lexical, _q, _seeds, content, query, tok  # noqa: F401
+from lodestar.plans.catalogue import ADJ, BM, EID, FR, GOLD, KG_ALL, KG_THIN, LEX, MERGED, ORACLE_SQL, QUERIES, RANKED, RECALL, RRF, STEP, _docs, _gold, _hop, _lexical, _q, _seeds, content, query, tok, txt_alias_mentions, txt_conditional_sentences  # noqa: F401
 from lodestar.sources.tables import kg_edges, table
 from lodestar.streaming import logs as L
 
@@ -19,8 +19,9 @@ GENERIC = ("the", "erin", "than", "tion")
 
 
 @query(f"WITH {GOLD} SELECT qid, doc, array_to_string(list_sort(list_intersect(list_filter(a, w -> NOT list_contains(['the','erin','than','tion'], w)), q)),' ') AS leak FROM (SELECT g.qid, g.doc, {content('b.text')} AS q, {content('left(d.text,2000)')} AS a FROM gold g JOIN benchmark b ON b.item_id=g.qid JOIN documents d ON d.doc_id=g.doc)".replace("w -> NOT", "lambda w: NOT"))
-def txt_anchor_leak(s, d):
-    g = _gold(s, d).join(_q(s, d).select(F.col("item_id").alias("qid"), T.content_words(F.col("text")).alias("q")), "qid").join(_docs(s, d).select(F.col("doc_id").alias("doc"), T.content_words(F.substring("text", 1, 2000)).alias("a")), "doc")
+def txt_anchor_leak(s, d, whole=False):
+    text = F.col("text") if whole else F.substring("text", 1, 2000)
+    g = _gold(s, d).join(_q(s, d).select(F.col("item_id").alias("qid"), T.content_words(F.col("text")).alias("q")), "qid").join(_docs(s, d).select(F.col("doc_id").alias("doc"), T.content_words(text).alias("a")), "doc")
     return g.select("qid", "doc", F.array_join(F.array_sort(T.anchor_leak(F.col("a"), F.col("q"), GENERIC)), " ").alias("leak"))
 
 
@@ -261,3 +262,19 @@ def _whole(name):
 
 for _name in THIN:
     query(None if _name in NO_SQL else ORACLE_SQL[_name].replace(KG_THIN, KG_ALL))(_whole(_name))
+
+
+# ---- whole texts and all languages
+@query(ORACLE_SQL["txt_anchor_leak"].replace("left(d.text,2000)", "d.text"))
+def txt_anchor_leak_whole(s, d):
+    return txt_anchor_leak(s, d, whole=True)
+
+
+@query(ORACLE_SQL["txt_alias_mentions"].replace(" WHERE lang='en'", ""))
+def txt_alias_mentions_whole(s, d):
+    return txt_alias_mentions(s, d, lang="true")
+
+
+@query(ORACLE_SQL["txt_conditional_sentences"].replace(" WHERE lang='en'", ""))
+def txt_conditional_sentences_whole(s, d):
+    return txt_conditional_sentences(s, d, lang="true")

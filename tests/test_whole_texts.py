@@ -1,0 +1,15 @@
+"""Text queries over whole texts and all languages."""
+
+from lodestar.plans.studies import QUERIES
+
+
+def test_words_late_in_a_text_and_other_languages_count(spark, tmp_path):
+    item = "rare zebra question"
+    rows = [(1, "filler " * 400 + item, "en", "a", 2819), (2, "der Hund, que when", "de", "a", 18)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: [r.asDict() for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    leaks = run("txt_anchor_leak_whole")
+    assert [r["doc"] for r in leaks] == [1] and "zebra" in leaks[0]["leak"].split()
+    assert {r["doc_id"]: r["names"] for r in run("txt_alias_mentions_whole")}[2] == "article,that"
+    assert {r["doc_id"]: (r["conditional"], r["n_when"]) for r in run("txt_conditional_sentences_whole")}[2] == (True, 1)
