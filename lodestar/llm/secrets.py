@@ -4,14 +4,14 @@ Base kinds, each leftmost and non-overlapping: ``assign`` (a secret's name, a si
 more characters), ``access`` (key ids) and ``hex``.
 
 Random tokens. Candidates are runs of 20 or more characters of the usual encodings. The encoding
-is inferred from the characters (hex, base32, base64, base64url), and three tests ask whether the
+is inferred from the characters (hex, base32, base36, base58, base62, base64, base64url), the narrowest first, and three tests ask whether the
 token's symbols are uniform and independent in its alphabet: chi-squared uniformity, Wald-Wolfowitz
 runs about the alphabet's middle, and the serial correlation at lag 1. Fisher's method combines
 their p-values, and a token stays if it can't be told from random at 0.1 %.
 
 False discoveries. Against a model of ordinary long tokens (words, paths, numbers: they keep to one
 class of characters for long) a token has the likelihood ratio e = P(token | uniform) / P(token |
-ordinary), which is an e-value: its expectation over ordinary tokens is at most 1, whatever the length, and its
+ordinary), divided by the number of encodings, for the encoding is inferred; this is an e-value: its expectation over ordinary tokens is at most 1, whatever the length, and its
 evidence grows with the length. The e-value form of Benjamini and Hochberg's rule over all candidates of
 the table keeps the k largest, for the largest k whose k-th is at least candidates / (rate * k). It
 holds under any dependence. The cut is found from counts per tenth of log e: a table of fixed
@@ -36,9 +36,12 @@ KINDS = {"assign": (ASSIGN, 2, 12), "access": (r"AKIA[A-Z0-9]+", 0, 18), "hex":
 #: Quick tests that a text must pass to hold a span at all.
 MAY = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}"}
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+_UP, _LOW, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Encodings with their symbols in order, each before those that hold all of its symbols: a token counts as of the first that it fits.
 ALPHABETS = {
-    "hex": (r"^[0-9a-f]+$", "0123456789abcdef"), "HEX": (r"^[0-9A-F]+$", "0123456789ABCDEF"), "base32": (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    "base64": (r"^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), "base64url": (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_+/"),
+    "hex": (r"^[0-9a-f]+$", "0123456789abcdef"), "HEX": (r"^[0-9A-F]+$", "0123456789ABCDEF"), "base32": (r"^[A-Z2-7]+$", _UP + "234567"), "base32 lower": (r"^[a-z2-7]+$", _LOW + "234567"),
+    "base36": (r"^[0-9A-Z]+$", _DIGITS + _UP), "base36 lower": (r"^[0-9a-z]+$", _DIGITS + _LOW), "base58": (r"^[1-9A-HJ-NP-Za-km-z]+$", "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"),
+    "base62": (r"^[0-9A-Za-z]+$", _DIGITS + _UP + _LOW), "base64": (r"^[A-Za-z0-9+/]+$", _UP + _LOW + _DIGITS + "+/"), "base64url": (r"^[A-Za-z0-9_-]+$", _UP + _LOW + _DIGITS + "-_"), "mixed": (r"", _UP + _LOW + _DIGITS + "-_+/"),
 }
 SPAN = "array<struct<start:int,end:int,kind:int>>"
 
@@ -77,11 +80,11 @@ def _upper_tail(z: Column) -> Column:
 def battery(token: Column) -> Column:
     """struct<encoding, p_chi, p_runs, p_serial, p, log_e> of a candidate token."""
     t = F.regexp_replace(token, "=+$", "")
-    encoding, alphabet = F.lit("base64url"), F.lit(ALPHABETS["base64url"][1])
-    for name in ("base64", "base32", "HEX", "hex"):
-        pattern, letters = ALPHABETS[name]
-        encoding, alphabet = F.when(t.rlike(pattern), F.lit(name)).otherwise(encoding), F.when(t.rlike(pattern), F.lit(letters)).otherwise(alphabet)
-    first = F.struct(t.alias("t"), encoding.alias("encoding"), alphabet.alias("alphabet"))
+    inferred = None
+    for name, (pattern, letters) in reversed(ALPHABETS.items()):
+        this = F.struct(F.lit(name).alias("encoding"), F.lit(letters).alias("alphabet"))
+        inferred = this if inferred is None else F.when(t.rlike(pattern), this).otherwise(inferred)
+    first = F.struct(t.alias("t"), inferred["encoding"].alias("encoding"), inferred["alphabet"].alias("alphabet"))
 
     def stats(x: Column) -> Column:
         chars = F.split(x["t"], "")
@@ -108,7 +111,7 @@ def battery(token: Column) -> Column:
         sizes = lambda c: F.when(c == 0, 26.0).when(c == 1, 26.0).when(c == 2, 10.0).otherwise(5.0)
         steps = F.zip_with(F.slice(x["c"], F.lit(1), F.size(v) - 1), F.slice(x["c"], F.lit(2), F.size(v) - 1), lambda a, b: F.when(a == b, F.lit(math.log(0.95))).otherwise(F.lit(math.log(0.05 / 3))) - F.ln(sizes(b)))
         ordinary = total(steps) - F.lit(math.log(4.0)) - F.ln(sizes(F.element_at(x["c"], 1)))
-        return F.struct(x["encoding"].alias("encoding"), _upper_tail(z_chi).alias("p_chi"), F.least(2 * _upper_tail(F.abs(z_runs)), F.lit(1.0)).alias("p_runs"), F.least(2 * _upper_tail(F.abs(z_serial)), F.lit(1.0)).alias("p_serial"), (-n * F.ln(k) - ordinary).alias("log_e"))
+        return F.struct(x["encoding"].alias("encoding"), _upper_tail(z_chi).alias("p_chi"), F.least(2 * _upper_tail(F.abs(z_runs)), F.lit(1.0)).alias("p_runs"), F.least(2 * _upper_tail(F.abs(z_serial)), F.lit(1.0)).alias("p_serial"), (-n * F.ln(k) - F.lit(math.log(len(ALPHABETS))) - ordinary).alias("log_e"))
 
     def combined(x: Column) -> Column:
         y = -(F.ln(x["p_chi"]) + F.ln(x["p_runs"]) + F.ln(x["p_serial"]))

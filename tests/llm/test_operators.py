@@ -290,6 +290,21 @@ def test_secret_spans_against_brute_force(spark):
     assert not any(s[1] == 3 for i in range(11, 14) for s in got[i])
 
 
+def test_random_tokens_of_each_encoding_and_length_are_kept(spark):
+    up, low, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    symbols = {"hex": digits + "abcdef", "HEX": digits + "ABCDEF", "base32": up + "234567", "base32 lower": low + "234567", "base36": digits + up, "base36 lower": digits + low}
+    symbols |= {"base58": "".join(sorted(set(digits + up + low) - set("0OIl"))), "base62": digits + up + low, "base64": up + low + digits + "+/", "base64url": up + low + digits + "-_"}
+    rng = random.Random(3)
+    rows = [(e, n, "".join(rng.choice(a) for _ in range(n))) for e, a in symbols.items() for n in (20, 32, 40, 64, 128) for _ in range(200)]
+    d = spark.createDataFrame(rows, "encoding string, n int, token string").repartition(8)
+    s = secrets.battery(F.col("token"))
+    got = {(r["encoding"], r["n"]): r["kept"] for r in d.groupBy("encoding", "n").agg(F.avg((s["p"] >= 0.001).cast("int")).alias("kept")).collect()}
+    assert len(got) == 50 and min(got.values()) >= 0.95
+    texts = [(i, f"{words(20, i)} {t} {words(20, i + 9000)}", "a") for i, (_, _, t) in enumerate(rows) if i % 10 == 0]
+    found = secrets.scan(documents(spark, texts)).select(F.exists("spans", lambda x: x["kind"] != 0)).collect()
+    assert sum(r[0] for r in found) >= 0.95 * len(texts)
+
+
 def test_redaction(spark):
     d = spark.createDataFrame([("ab password=" + "x" * 12 + "f" * 20 + " cd é",)], "text string")
     d = secrets.scan(d)
