@@ -248,6 +248,15 @@ def test_embedding_links_against_brute_force(spark):
     assert embedding_dedup.near_vectors(d.limit(0)).count() == 0
 
 
+def test_embedding_links_of_several_cells_are_whole_by_default(spark):
+    x = np.random.default_rng(6).normal(size=(9000, 4)).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = np.array([r["n_links"] for r in embedding_dedup.near_vectors(d).orderBy("vec_id").collect()])
+    x = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = (x @ x.T >= 0.93).sum(1) - 1
+    assert got.sum() == want.sum() and (got == want).all()
+
+
 def test_hamming_search_against_brute_force(spark):
     rng = random.Random(6)
     fps = [rng.getrandbits(128) for _ in range(60)]
