@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.sources.storage import scratch
+from lodestar.sources.storage import drop, scratch
 
 
 def _stars(e: DataFrame) -> tuple[DataFrame, int, int]:
@@ -40,7 +40,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         large = large.repartition("a").distinct()  # dealt by a, which the two steps below use too; a node leads to few others here
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(low, large["a"] == low["k"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        before = e
         e, n2, x2 = _stars(small.unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b"))))
+        drop(before)
         settled = (n2, x2) == (n, x)
         n, x = n2, x2
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,24 +12,43 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets a temporary one and a cluster an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is unset: it names the folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestar-"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def scratch(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: computed once, compressed, its lineage cut."""
-    path = f"{shared_dir(df.sparkSession)}/scratch-{uuid.uuid4().hex}"
+    """df written as Parquet in the shared folder and read back: computed once, compressed, its lineage cut.
+
+    The table goes when the application ends, or earlier by ``drop``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    fs, p = _folder(spark, path)
+    fs.deleteOnExit(p)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables of ``scratch`` that nothing will read again."""
+    for t in tables:
+        path = getattr(t, "_scratch", None)
+        if path:
+            fs, p = _folder(t.sparkSession, path)
+            fs.delete(p, True)
 
 
 def ship_package(spark: SparkSession) -> None:
