@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.sources.storage import cut, scratch, shared_dir, ship_package  # noqa: F401
+from lodestar.sources.storage import drop, scratch, shared_dir, ship_package  # noqa: F401
 
 #: A word of the query contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -33,6 +33,8 @@ from lodestar.llm.common import text_of
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind -> (pattern, group that is measured, least length)
 KINDS = {"assign": (ASSIGN, 2, 12), "access": (r"AKIA[A-Z0-9]+", 0, 18), "hex": (r"[0-9a-f]+", 0, 16)}
+#: Patterns whose matches are just those of the kind's pattern that are long enough: shorter runs are never made into spans.
+LONG = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 #: Quick tests that a text must pass to hold a span at all.
 MAY = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}"}
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
@@ -51,16 +53,15 @@ def matches(text: Column, pattern: str, may: str | None = None, group: int = 0,
 
     The pieces between the matches and the matches themselves, laid end to end, give the positions.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    parts = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
+    # the last piece has no match after it and so no span: n is null there
+    parts = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
     extra = ",token:string" if keep_text else ""
     empty = F.expr(f"cast(array() as array<struct<start:int,end:int,kind:int{extra}>>)")
     zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
     def step(a: Column, p: Column) -> Column:
         start = a["at"] + p["g"]
-        measured = p["n"] if group == 0 else F.length(F.regexp_extract(p["m"], pattern, group))
+        measured = p["n"] if group == 0 else F.when(p["n"].isNotNull(), F.length(F.regexp_extract(p["m"], pattern, group)))
         span = F.struct(start.alias("start"), (start + p["n"]).alias("end"), F.lit(kind).alias("kind"), *[p["m"].alias("token")] * keep_text)
         return F.struct((start + p["n"]).alias("at"), F.when(measured >= least, F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
 
@@ -144,7 +145,7 @@ def discovery_cut(docs: DataFrame, text_col: str = "text", rate: float = 0.01) -
 
 def spans_of(text: Column, cut: float, random_p: float = 0.001) -> Column:
     """array<struct<start, end, kind>> by start, then kind (3: random token)."""
-    base = F.concat(*(matches(text, p, MAY[name], group, least, i) for i, (name, (p, group, least)) in enumerate(KINDS.items())))
+    base = F.concat(*(matches(text, LONG.get(name, p), MAY[name], group, least, i) for i, (name, (p, group, least)) in enumerate(KINDS.items())))
     if cut == math.inf:
         return F.array_sort(base).cast(SPAN)
     keep = lambda x: (x["s"]["log_e"] >= F.lit(cut)) & (x["s"]["p"] >= F.lit(random_p))
