@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import byte_bpe, chat, embedding_dedup, importance, lattice_lm, main_text, mixing, near_duplicates, secrets, simhash
-from lodestar.llm.common import read_table, text_of
+from lodestar.llm.common import read_table, scratch
 
 
 def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,7 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_within_3: other documents whose fingerprint differs in three bits at most, for ids divisible by 20 (else null)."""
     d = simhash.with_next(read_table(spark, sf_dir, "documents"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
@@ -54,14 +55,18 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.where("not (ghost and x.which = 1)").select("bucket", "n", "ghost", "id", "n_chars", F.when(F.col("x.which") == 1, F.sha2(F.encode("x.t", "UTF-8"), 256)).alias("sha"), "x.which", "x.t")
     f = simhash.fingerprints(d, ["bucket", "n", "ghost", "id", "n_chars", "which", "sha"], "t")
     f = f.groupBy("bucket", "n", "ghost", "id", "n_chars").agg(F.max("sha").alias("edited_sha256"), *[F.max(F.when(F.col("which") == w, F.col(c))).alias(f"{c}{w}") for w in (0, 1) for c in ("hi", "lo")])
-    from pyspark.sql import Window
-
     w = Window.partitionBy("bucket").orderBy("n")
-    f = f.select("*", F.lead("hi0").over(w).alias("hi2"), F.lead("lo0").over(w).alias("lo2")).where("not ghost")
+    f = scratch(f.select("*", F.lead("hi0").over(w).alias("hi2"), F.lead("lo0").over(w).alias("lo2")).where("not ghost"))
     c = F.col
+    # the search by tables: documents whose id is divisible by 20 against all
+    asked = F.coalesce(c("id") % 20 == 0, F.lit(False))
+    prints = scratch(f.groupBy(c("hi0").alias("hi"), c("lo0").alias("lo")).agg(F.count("*").alias("copies"), F.bool_or(asked).alias("asked")))
+    near = simhash.within_radius(prints.where("asked"), prints.drop("asked")).groupBy(c("q_hi").alias("hi0"), c("q_lo").alias("lo0")).agg(F.sum("copies").alias("near"))
+    f = f.join(near, ["hi0", "lo0"], "left")
     return f.select(
         c("id").alias("doc_id"), "n_chars", "edited_sha256", simhash.shown(c("hi0"), c("lo0")).alias("fingerprint"), simhash.shown(c("hi1"), c("lo1")).alias("edited_fingerprint"),
         simhash.likeness(c("hi0"), c("lo0"), c("hi1"), c("lo1")).alias("near_edited"), simhash.likeness(c("hi0"), c("lo0"), c("hi2"), c("lo2")).alias("near_next"),
+        F.when(asked, c("near") - 1).alias("n_within_3"),
     )
 
 

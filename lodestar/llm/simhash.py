@@ -6,18 +6,20 @@ most), for longer terms are rarer. Each term's hash votes on each bit, and a bit
 than half of all votes are for it. Votes are added up two bits to a long (32 bits apart), so a
 text of 2^27 words still counts right.
 
-Search: fingerprints are cut into radius + 2 blocks. Two of them within the radius differ in at
-most ``radius`` blocks, so they agree on two blocks at least: one table for each pair of blocks,
-permuted to lead with those two, holds both under the same key. Equal fingerprints are one entry
+Search: fingerprints are cut into radius + lead blocks. Two of them within the radius differ in at
+most ``radius`` blocks, so they agree on ``lead`` blocks at least: one table for each choice of that many
+blocks, permuted to lead with them, holds both under the same key. Equal fingerprints are one entry
 there. That is exact: no pair within the radius is missed.
 
 Edge cases: a null text is an empty one; empty texts and texts without words have the same one
 term (mark, mark) and so the same fingerprint; equal texts have equal fingerprints; repeated rows
-are rows of their own; an empty table gives an empty result.
+are rows of their own; an empty table gives an empty result; columns other than those named are left alone and
+not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,27 +82,44 @@ def _bits(hi: Column, lo: Column, start: int, end: int) -> Column:
     return out
 
 
-def within_radius(queries: DataFrame, corpus: DataFrame, radius: int = 6) -> DataFrame:
-    """(q_hi, q_lo, hi, lo, distance) of all pairs of distinct fingerprints within the radius, each once.
+def within_radius(queries: DataFrame, corpus: DataFrame, radius: int = 3, lead: int = 1, block: int = 4096) -> DataFrame:
+    """(q_hi, q_lo, hi, lo, distance and what else the corpus has) of all pairs of distinct fingerprints within the radius, each once.
 
-    Both inputs have hi and lo; rows of one fingerprint are one entry. Keys that hold many entries
-    are joined as any skewed key is, by Spark's adaptive skew join.
+    Both inputs have hi and lo; rows of one fingerprint are one entry, with the other columns of any of
+    them. More ``lead`` means more tables whose keys have more bits. A pair is told in the first table
+    that it shares. Keys of more than ``block`` entries are dealt into parts of about that many, and
+    queries go to each part, so no task grows with a group of near copies.
     """
-    if not 0 <= radius <= 14:
-        raise ValueError("the radius must be in 0 to 14")
-    n = radius + 2
+    if not (0 <= radius and 1 <= lead and radius + lead <= 16):
+        raise ValueError("radius and lead must be 0 and 1 at least and 16 together at most")
+    n = radius + lead
     edges = [BITS * i // n for i in range(n + 1)]
+    chosen = list(combinations(range(n), lead))
 
     def tables(df: DataFrame) -> DataFrame:
-        hi, lo = F.col("hi"), F.col("lo")
-        block = [_bits(hi, lo, edges[i], edges[i + 1]) for i in range(n)]
-        keys = [F.struct(F.lit(t).alias("table"), block[i].alias("a"), block[j].alias("b")) for t, (i, j) in enumerate(combinations(range(n), 2))]
-        d = df.select("hi", "lo").distinct()
-        return d.select("hi", "lo", F.explode(F.array(*keys)).alias("k")).select("hi", "lo", "k.*")
-
-    q = tables(queries).withColumnsRenamed({"hi": "q_hi", "lo": "q_lo"})
-    near = q.join(tables(corpus), ["table", "a", "b"]).withColumn("distance", distance(F.col("q_hi"), F.col("q_lo"), F.col("hi"), F.col("lo")))
-    return near.where(F.col("distance") <= radius).select("q_hi", "q_lo", "hi", "lo", "distance").distinct()
+        cut = [_bits(F.col("hi"), F.col("lo"), edges[i], edges[i + 1]) for i in range(n)]
+        keys = [F.struct(F.lit(t).alias("table"), F.xxhash64(F.lit(t), *[cut[i] for i in at]).alias("k")) for t, at in enumerate(chosen)]
+        d = df.dropDuplicates(["hi", "lo"])
+        return d.select(*df.columns, F.explode(F.array(*keys)).alias("x")).select(*df.columns, "x.*")
+
+    every = tables(corpus)
+    parts = every.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > block).select("k", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    dealt = lambda d: d.join(parts, "k", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    c = dealt(every).withColumn("part", F.pmod(F.xxhash64("hi", "lo"), F.col("parts")).cast("int")).drop("parts")
+    q = dealt(tables(queries.select("hi", "lo"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "table").withColumnsRenamed({"hi": "q_hi", "lo": "q_lo"})
+    own, other = (F.col("q_hi"), F.col("q_lo")), (F.col("hi"), F.col("lo"))
+    same = [_bits(*own, edges[i], edges[i + 1]) == _bits(*other, edges[i], edges[i + 1]) for i in range(n)]
+    first = F.coalesce(*[F.when(reduce(lambda x, y: x & y, [same[i] for i in at]), F.lit(t)) for t, at in enumerate(chosen)])
+    near = q.join(c, ["k", "part"]).withColumn("distance", distance(*own, *other))
+    return near.where((F.col("distance") <= radius) & (F.col("table") == first)).select("q_hi", "q_lo", *corpus.columns, "distance")
+
+
+def _place(x: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at most x. The bounds are compared in two steps, so twice the root of their number is enough."""
+    width = max(1, round(len(bounds) ** 0.5))
+    heads, every = (F.lit(b or [0]).cast("array<bigint>") for b in (bounds[width - 1 :: width], bounds))
+    full = F.size(F.filter(heads, lambda b: b <= x)) * width if len(bounds) >= width and bounds else F.lit(0)
+    return F.transform(F.array(full), lambda f: f + F.size(F.filter(F.slice(every, f + 1, F.lit(width)), lambda b: b <= x)))[0]
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -114,7 +133,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     parts = parts or 6 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     bounds = sorted(set(d.select(F.col("id").cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts)))
-    bucket = F.size(F.filter(F.lit([int(b) for b in bounds] or [0]).cast("array<bigint>"), lambda b: b <= F.coalesce(F.col("id"), F.lit(-(1 << 63)))))
+    bucket = _place(F.coalesce(F.col("id"), F.lit(-(1 << 63))), [int(b) for b in bounds])
     d = d.withColumn("bucket", bucket).withColumn("tie", F.xxhash64("text"))
     heads = d.groupBy("bucket").agg(F.min(F.struct("id", "tie")).alias("h")).select("bucket", "h.*")
     order = Window.orderBy("bucket")
