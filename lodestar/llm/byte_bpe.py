@@ -10,11 +10,13 @@ Their common leading tokens are emitted. States and moves are made when first me
 table of bounded size, which is emptied when full; nothing depends on what it holds.
 
 Decoding. Ids become bytes; ``StreamingDecoder`` turns any split of the id stream into text
-without ever cutting a code point, by a table-driven UTF-8 machine.
+without ever cutting a code point, by a table-driven UTF-8 machine. ``decoded_sha256`` digests what it
+yields, portion after portion of PORTION ids, for each text.
 
 Edge cases: a null text is an empty one; empty texts have no ids; a code point that UTF-8 can't
 carry (a lone surrogate) becomes U+FFFD, as in the usual libraries; texts of any length are read
-whole, in one pass and with memory in proportion to the text.
+whole, in one pass and with memory in proportion to the text; null and repeated ids are rows like
+others; an empty table gives an empty result; other columns of the table are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestar.llm.common import ship_package
+from lodestar.llm.common import lean, ship_package
 
 #: White space as Unicode defines it (Python's own classes add U+001C to U+001F).
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Ids that the decoder is fed at once.
+PORTION = 4096
 #: Entries of each memo table before it is emptied.
 MEMO = 700_000
 
@@ -193,42 +197,53 @@ def _machine() -> tuple[list[list[int]], int]:
 UTF8, BAD = _machine()
 
 
+#: Runs of ASCII and of other bytes.
+RUNS = re.compile(rb"[\x00-\x7f]+|[\x80-\xff]+")
+REPLACEMENT = "\ufffd".encode()
+
+
 class StreamingDecoder:
     """feed() takes ids in any portions and returns the text that is complete so far; finish() the rest.
 
     Bytes that can't be part of UTF-8 become U+FFFD, one for each maximal broken piece.
     """
 
-    def __init__(self, tokens: dict[int, bytes]):
+    def __init__(self, tokens: dict[int, bytes] | list[bytes]):
         self.tokens = tokens
         self.state = 0
         self.open = bytearray()
 
     def feed(self, ids: Iterable[int]) -> str:
-        data = b"".join(map(self.tokens.__getitem__, ids))
+        return self.feed_bytes(b"".join(map(self.tokens.__getitem__, ids)))
+
+    def feed_bytes(self, data: bytes) -> str:
         if not self.open and data.isascii():
             return data.decode("ascii")
-        out: list[str] = []
         done = bytearray()
-        for byte in data:
-            to = UTF8[self.state][byte]
-            if to == BAD:
-                if self.open:  # what was open is broken; the byte may begin anew
-                    done += "�".encode()
-                    self.open.clear()
-                    to = UTF8[0][byte]
+        for run in RUNS.findall(data):
+            if not self.open and run[0] < 0x80:  # between code points ASCII is complete as it is
+                done += run
+                continue
+            for at, byte in enumerate(run):
+                to = UTF8[self.state][byte]
                 if to == BAD:
-                    done += "�".encode()
-                    to = 0
-                    self.state = 0
-                    continue
-            self.open.append(byte)
-            self.state = to
-            if to == 0:
-                done += self.open
-                self.open.clear()
-        out.append(done.decode())
-        return "".join(out)
+                    if self.open:  # what was open is broken; the byte may begin anew
+                        done += REPLACEMENT
+                        self.open.clear()
+                        to = UTF8[0][byte]
+                    if to == BAD:
+                        done += REPLACEMENT
+                        self.state = 0
+                        continue
+                self.open.append(byte)
+                self.state = to
+                if to == 0:
+                    done += self.open
+                    self.open.clear()
+                    if byte < 0x80:
+                        done += run[at + 1 :]
+                        break
+        return done.decode()
 
     def finish(self) -> str:
         broken, self.state = bool(self.open), 0
@@ -268,6 +283,14 @@ def encode_documents(df: DataFrame, ranks_file: bytes, pattern: str, id_col: str
             token[i] = t
         shown = [str(i) for i in range(len(token))]
         sha = hashlib.sha256
+
+        def decoded(ids: list[int]) -> str:
+            decoder, digest = StreamingDecoder(token), sha()
+            for start in range(0, len(ids), PORTION):
+                digest.update(decoder.feed(ids[start : start + PORTION]).encode())
+            digest.update(decoder.finish().encode())
+            return digest.hexdigest()
+
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -276,7 +299,7 @@ def encode_documents(df: DataFrame, ranks_file: bytes, pattern: str, id_col: str
                     ids = encoder.encode(text or "")
                     n.append(len(ids))
                     a.append(sha(" ".join([shown[i] for i in ids]).encode()).hexdigest())
-                    b.append(sha(b"".join([token[i] for i in ids])).hexdigest())
+                    b.append(decoded(ids))
                     if with_ids:
                         kept.append(ids)
                 cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
@@ -286,4 +309,4 @@ def encode_documents(df: DataFrame, ranks_file: bytes, pattern: str, id_col: str
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(lean(run), schema)

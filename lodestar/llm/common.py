@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,3 +26,23 @@ def text_of(name: str = "text") -> Column:
 def unit_interval(*cols: Column) -> Column:
     """A uniform double in (0, 1) that is a function of the columns alone: 52 bits of a 64-bit hash."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def release() -> None:
+    """Gives what this worker process no longer uses back to the system: idle workers stay beside later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A map over batches that releases its memory at the end of each task."""
+
+    def go(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return go
