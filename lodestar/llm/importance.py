@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from lodestar.llm.common import scratch, ship_package
+from lodestar.llm.common import lean, scratch, ship_package
 from lodestar.llm.near_duplicates import MULTIPLIERS, token_hashes
 
 BUCKETS = 1 << 18
@@ -134,7 +134,7 @@ class Classifier:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(x[at], pa.int64()) for x in (raw, good, *marks))], names=["b", "raw", "good", "bad_texts", "good_texts"])
 
         sums = [F.sum(c).alias(c) for c in ("raw", "good", "bad_texts", "good_texts")]
-        got = docs.select("doc_id", "text").mapInArrow(count, "b int, raw long, good long, bad_texts long, good_texts long").groupBy("b").agg(*sums).toPandas()
+        got = docs.select("doc_id", "text").mapInArrow(lean(count), "b int, raw long, good long, bad_texts long, good_texts long").groupBy("b").agg(*sums).toPandas()
         table = np.zeros((4, BUCKETS))
         table[:, got["b"].to_numpy(dtype=np.int64)] = got[["raw", "good", "bad_texts", "good_texts"]].to_numpy().T
         n_good = sum(first.values())
@@ -149,7 +149,7 @@ class Classifier:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([v for v in y if v is not None], pa.int32())], names=["doc_id", "text", "y"])
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        seen = model.features(docs.select("doc_id", "text").mapInArrow(only, f"doc_id {kind}, text string, y int")).select("mean", "sure", "y").where("mean is not null").toPandas()
+        seen = model.features(docs.select("doc_id", "text").mapInArrow(lean(only), f"doc_id {kind}, text string, y int")).select("mean", "sure", "y").where("mean is not null").toPandas()
         if len(set(first.values())) == 2 and seen["y"].nunique() == 2:
             x = seen[["mean", "sure"]].to_numpy()
             model.w = fit_logistic(np.column_stack([x, np.log1p(-x[:, 1])]), seen["y"].to_numpy(dtype=float))
@@ -174,7 +174,7 @@ class Classifier:
 
         names = df.columns
         more = [StructField("n_grams", LongType()), StructField("mean", DoubleType()), StructField("sure", DoubleType())]
-        return df.mapInArrow(run, StructType([*df.schema.fields, *more]))
+        return df.mapInArrow(lean(run), StructType([*df.schema.fields, *more]))
 
     def keyed(self, df: DataFrame, temperature: float = 0.1, seed: int = 3) -> DataFrame:
         """df with log_weight and key, null for texts without n-grams."""

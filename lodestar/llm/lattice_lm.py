@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WORD, scratch, ship_package
+from lodestar.llm.common import WORD, lean, scratch, ship_package
 
 FIND = re.compile(WORD)
 END = "\n"
@@ -119,7 +119,7 @@ def count_words(docs: DataFrame, most: int = 300_000) -> DataFrame:
         train[END] += ends
         yield flush()
 
-    return docs.select("text", "train").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text", "train").mapInArrow(lean(run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def fit_pieces(words: DataFrame, model: bytes) -> dict[str, float]:
@@ -141,7 +141,7 @@ def fit_pieces(words: DataFrame, model: bytes) -> dict[str, float]:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-    counts = {r["piece"]: r["n"] for r in words.mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["piece"]: r["n"] for r in words.mapInArrow(lean(run), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
     usable = [i for i in range(sp.get_piece_size()) if not sp.is_control(i) and not sp.is_unknown(i)]
     total = sum(counts.get(i, 0) + 0.5 for i in usable)
     return {sp.id_to_piece(i): math.log10((counts.get(i, 0) + 0.5) / total) for i in usable}
@@ -165,7 +165,7 @@ def score_documents(docs: DataFrame, model: bytes, held_out: Column, id_col: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(machine.each(batch.column(0).to_pylist()), pa.float64())], names=["word", "c", "spelt"])
 
-    words = scratch(counted.sortWithinPartitions("word").mapInArrow(spell, "word string, c long, spelt double").withColumn("spelt", F.when(F.col("word") == END, 0.0).otherwise(F.col("spelt"))))
+    words = scratch(counted.sortWithinPartitions("word").mapInArrow(lean(spell), "word string, c long, spelt double").withColumn("spelt", F.when(F.col("word") == END, 0.0).otherwise(F.col("spelt"))))
     known = F.col("c") > 0
     got = words.agg(F.sum("c").alias("n"), F.count_if(known).alias("v"), F.sum(F.when(known & (F.col("word") != END), F.least(F.col("c").cast("double"), F.lit(DISCOUNT)))).alias("left")).first()
     n, v, left = got["n"] or 0, got["v"], got["left"] or 0.0
@@ -214,7 +214,7 @@ def score_documents(docs: DataFrame, model: bytes, held_out: Column, id_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], names=["id", "held_out", "n_tokens", "hits", "base", "score", "tail"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    parts = scratch(d.mapInArrow(read, f"id {kind}, held_out boolean, n_tokens long, hits long, base double, score double, tail array<string>").withColumn("row", F.monotonically_increasing_id()))
+    parts = scratch(d.mapInArrow(lean(read), f"id {kind}, held_out boolean, n_tokens long, hits long, base double, score double, tail array<string>").withColumn("row", F.monotonically_increasing_id()))
     rest = parts.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
     c = F.col("c").cast("double")
     # log10(whole + free * spelt), kept in logs for words that are only spelt

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestar.llm.common import ship_package
+from lodestar.llm.common import lean, ship_package
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -245,4 +245,4 @@ def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...
 
     ship_package(pages.sparkSession)
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep) + ", text string, n_chars long"
-    return pages.select(*keep, html_col).mapInArrow(run, schema)
+    return pages.select(*keep, html_col).mapInArrow(lean(run), schema)

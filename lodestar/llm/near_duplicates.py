@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import scratch, ship_package, text_of
+from lodestar.llm.common import lean, scratch, ship_package, text_of
 from lodestar.operators.components import connected_components
 
 DF_BUCKETS = 1 << 18
@@ -162,7 +162,7 @@ def word_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([n, *total[at]], pa.int64())], names=["b", "n"])
 
-    got = docs.select("text").mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select("text").mapInArrow(lean(run), "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(DF_BUCKETS, np.int64)
     words = got[got["b"] >= 0]
     df[words["b"].to_numpy(dtype=np.int64)] = words["n"].to_numpy(dtype=np.int64)
@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship_package(spark)
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(text_col).alias("text"))
     idf = spark.sparkContext.broadcast(idf_of(*word_frequencies(d)))  # 1 MB
-    drawn = scratch(d.mapInArrow(_draw_pass(idf), "id long, digest binary, draws binary"))
+    drawn = scratch(d.mapInArrow(lean(_draw_pass(idf)), "id long, digest binary, draws binary"))
     copies = drawn.groupBy("digest").agg(F.min("id").alias("rep"))
     texts = scratch(drawn.where("draws is not null").groupBy("digest").agg(F.min(F.struct("id", "draws")).alias("x")).select("x.*"))
     draw = lambda i, n=1: F.substring("draws", 2 * i + 1, 2 * n)
@@ -331,16 +331,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bitmap = np.zeros(1 << (MAP_BITS - 5), np.uint32)
     bitmap[bits["w"].to_numpy(dtype=np.int64)] = bits["b"].to_numpy(dtype=np.uint64).astype(np.uint32)
     wanted = spark.sparkContext.broadcast(bitmap.view(np.uint8))  # 2 MB
-    lists = d.select("id", "text", place(F.col("id")).alias("p")).mapInArrow(_shingle_pass(idf, wanted), "id long, h binary, w binary, size int")
+    lists = d.select("id", "text", place(F.col("id")).alias("p")).mapInArrow(lean(_shingle_pass(idf, wanted)), "id long, h binary, w binary, size int")
     lists = scratch(lists.dropDuplicates(["id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = (texts.select(F.col("id").alias(c), F.col("draws").alias(f"d{c}")) for c in "ab")
         pairs = pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "da", "db")
-        pairs = pairs.mapInArrow(_alike(0.5), "a long, b long")
+        pairs = pairs.mapInArrow(lean(_alike(0.5)), "a long, b long")
         one, two = (lists.select(F.col("id").alias(c), F.col("h").alias(f"h{c}"), F.col("w").alias(f"w{c}")) for c in "ab")
         full = pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "wa", "hb", "wb")
-        return scratch(full.mapInArrow(_verify(threshold), "a long, b long"))
+        return scratch(full.mapInArrow(lean(_verify(threshold)), "a long, b long"))
 
     links = verified(pairs)
     # two rounds give nearly the components; buckets that still hold several groups are compared whole
