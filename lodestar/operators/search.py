@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import search_tokens
+from lodestar.sources.storage import shared_dir, ship_package
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -19,6 +25,43 @@ def average_length(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.size(search_tokens(F.col(text_col)))), F.lit(1.0)).alias("avgdl"))
 
 
+class Index(NamedTuple):
+    """A stored search index: postings (doc, term, tf, dl) and one row of lengths (n_docs, avgdl)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+
+_INDEXES: dict[tuple, Index] = {}
+
+
+def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the index of documents: texts are tokenised once, whatever is asked later."""
+    postings(docs, id_col, text_col).write.mode("overwrite").parquet(f"{path}/postings")
+    average_length(docs, text_col).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "lengths")))
+
+
+def index_of(spark: SparkSession, table_path: str) -> Index:
+    """The index of a documents table, built in the shared folder when first asked for and again when its files change."""
+    docs = spark.read.parquet(table_path)
+    hadoop, stamps = spark._jsc.hadoopConfiguration(), []
+    for f in docs.inputFiles():
+        p = spark._jvm.org.apache.hadoop.fs.Path(f)
+        stamps.append((f, p.getFileSystem(hadoop).getFileStatus(p).getModificationTime()))
+    key = (spark.sparkContext.applicationId, table_path, tuple(sorted(stamps)))
+    if key not in _INDEXES:
+        at = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        build_index(docs, at)
+        p = spark._jvm.org.apache.hadoop.fs.Path(at)
+        p.getFileSystem(hadoop).deleteOnExit(p)
+        _INDEXES[key] = open_index(spark, at)
+    return _INDEXES[key]
+
+
 def idf(p: DataFrame, n_docs: DataFrame) -> DataFrame:
     """(term, df, idf) with ln(1 + (N - df + 0.5) / (df + 0.5))."""
     df = p.groupBy("term").agg(F.count("*").alias("df"))
@@ -31,34 +74,100 @@ def weights(p: DataFrame, lengths: DataFrame, k1: float = 1.2, b: float = 0.75)
     return p.join(F.broadcast(lengths.select("avgdl")), F.lit(True)).select("doc", "term", w.alias("w"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, qid: str = "item_id", qtext: str = "text", top: int = 50) -> DataFrame:
+def query_terms(queries: DataFrame, qid: str = "item_id", qtext: str = "text") -> DataFrame:
+    """(qid, n, term): the distinct terms of each query and their number."""
+    t = queries.select(F.col(qid).alias("qid"), F.array_distinct(search_tokens(F.col(qtext))).alias("t"))
+    return t.select("qid", F.size("t").alias("n"), F.explode("t").alias("term"))
+
+
+def bm25(queries: DataFrame, index: Index, qid: str = "item_id", qtext: str = "text", top: int = 50) -> DataFrame:
     """(qid, doc, score, rk): the best documents of each query.
 
     Only terms of queries leave the corpus side: the postings are cut to them before the
     weights, and the join is an equi-join on the term.
     """
-    q = queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(search_tokens(F.col(qtext)))).alias("term"))
-    p = postings(docs).join(q.select("term").distinct(), "term", "left_semi")
-    lengths = average_length(docs)
-    scored = weights(p, lengths).join(idf(p, lengths), "term").join(q, "term")
+    q = query_terms(queries, qid, qtext).drop("n")
+    p = index.postings.join(q.select("term").distinct(), "term", "left_semi")
+    scored = weights(p, index.lengths).join(idf(p, index.lengths), "term").join(q, "term")
     return top_k(scored.groupBy("qid", "doc").agg(F.sum(F.col("w") * F.col("idf")).alias("score")), top)
 
 
+def lexical(queries: DataFrame, index: Index, qid: str = "item_id", qtext: str = "text", top: int = 50) -> DataFrame:
+    """(qid, doc, score, rk) by the share of the query's distinct terms that the document has."""
+    hits = index.postings.join(query_terms(queries, qid, qtext), "term").groupBy("qid", "doc").agg((F.count("*") / F.greatest(F.first("n"), F.lit(1))).alias("score"))
+    return top_k(hits, top)
+
+
+def lexical_scores(ranked: DataFrame, queries: DataFrame, index: Index, qid: str = "item_id", qtext: str = "text") -> DataFrame:
+    """ranked with s2, the share of the query's distinct terms that the document has; read from postings, never from texts."""
+    asked = ranked.select("qid", "doc").join(query_terms(queries, qid, qtext), "qid")
+    hit = asked.join(index.postings.select("doc", "term"), ["doc", "term"]).groupBy("qid", "doc").agg((F.count("*") / F.first("n")).alias("s2"))
+    return ranked.join(hit, ["qid", "doc"], "left").fillna({"s2": 0.0})
+
+
+#: A word for finding where a text may stand: between its first and last word, words of the text are words of what holds it.
+PLAIN_WORD = r"[\p{L}\p{N}]+"
+
+
+def containing(queries: DataFrame, docs: DataFrame, qid: str = "item_id", qtext: str = "text", doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(qid, doc) of the documents whose text holds the query's text.
+
+    Documents are looked up by the longest inner word of the query and then compared; only a query
+    without an inner word, of two words or fewer, is compared with every document.
+    """
+    words = F.regexp_extract_all(F.col(qtext), F.lit(PLAIN_WORD), F.lit(0))
+    longest = F.array_max(F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    q = queries.select(F.col(qid).alias("qid"), F.col(qtext).alias("q"), longest.alias("word"))
+    d = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    held = d.select("doc", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PLAIN_WORD), F.lit(0)))).alias("word"))
+    pairs = held.join(q.where("word is not null"), "word").select("qid", "doc", "q").join(d, "doc")
+    short = q.where("word is null").select("qid", "q").join(d, F.contains("text", F.col("q"))).select("qid", "doc")
+    return pairs.where(F.contains("text", F.col("q"))).select("qid", "doc").unionByName(short)
+
+
 def top_k(scored: DataFrame, k: int, by: str = "score", group: str = "qid", tie: str = "doc") -> DataFrame:
     """The k largest per group, ties by id, with their rank."""
     w = Window.partitionBy(group).orderBy(F.round(by, 9).desc(), F.col(tie).asc())
     return scored.withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def _best(k: int):
+    """The k nearest vectors of a block for each query of a block; ties by id."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        asked = part["asked"].to_numpy()
+        ids, x = part["id"].to_numpy(), np.array(part["vec"].tolist(), dtype=np.float64).reshape(len(part), -1)
+        length = np.linalg.norm(x, axis=1)
+        x = x / np.where(length > 0, length, 1.0)[:, None]
+        q, v = np.flatnonzero(asked), np.flatnonzero(~asked)
+        v = v[np.argsort(ids[v], kind="stable")]
+        out = []
+        for i in q:
+            if length[i] == 0 or not len(v):
+                continue
+            score = x[v] @ x[i]
+            ok = (ids[v] != ids[i]) & (length[v] > 0)
+            order = np.argsort(-np.round(score, 9), kind="stable")
+            order = order[ok[order]][:k]
+            out.append(pd.DataFrame({"qid": ids[i], "doc": ids[v[order]], "score": score[order]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": [], "doc": [], "score": []}).astype({"qid": "int64", "doc": "int64", "score": "float64"})
 
+    return run
 
-def dense(queries: DataFrame, vectors: DataFrame, top: int = 50) -> DataFrame:
-    """(qid, doc, score, rk) by exact cosine: a stated, broadcast set of queries against all vectors."""
-    pairs = vectors.join(F.broadcast(queries), F.col("doc") != F.col("qid"))
-    return top_k(pairs.select("qid", "doc", cosine(F.col("qvec"), F.col("vec")).alias("score")), top)
+
+def dense(queries: DataFrame, vectors: DataFrame, top: int = 50, block: int = 2048) -> DataFrame:
+    """(qid, doc, score, rk) by exact cosine: a stated set of queries against all vectors, block by block.
+
+    A pair of blocks is one task's product and yields ``top`` rows a query at most, so memory is bounded
+    whatever the numbers. Null and zero vectors are near nothing.
+    """
+    ship_package(vectors.sparkSession)
+    queries, vectors = queries.where("qid is not null and qvec is not null"), vectors.where("doc is not null and vec is not null")
+    nq, nv = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // block))
+    q = queries.select(F.lit(True).alias("asked"), F.col("qid").alias("id"), F.col("qvec").alias("vec"), F.pmod(F.xxhash64("qid"), F.lit(nq)).alias("bq"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long"))).alias("bv"))
+    v = vectors.select(F.lit(False).alias("asked"), F.col("doc").alias("id"), "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("bq"), F.pmod(F.xxhash64("doc"), F.lit(nv)).alias("bv"))
+    best = q.unionByName(v).groupBy("bq", "bv", F.size("vec").alias("dim")).applyInPandas(_best(top), "qid long, doc long, score double")
+    return top_k(best, top)
 
 
 def fuse(*ranked: DataFrame, k: int = 60, cut: int = 50, keep: int = 30) -> DataFrame:
@@ -70,12 +179,6 @@ def fuse(*ranked: DataFrame, k: int = 60, cut: int = 50, keep: int = 30) -> Data
     return top_k(every.groupBy("qid", "doc").agg(F.sum("s").alias("score")), keep)
 
 
-def lexical_share(question: Column, text: Column) -> Column:
-    """Share of the question's distinct tokens that the text has."""
-    q = F.array_distinct(search_tokens(question))
-    return F.size(F.array_intersect(q, search_tokens(text))) / F.greatest(F.size(q), F.lit(1))
-
-
 def zscore(x: str, group: str = "qid") -> Column:
     w = Window.partitionBy(group)
     return F.coalesce((F.col(x) - F.avg(x).over(w)) / F.nullif(F.round(F.stddev_pop(x).over(w), 12), F.lit(0.0)), F.lit(0.0))

@@ -43,7 +43,9 @@ content = lambda x: f"list_sort(list_distinct(list_transform({WORDS.format(x)},
 KG = """kg_edges AS (SELECT 'cust:'||o_custkey AS src, CASE l_returnflag WHEN 'A' THEN 'RESOLVED_BY' WHEN 'N' THEN 'CAUSED_BY' ELSE 'EXHIBITS' END AS rel,
  'part:'||l_partkey AS dst, round(1-l_discount,3) AS conf, l_orderkey||':'||l_linenumber||':0' AS chunk, strftime(l_shipdate,'%Y-%m-%d') AS ts, 'supp'||(l_suppkey%4) AS model
  FROM lineitem JOIN orders ON l_orderkey=o_orderkey {0})"""
-KG_ALL, KG_THIN = KG.format(""), KG.format("WHERE l_returnflag='R' AND l_quantity>45")
+KG_ALL = KG.format("")
+#: Seeds of walks and reads: the customers whose number is divisible by 20, a query set against the whole graph.
+SEEDS = "SELECT DISTINCT src AS node FROM kg_edges WHERE split_part(src,':',2)::BIGINT%20=0"
 NODES = """kg_nodes AS (SELECT 'cust:'||c_custkey AS node_id,'Symptom' AS label,c_name AS text FROM customer UNION ALL SELECT 'part:'||p_partkey,'Fix',p_name FROM part
  UNION ALL SELECT 'supp:'||s_suppkey,'Cause',s_name FROM supplier UNION ALL SELECT 'nation:'||n_nationkey,'Component',n_name FROM nation UNION ALL SELECT 'region:'||r_regionkey,'ProductFamily',r_name FROM region)"""
 EID = "left(sha1(src||'|'||rel||'|'||dst),16)"
@@ -128,15 +130,14 @@ def txt_dates(s, d):
 ALIASES = {"article": ["the", "der", "la"], "of": ["of", "de"], "that": ["que", "that"]}
 
 
-@query(r"SELECT doc_id, array_to_string(list_filter([" + ",".join(f"CASE WHEN regexp_matches(text, '(?i)(^|[^\\w-])({'|'.join(v)})($|[^\\w-])') THEN '{k}' END" for k, v in ALIASES.items()) + "], lambda x: x IS NOT NULL),',') AS names FROM documents WHERE lang='en'")
-def txt_alias_mentions(s, d, lang="lang = 'en'"):
-    return _docs(s, d).where(lang).select("doc_id", F.array_join(T.alias_mentions(F.col("text"), ALIASES), ",").alias("names"))
+@query(r"SELECT doc_id, array_to_string(list_filter([" + ",".join(f"CASE WHEN regexp_matches(text, '(?i)(^|[^\\w-])({'|'.join(v)})($|[^\\w-])') THEN '{k}' END" for k, v in ALIASES.items()) + "], lambda x: x IS NOT NULL),',') AS names FROM documents")
+def txt_alias_mentions(s, d):
+    return _docs(s, d).select("doc_id", F.array_join(T.alias_mentions(F.col("text"), ALIASES), ",").alias("names"))
 
 
-@query(r"SELECT doc_id, regexp_matches(text, '(?i)\b(if|when|unless)\b') AS conditional, len(regexp_extract_all(lower(text), '\bwhen\b')) AS n_when FROM documents WHERE lang='en'")
-def txt_conditional_sentences(s, d, lang="lang = 'en'"):
-    x = _docs(s, d).where(lang)
-    return x.select("doc_id", T.is_conditional(F.col("text")).alias("conditional"), F.regexp_count(F.lower("text"), F.lit(r"\bwhen\b")).cast("long").alias("n_when"))
+@query(r"SELECT doc_id, regexp_matches(text, '(?i)\b(if|when|unless)\b') AS conditional, len(regexp_extract_all(lower(text), '\bwhen\b')) AS n_when FROM documents")
+def txt_conditional_sentences(s, d):
+    return _docs(s, d).select("doc_id", T.is_conditional(F.col("text")).alias("conditional"), F.regexp_count(F.lower("text"), F.lit(r"\bwhen\b")).cast("long").alias("n_when"))
 
 
 @query()
@@ -242,9 +243,9 @@ def kg_degree_by_label(s, d):
     return K.degree_by_label(kg_nodes(s, d), kg_edges(s, d))
 
 
-@query(f"WITH {KG_ALL} SELECT rel, model, count(*) AS n, round(avg(conf),6) AS mean_conf FROM kg_edges GROUP BY GROUPING SETS ((rel),(rel,model),())")
+@query(f"WITH {KG_ALL} SELECT rel, model, count(*) AS n, round(sum(round(conf*1000)::BIGINT)::DOUBLE/(1000.0*count(*))::DOUBLE,6) AS mean_conf FROM kg_edges GROUP BY GROUPING SETS ((rel),(rel,model),())")
 def kg_counts(s, d):
-    return kg_edges(s, d).groupingSets([[F.col("rel")], [F.col("rel"), F.col("model")], []], F.col("rel"), F.col("model")).agg(F.count("*").alias("n"), F.round(F.avg("conf"), 6).alias("mean_conf"))
+    return kg_edges(s, d).groupingSets([[F.col("rel")], [F.col("rel"), F.col("model")], []], F.col("rel"), F.col("model")).agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("conf") * 1000).cast("long")).cast("double") / (F.lit(1000.0) * F.count("*")), 6).alias("mean_conf"))
 
 
 @query(f"WITH {KG_ALL}, {NODES} SELECT round(100*avg(CASE WHEN node_id IN (SELECT src FROM kg_edges WHERE rel='RESOLVED_BY') THEN 1 ELSE 0 END),6) AS fix_pct, count(*) AS n FROM kg_nodes WHERE label='Symptom'")
@@ -253,27 +254,27 @@ def kg_fix_pct(s, d):
     return kg_nodes(s, d).where("label = 'Symptom'").join(fixed, "node_id", "left").agg(F.round(100 * F.avg(F.coalesce("fixed", F.lit(0))), 6).alias("fix_pct"), F.count("*").alias("n"))
 
 
-@query(f"WITH RECURSIVE {KG_THIN}, b AS (SELECT src, dst FROM kg_edges UNION SELECT dst, src FROM kg_edges), r AS (SELECT src AS node, src AS c FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON b.src=r.node) SELECT node, min(c) AS component FROM r GROUP BY node")
-def kg_components(s, d, thin=True):
-    return connected_components(kg_edges(s, d, thin=thin))
+@query(f"WITH RECURSIVE {KG_ALL}, b AS MATERIALIZED (SELECT src, dst FROM kg_edges UNION SELECT dst, src FROM kg_edges), r(node, c) USING KEY (node) AS (SELECT DISTINCT src, src FROM b UNION (SELECT b.dst, min(r.c) FROM r JOIN b ON b.src=r.node JOIN recurring.r o ON o.node=b.dst WHERE r.c<o.c GROUP BY b.dst)) SELECT node, c AS component FROM r")
+def kg_components(s, d):
+    return connected_components(kg_edges(s, d))
 
 
-@query(f"WITH {KG_THIN} SELECT src, dst, r FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY max(conf) DESC, dst) AS r FROM kg_edges GROUP BY src, dst) WHERE r<=3")
-def gen_single_hop(s, d, thin=True):
-    e = kg_edges(s, d, thin=thin).groupBy("src", "dst").agg(F.max("conf").alias("c"))
+@query(f"WITH {KG_ALL} SELECT src, dst, r FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY max(conf) DESC, dst) AS r FROM kg_edges GROUP BY src, dst) WHERE r<=3")
+def gen_single_hop(s, d):
+    e = kg_edges(s, d).groupBy("src", "dst").agg(F.max("conf").alias("c"))
     return e.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy(F.col("c").desc(), "dst")).cast("long").alias("r")).where("r <= 3")
 
 
-@query(f"WITH {KG_THIN}, p AS (SELECT DISTINCT src, dst FROM kg_edges), rare AS (SELECT dst FROM p GROUP BY dst HAVING count(*) BETWEEN 2 AND 3) SELECT x.src AS a, y.src AS b, x.dst AS via FROM p x JOIN p y ON x.dst=y.dst AND x.src<y.src WHERE x.dst IN (SELECT dst FROM rare)")
-def gen_multi_constraint(s, d, thin=True):
-    return K.multi_constraint(kg_edges(s, d, thin=thin))
+@query(f"WITH {KG_ALL}, p AS (SELECT DISTINCT src, dst FROM kg_edges), rare AS (SELECT dst FROM p GROUP BY dst HAVING count(*) BETWEEN 2 AND 3) SELECT x.src AS a, y.src AS b, x.dst AS via FROM p x JOIN p y ON x.dst=y.dst AND x.src<y.src WHERE x.dst IN (SELECT dst FROM rare)")
+def gen_multi_constraint(s, d):
+    return K.multi_constraint(kg_edges(s, d))
 
 
-@query(f"WITH {KG_THIN} SELECT e.src, p_brand, count(*) AS n FROM kg_edges e JOIN part ON 'part:'||p_partkey=e.dst JOIN customer ON 'cust:'||c_custkey=e.src WHERE c_mktsegment='BUILDING' GROUP BY 1,2")
-def gen_cross(s, d, thin=True):
+@query(f"WITH {KG_ALL} SELECT e.src, p_brand, count(*) AS n FROM kg_edges e JOIN part ON 'part:'||p_partkey=e.dst JOIN customer ON 'cust:'||c_custkey=e.src WHERE c_mktsegment='BUILDING' GROUP BY 1,2")
+def gen_cross(s, d):
     p = table(s, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("dst"), "p_brand")
     c = table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("cust:"), "c_custkey").alias("src"))
-    return kg_edges(s, d, thin=thin).join(p, "dst").join(c, "src").groupBy("src", "p_brand").agg(F.count("*").alias("n"))
+    return kg_edges(s, d).join(p, "dst").join(c, "src").groupBy("src", "p_brand").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {KG_ALL}, {ADJ} SELECT src, dst, round(w,6) AS w FROM adj")
@@ -281,25 +282,24 @@ def grf_adjacency(s, d):
     return K.adjacency(kg_edges(s, d)).select("src", "dst", F.round("w", 6).alias("w"))
 
 
-@query(f"WITH {KG_THIN}, b AS (SELECT src, dst FROM kg_edges UNION SELECT dst, src FROM kg_edges), s0 AS (SELECT src AS node FROM b WHERE src LIKE 'cust:%' GROUP BY src ORDER BY md5(src), src LIMIT 5), h1 AS (SELECT DISTINCT s0.node AS qid, b.dst AS node FROM s0 JOIN b ON b.src=s0.node), h2 AS (SELECT DISTINCT h1.qid, b.dst AS node FROM h1 JOIN b ON b.src=h1.node), u AS (SELECT node AS qid, node, 0 AS hop FROM s0 UNION ALL SELECT qid, node, 1 FROM h1 UNION ALL SELECT qid, node, 2 FROM h2) SELECT qid, node, min(hop) AS hop FROM u GROUP BY qid, node")
-def grf_expand_pool(s, d, thin=True):
-    e = kg_edges(s, d, thin=thin)
+@query(f"WITH {KG_ALL}, b AS (SELECT src, dst FROM kg_edges UNION SELECT dst, src FROM kg_edges), s0 AS ({SEEDS}), h1 AS (SELECT DISTINCT s0.node AS qid, b.dst AS node FROM s0 JOIN b ON b.src=s0.node), h2 AS (SELECT DISTINCT h1.qid, b.dst AS node FROM h1 JOIN b ON b.src=h1.node), u AS (SELECT node AS qid, node, 0 AS hop FROM s0 UNION ALL SELECT qid, node, 1 FROM h1 UNION ALL SELECT qid, node, 2 FROM h2) SELECT qid, node, min(hop) AS hop FROM u GROUP BY qid, node")
+def grf_expand_pool(s, d):
+    e = kg_edges(s, d)
     return K.expand(e, _seeds(e).select(F.col("node").alias("qid"), "node"), 2)
 
 
 def _seeds(e):
-    n = e.select(F.col("src").alias("node")).distinct()
-    return n.orderBy(F.md5(F.encode("node", "UTF-8")), "node").limit(5)
+    return e.where(F.split_part("src", F.lit(":"), F.lit(2)).cast("long") % 20 == 0).select(F.col("src").alias("node")).distinct()
 
 
 @query(
-    f"WITH RECURSIVE {KG_THIN}, {ADJ}, tot AS (SELECT src, sum(w) AS t FROM adj GROUP BY src), mv AS (SELECT a.src, a.dst, a.w/t AS p FROM adj a JOIN tot USING(src)), "
-    "s0 AS (SELECT src AS node, 0.2 AS r FROM (SELECT DISTINCT src FROM kg_edges) ORDER BY md5(src), src LIMIT 5), "
+    f"WITH RECURSIVE {KG_ALL}, {ADJ}, tot AS (SELECT src, sum(w) AS t FROM adj GROUP BY src), mv AS (SELECT a.src, a.dst, a.w/t AS p FROM adj a JOIN tot USING(src)), "
+    f"s0 AS (SELECT node, 1.0::DOUBLE/count(*) OVER () AS r FROM ({SEEDS})), "
     "pr AS (SELECT 0 AS i, node, r::DOUBLE AS m FROM s0 UNION ALL SELECT i, node, sum(m) FROM (SELECT pr.i+1 AS i, mv.dst AS node, 0.5*pr.m*mv.p AS m FROM pr JOIN mv ON mv.src=pr.node WHERE pr.i<10 UNION ALL SELECT x.i+1, s0.node, 0.5*s0.r FROM s0, (SELECT DISTINCT i FROM pr WHERE i<10) x) GROUP BY i, node) "
     "SELECT node, round(m,6) AS mass FROM pr WHERE i=10"
 )
-def grf_ppr_k(s, d, thin=True):
-    e = kg_edges(s, d, thin=thin)
+def grf_ppr_k(s, d):
+    e = kg_edges(s, d)
     return K.personalized_pagerank(K.adjacency(e), _seeds(e).withColumn("weight", F.lit(1.0))).select("node", F.round("mass", 6).alias("mass"))
 
 
@@ -311,44 +311,49 @@ def _hop(i: int) -> str:
     return f"n{i} AS (SELECT f.qid, list_append(f.path, step.dst) AS path, f.score*step.f*(CASE WHEN b.node IS NULL THEN 1.0 ELSE 2.0 END) AS score, step.dst AS node FROM f{i - 1} f JOIN step ON step.src=f.node LEFT JOIN s0 b ON b.node=step.dst AND b.node=f.qid WHERE NOT list_contains(f.path, step.dst)), f{i} AS (SELECT qid, path, score, node FROM (SELECT *, {RANKED} AS r FROM n{i}) WHERE r<=300)"
 
 
-@query(f"WITH {KG_THIN}, {STEP}, s0 AS (SELECT src AS node FROM (SELECT DISTINCT src FROM kg_edges) ORDER BY md5(src), src LIMIT 5), f0 AS (SELECT node AS qid, [node] AS path, 1.0 AS score, node FROM s0), {_hop(1)}, {_hop(2)}, {_hop(3)} SELECT qid, array_to_string(path,'>') AS path, round(score,6) AS score, rk FROM (SELECT *, {RANKED} AS rk FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2 UNION ALL SELECT * FROM n3) WHERE node LIKE 'part:%') WHERE rk<=20")
-def grf_paths(s, d, thin=True):
-    e = kg_edges(s, d, thin=thin)
+@query(f"WITH {KG_ALL}, {STEP}, s0 AS ({SEEDS}), f0 AS (SELECT node AS qid, [node] AS path, 1.0 AS score, node FROM s0), {_hop(1)}, {_hop(2)}, {_hop(3)} SELECT qid, array_to_string(path,'>') AS path, round(score,6) AS score, rk FROM (SELECT *, {RANKED} AS rk FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2 UNION ALL SELECT * FROM n3) WHERE node LIKE 'part:%') WHERE rk<=20")
+def grf_paths(s, d):
+    e = kg_edges(s, d)
     seeds = _seeds(e).select(F.col("node").alias("qid"), "node", F.lit(1.0).alias("weight"))
     return K.paths(e, seeds, ["part"]).select("qid", F.array_join("path", ">").alias("path"), F.round("score", 6).alias("score"), "rk")
 
 
-@query(f"WITH {KG_THIN}, b AS (SELECT src, dst FROM kg_edges UNION SELECT dst, src FROM kg_edges), g AS (SELECT src, count(*) AS d FROM b GROUP BY src) SELECT x.src AS a, y.src AS b, round(sum(1/ln(d)),6) AS score FROM b x JOIN b y ON x.dst=y.dst AND x.src<y.src JOIN g ON g.src=x.dst WHERE d>1 GROUP BY 1,2")
-def grf_adamic_adar(s, d, thin=True):
-    return K.adamic_adar(kg_edges(s, d, thin=thin)).select("a", "b", F.round("score", 6).alias("score"))
+@query(f"WITH {KG_ALL}, b AS (SELECT src, dst FROM kg_edges UNION SELECT dst, src FROM kg_edges), g AS (SELECT src, count(*) AS d FROM b GROUP BY src) SELECT x.src AS a, y.src AS b, round(sum(1/ln(d)),6) AS score FROM b x JOIN b y ON x.dst=y.dst AND x.src<y.src JOIN g ON g.src=x.dst WHERE d>1 GROUP BY 1,2")
+def grf_adamic_adar(s, d):
+    return K.adamic_adar(kg_edges(s, d)).select("a", "b", F.round("score", 6).alias("score"))
 
 
 # ---- retrieval
 @query(f"WITH {BM} SELECT n_docs, round(avgdl,6) AS avgdl FROM st")
 def bm25_avgdl(s, d):
-    return S.average_length(_docs(s, d)).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return _index(s, d).lengths.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {BM} SELECT term, df, round(idf,6) AS idf FROM idf")
 def bm25_idf(s, d):
-    return S.idf(S.postings(_docs(s, d)), S.average_length(_docs(s, d))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return S.idf(_index(s, d).postings, _index(s, d).lengths).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM} SELECT doc, term, round(tf*2.2/(tf+1.2*(0.25+0.75*dl/avgdl)),6) AS w FROM post, st")
 def bm25_weights(s, d):
-    return S.weights(S.postings(_docs(s, d)), S.average_length(_docs(s, d))).select("doc", "term", F.round("w", 6).alias("w"))
+    return S.weights(_index(s, d).postings, _index(s, d).lengths).select("doc", "term", F.round("w", 6).alias("w"))
 
 
 @query(f"WITH {BM} SELECT qid, doc, round(score,6) AS score, rk FROM bm")
 def ret_bm25(s, d):
-    return S.bm25(_q(s, d), _docs(s, d)).select("qid", "doc", F.round("score", 6).alias("score"), "rk")
+    return _bm25(s, d).select("qid", "doc", F.round("score", 6).alias("score"), "rk")
+
+
+def _index(s, d):
+    return S.index_of(s, f"{d}/documents.parquet")
+
+
+def _bm25(s, d):
+    return S.bm25(_q(s, d), _index(s, d))
 
 
 def _lexical(s, d):
-    q = _q(s, d).select(F.col("item_id").alias("qid"), F.array_distinct(T.search_tokens(F.col("text"))).alias("qt"))
-    terms = q.select("qid", F.size("qt").alias("n"), F.explode("qt").alias("term"))
-    hits = S.postings(_docs(s, d)).join(terms, "term").groupBy("qid", "doc").agg((F.count("*") / F.greatest(F.first("n"), F.lit(1))).alias("score"))
-    return S.top_k(hits, 50)
+    return S.lexical(_q(s, d), _index(s, d))
 
 
 @query(f"WITH {LEX} SELECT qid, doc, round(score,6) AS score, rk FROM lex")
@@ -358,7 +363,7 @@ def svc_lexical(s, d):
 
 @query(f"WITH {BM}, {LEX}, {RRF} SELECT qid, doc, round(score,6) AS score, rk FROM rrf")
 def ret_rrf(s, d):
-    return S.fuse(S.bm25(_q(s, d), _docs(s, d)), _lexical(s, d)).select("qid", "doc", F.round("score", 6).alias("score"), "rk")
+    return S.fuse(_bm25(s, d), _lexical(s, d)).select("qid", "doc", F.round("score", 6).alias("score"), "rk")
 
 
 BLEND = "bl AS (SELECT r.qid, r.doc, coalesce((r.score-avg(r.score) OVER w)/nullif(round(stddev_pop(r.score) OVER w,12),0),0) AS z1, coalesce((l.score-avg(l.score) OVER w)/nullif(round(stddev_pop(l.score) OVER w,12),0),0) AS z2 FROM rrf r JOIN lexs l USING(qid,doc) WINDOW w AS (PARTITION BY r.qid))"
@@ -370,32 +375,29 @@ def ret_blend(s, d):
 
 
 def _blend(s, d):
-    fused = S.fuse(S.bm25(_q(s, d), _docs(s, d)), _lexical(s, d))
-    q = _q(s, d).select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
-    x = fused.join(F.broadcast(q), "qid").join(_docs(s, d).select(F.col("doc_id").alias("doc"), "text"), "doc")
-    x = x.select("qid", "doc", F.col("score").alias("s1"), S.lexical_share(F.col("q"), F.col("text")).alias("s2"))
+    x = S.lexical_scores(S.fuse(_bm25(s, d), _lexical(s, d)).select("qid", "doc", F.col("score").alias("s1")), _q(s, d), _index(s, d))
     x = x.select("qid", "doc", (0.5 * S.zscore("s1") + 0.5 * S.zscore("s2")).alias("score"))
     return S.top_k(x, 8)
 
 
-@query("SELECT qid, doc, round(score,6) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score,9) DESC, doc) AS rk FROM (SELECT q.vec_id AS qid, v.vec_id AS doc, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings v ON q.vec_id<>v.vec_id WHERE q.vec_id<20)) WHERE rk<=10")
+@query("SELECT qid, doc, round(score,6) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score,9) DESC, doc) AS rk FROM (SELECT q.vec_id AS qid, v.vec_id AS doc, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings v ON q.vec_id<>v.vec_id WHERE q.vec_id%20=0)) WHERE rk<=10")
 def ret_dense(s, d):
     v = table(s, d, "embeddings")
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     return S.dense(q, v.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")), 10).select("qid", "doc", F.round("score", 6).alias("score"), "rk")
 
 
-@query("WITH r AS (SELECT q.vec_id AS qid, v.vec_id AS doc, q.label AS ql, v.label AS l, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings v ON q.vec_id<>v.vec_id WHERE q.vec_id<20), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score,9) DESC, doc) AS rk FROM r) WHERE rk<=50) SELECT qid, doc, pos FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY rk) AS pos FROM t WHERE l<>ql) WHERE pos>2 AND pos<=9")
+@query("WITH r AS (SELECT q.vec_id AS qid, v.vec_id AS doc, q.label AS ql, v.label AS l, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings v ON q.vec_id<>v.vec_id WHERE q.vec_id%20=0), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score,9) DESC, doc) AS rk FROM r) WHERE rk<=50) SELECT qid, doc, pos FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY rk) AS pos FROM t WHERE l<>ql) WHERE pos>2 AND pos<=9")
 def ret_hard_negatives(s, d):
     v = table(s, d, "embeddings")
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     ranked = S.dense(q, v.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")), 50)
     return S.hard_negatives(ranked, v.select(F.col("vec_id").alias("doc"), F.col("label").alias("grp")))
 
 
 @query(f"WITH {BM}, {LEX} SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY m[1], m[2], doc) AS pos FROM (SELECT qid, doc, min([rk, l]) AS m FROM (SELECT qid, doc, rk, 1 AS l FROM bm UNION ALL SELECT qid, doc, rk, 2 FROM lex) GROUP BY qid, doc)")
 def ret_merges(s, d):
-    both = S.bm25(_q(s, d), _docs(s, d)).select("qid", "doc", "rk", F.lit(1).alias("list")).unionByName(_lexical(s, d).select("qid", "doc", "rk", F.lit(2).alias("list")))
+    both = _bm25(s, d).select("qid", "doc", "rk", F.lit(1).alias("list")).unionByName(_lexical(s, d).select("qid", "doc", "rk", F.lit(2).alias("list")))
     return S.merge_round_robin(both)
 
 
@@ -409,7 +411,7 @@ def bench_grid(s, d):
 
 # ---- evaluation
 def _gold(s, d):
-    return _q(s, d).select(F.col("item_id").alias("qid"), F.col("text").alias("q")).join(_docs(s, d).select(F.col("doc_id").alias("doc"), "text"), F.contains("text", F.col("q"))).select("qid", "doc")
+    return S.containing(_q(s, d), _docs(s, d))
 
 
 RECALL = "rec AS (SELECT qid, count(*) AS n_gold, avg(CASE WHEN b.doc IS NULL THEN 0.0 ELSE 1.0 END) AS recall, bool_and(b.doc IS NOT NULL) AS complete FROM gold g LEFT JOIN (SELECT * FROM bm WHERE rk<=8) b USING(qid,doc) GROUP BY qid)"
@@ -417,18 +419,18 @@ RECALL = "rec AS (SELECT qid, count(*) AS n_gold, avg(CASE WHEN b.doc IS NULL TH
 
 @query(f"WITH {BM}, {GOLD}, {RECALL} SELECT qid, n_gold, round(recall,6) AS recall, complete FROM rec")
 def m_recall(s, d):
-    return E.recall_at_k(S.bm25(_q(s, d), _docs(s, d)), _gold(s, d)).select("qid", "n_gold", F.round("recall", 6).alias("recall"), "complete")
+    return E.recall_at_k(_bm25(s, d), _gold(s, d)).select("qid", "n_gold", F.round("recall", 6).alias("recall"), "complete")
 
 
 @query(f"WITH {BM}, {GOLD}, {RECALL} SELECT count(*) AS n, round(avg(recall),6) AS mean_recall, round(avg(complete::INT),6) AS share_complete FROM rec")
 def m_report(s, d):
-    r = E.recall_at_k(S.bm25(_q(s, d), _docs(s, d)), _gold(s, d))
+    r = E.recall_at_k(_bm25(s, d), _gold(s, d))
     return r.agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.avg(F.col("complete").cast("int")), 6).alias("share_complete"))
 
 
 @query(f"WITH {BM}, {GOLD} SELECT qid, doc FROM gold WHERE NOT EXISTS (SELECT 1 FROM bm WHERE bm.qid=gold.qid AND bm.doc=gold.doc AND rk<=3)")
 def m_miss(s, d):
-    return _gold(s, d).join(S.bm25(_q(s, d), _docs(s, d)).where("rk <= 3"), ["qid", "doc"], "left_anti")
+    return _gold(s, d).join(_bm25(s, d).where("rk <= 3"), ["qid", "doc"], "left_anti")
 
 
 @query("SELECT count_if(quality=0 AND toxic=1)::BIGINT AS tp, count_if(quality=1 AND toxic=1)::BIGINT AS fp, count_if(quality=0 AND toxic=0)::BIGINT AS fn, round(count_if(quality=0 AND toxic=1)/nullif(count_if(toxic=1),0),6) AS precision, round(count_if(quality=0 AND toxic=1)/nullif(count_if(quality=0),0),6) AS recall FROM labels")
@@ -557,16 +559,16 @@ def win_allocate(s, d):
     return c.select("o_orderpriority", F.least("n", F.greatest(F.lit(10), F.bround(200 * F.col("n") / total))).cast("long").alias("take"))
 
 
-@query("WITH t AS (SELECT conv_id AS qid, turn AS pos, length(text) AS n FROM conversations), u AS (SELECT *, sum(n) OVER (PARTITION BY qid ORDER BY pos) AS upto FROM t), v AS (SELECT *, coalesce(max((upto>1500)::INT) OVER (PARTITION BY qid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS done FROM u) SELECT qid, pos, take FROM (SELECT qid, pos, (CASE WHEN done=1 THEN 0 WHEN upto<=1500 THEN n WHEN 1500-(upto-n)>80 THEN floor((1500-(upto-n))*0.7) ELSE 0 END)::BIGINT AS take FROM v) WHERE take>0")
+@query("WITH t AS (SELECT conv_id AS qid, turn AS pos, length(text) AS n FROM conversations), u AS (SELECT *, sum(n) OVER (PARTITION BY qid ORDER BY pos) AS upto FROM t), v AS (SELECT *, coalesce(max((upto>1500)::INT) OVER (PARTITION BY qid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS done FROM u) SELECT qid, pos, take FROM (SELECT qid, pos, (CASE WHEN done=1 THEN 0 WHEN upto<=1500 THEN n WHEN 1500-(upto-n)>80 THEN floor((1500-(upto-n))*0.7::DOUBLE) ELSE 0 END)::BIGINT AS take FROM v) WHERE take>0")
 def win_context_pack(s, d):
     c = table(s, d, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("pos"), F.length("text").alias("n"))
     return C.context_pack(c, 1500)
 
 
 # ---- service and streams
-@query(f"WITH {KG_THIN} SELECT DISTINCT src, rel, dst FROM kg_edges WHERE src IN (SELECT node FROM (SELECT DISTINCT src AS node FROM kg_edges) ORDER BY md5(node), node LIMIT 5)")
-def svc_entity(s, d, thin=True):
-    e = kg_edges(s, d, thin=thin)
+@query(f"WITH {KG_ALL} SELECT DISTINCT src, rel, dst FROM kg_edges WHERE src IN ({SEEDS})")
+def svc_entity(s, d):
+    e = kg_edges(s, d)
     return e.join(_seeds(e), F.col("src") == F.col("node"), "left_semi").select("src", "rel", "dst").distinct()
 
 

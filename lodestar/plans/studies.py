@@ -11,17 +11,16 @@ from lodestar.functions import text as T
 from lodestar.operators import evaluation as E
 from lodestar.operators import knowledge as K
 from lodestar.operators import search as S
-from lodestar.plans.catalogue import ADJ, BM, EID, FR, GOLD, KG_ALL, KG_THIN, LEX, MERGED, ORACLE_SQL, QUERIES, RANKED, RECALL, RRF, STEP, _docs, _gold, _hop, _lexical, _q, _seeds, content, query, tok, txt_alias_mentions, txt_conditional_sentences  # noqa: F401
+from lodestar.plans.catalogue import ADJ, BM, EID, FR, GOLD, KG_ALL, LEX, MERGED, ORACLE_SQL, QUERIES, RANKED, RECALL, RRF, SEEDS, STEP, _bm25, _docs, _gold, _hop, _index, _lexical, _q, _seeds, content, query, tok  # noqa: F401
 from lodestar.sources.tables import kg_edges, table
 from lodestar.streaming import logs as L
 
 GENERIC = ("the", "erin", "than", "tion")
 
 
-@query(f"WITH {GOLD} SELECT qid, doc, array_to_string(list_sort(list_intersect(list_filter(a, w -> NOT list_contains(['the','erin','than','tion'], w)), q)),' ') AS leak FROM (SELECT g.qid, g.doc, {content('b.text')} AS q, {content('left(d.text,2000)')} AS a FROM gold g JOIN benchmark b ON b.item_id=g.qid JOIN documents d ON d.doc_id=g.doc)".replace("w -> NOT", "lambda w: NOT"))
-def txt_anchor_leak(s, d, whole=False):
-    text = F.col("text") if whole else F.substring("text", 1, 2000)
-    g = _gold(s, d).join(_q(s, d).select(F.col("item_id").alias("qid"), T.content_words(F.col("text")).alias("q")), "qid").join(_docs(s, d).select(F.col("doc_id").alias("doc"), T.content_words(text).alias("a")), "doc")
+@query(f"WITH {GOLD} SELECT qid, doc, array_to_string(list_sort(list_intersect(list_filter(a, w -> NOT list_contains(['the','erin','than','tion'], w)), q)),' ') AS leak FROM (SELECT g.qid, g.doc, {content('b.text')} AS q, {content('d.text')} AS a FROM gold g JOIN benchmark b ON b.item_id=g.qid JOIN documents d ON d.doc_id=g.doc)".replace("w -> NOT", "lambda w: NOT"))
+def txt_anchor_leak(s, d):
+    g = _gold(s, d).join(_q(s, d).select(F.col("item_id").alias("qid"), T.content_words(F.col("text")).alias("q")), "qid").join(_docs(s, d).select(F.col("doc_id").alias("doc"), T.content_words(F.col("text")).alias("a")), "doc")
     return g.select("qid", "doc", F.array_join(F.array_sort(T.anchor_leak(F.col("a"), F.col("q"), GENERIC)), " ").alias("leak"))
 
 
@@ -57,51 +56,51 @@ def kg_provenance(s, d):
 REASON = "CASE WHEN dst IS NULL THEN 'bad_index' WHEN src=dst THEN 'self_loop' WHEN rel NOT IN ('RESOLVED_BY','EXHIBITS') THEN 'type' WHEN conf<0.92 THEN 'evidence' WHEN model='supp0' THEN 'grounding' WHEN n>1 THEN 'duplicate' ELSE 'kept' END"
 
 
-@query(f"WITH {KG_ALL}, x AS (SELECT *, row_number() OVER (PARTITION BY src,rel,dst ORDER BY chunk) AS n FROM kg_edges) SELECT {REASON} AS reason, count(*) AS n FROM x GROUP BY 1")
+@query(f"WITH {KG_ALL}, x AS (SELECT *, row_number() OVER (PARTITION BY src,rel,dst ORDER BY chunk, conf, model) AS n FROM kg_edges) SELECT {REASON} AS reason, count(*) AS n FROM x GROUP BY 1")
 def kg_validate(s, d):
-    n = F.row_number().over(Window.partitionBy("src", "rel", "dst").orderBy("chunk"))
+    n = F.row_number().over(Window.partitionBy("src", "rel", "dst").orderBy("chunk", "conf", "model"))
     return kg_edges(s, d).withColumn("n", n).groupBy(K.reject_reason().alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {KG_THIN} SELECT DISTINCT src, dst, p_type AS version FROM kg_edges JOIN part ON 'part:'||p_partkey=dst WHERE p_size>40")
-def gen_version(s, d, thin=True):
+@query(f"WITH {KG_ALL} SELECT DISTINCT src, dst, p_type AS version FROM kg_edges JOIN part ON 'part:'||p_partkey=dst WHERE p_size>40")
+def gen_version(s, d):
     v = table(s, d, "part").where("p_size > 40").select(F.concat(F.lit("part:"), "p_partkey").alias("dst"), F.col("p_type").alias("version"))
-    return kg_edges(s, d, thin=thin).join(v, "dst").select("src", "dst", "version").distinct()
+    return kg_edges(s, d).join(v, "dst").select("src", "dst", "version").distinct()
 
 
-@query(f"WITH {KG_THIN}, c AS (SELECT c_nationkey AS code, min('cust:'||c_custkey) AS symptom FROM customer WHERE 'cust:'||c_custkey IN (SELECT src FROM kg_edges) GROUP BY 1) SELECT code, symptom, min(dst) AS fix FROM c JOIN kg_edges ON src=symptom GROUP BY 1,2")
-def gen_error(s, d, thin=True):
-    e = kg_edges(s, d, thin=thin).select("src", "dst")
+@query(f"WITH {KG_ALL}, c AS (SELECT c_nationkey AS code, min('cust:'||c_custkey) AS symptom FROM customer WHERE 'cust:'||c_custkey IN (SELECT src FROM kg_edges) GROUP BY 1) SELECT code, symptom, min(dst) AS fix FROM c JOIN kg_edges ON src=symptom GROUP BY 1,2")
+def gen_error(s, d):
+    e = kg_edges(s, d).select("src", "dst")
     c = table(s, d, "customer").select(F.col("c_nationkey").alias("code"), F.concat(F.lit("cust:"), "c_custkey").alias("src")).join(e, "src", "left_semi")
     first = c.groupBy("code").agg(F.min("src").alias("symptom"))
     return first.join(e, F.col("symptom") == F.col("src")).groupBy("code", "symptom").agg(F.min("dst").alias("fix"))
 
 
-@query(f"WITH {KG_THIN}, {ADJ}, m AS (SELECT src AS node, split_part(chunk,':',1) AS a FROM kg_edges UNION ALL SELECT dst, split_part(chunk,':',1) FROM kg_edges), l AS (SELECT node AS src, 'article:'||a AS dst, 0.2*count(*) AS w FROM m GROUP BY 1,2) SELECT src, dst, round(sum(w),6) AS w FROM (SELECT src,dst,w FROM adj UNION ALL SELECT src,dst,w FROM l UNION ALL SELECT dst,src,w FROM l) GROUP BY 1,2")
-def grf_doc_layer(s, d, thin=True):
-    e = kg_edges(s, d, thin=thin)
+@query(f"WITH {KG_ALL}, {ADJ}, m AS (SELECT src AS node, split_part(chunk,':',1) AS a FROM kg_edges UNION ALL SELECT dst, split_part(chunk,':',1) FROM kg_edges), l AS (SELECT node AS src, 'article:'||a AS dst, 0.2*count(*) AS w FROM m GROUP BY 1,2) SELECT src, dst, round(sum(w),6) AS w FROM (SELECT src,dst,w FROM adj UNION ALL SELECT src,dst,w FROM l UNION ALL SELECT dst,src,w FROM l) GROUP BY 1,2")
+def grf_doc_layer(s, d):
+    e = kg_edges(s, d)
     mentions = e.select(F.col("src").alias("node"), "chunk").unionAll(e.select("dst", "chunk"))
     return K.document_layer(K.adjacency(e), mentions).select("src", "dst", F.round("w", 6).alias("w"))
 
 
-PATHS = f"{KG_THIN}, {STEP}, s0 AS (SELECT src AS node FROM (SELECT DISTINCT src FROM kg_edges) ORDER BY md5(src), src LIMIT 5), f0 AS (SELECT node AS qid, [node] AS path, 1.0 AS score, node FROM s0), {_hop(1)}, {_hop(2)}, {_hop(3)}, pt AS (SELECT qid, path, score, rk FROM (SELECT *, {RANKED} AS rk FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2 UNION ALL SELECT * FROM n3) WHERE node LIKE 'part:%') WHERE rk<=20)"
+PATHS = f"{KG_ALL}, {STEP}, s0 AS ({SEEDS}), f0 AS (SELECT node AS qid, [node] AS path, 1.0 AS score, node FROM s0), {_hop(1)}, {_hop(2)}, {_hop(3)}, pt AS (SELECT qid, path, score, rk FROM (SELECT *, {RANKED} AS rk FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2 UNION ALL SELECT * FROM n3) WHERE node LIKE 'part:%') WHERE rk<=20)"
 
 
-def _paths(s, d, thin=True):
-    e = kg_edges(s, d, thin=thin)
+def _paths(s, d):
+    e = kg_edges(s, d)
     return K.paths(e, _seeds(e).select(F.col("node").alias("qid"), "node", F.lit(1.0).alias("weight")), ["part"])
 
 
 @query(f"WITH {PATHS}, ex AS (SELECT qid, rk, path, unnest(range(1,len(path))) AS i FROM pt WHERE rk<=8) SELECT qid, rk, string_agg(CASE WHEN EXISTS (SELECT 1 FROM kg_edges k WHERE k.src=path[i] AND k.dst=path[i+1]) THEN path[i]||' -> '||path[i+1] ELSE path[i]||' <- '||path[i+1] END, '; ' ORDER BY i) AS shown FROM ex GROUP BY qid, rk")
-def grf_path_text(s, d, thin=True):
-    return K.path_text(_paths(s, d, thin).where("rk <= 8"), kg_edges(s, d, thin=thin))
+def grf_path_text(s, d):
+    return K.path_text(_paths(s, d).where("rk <= 8"), kg_edges(s, d))
 
 
 @query(f"WITH {PATHS}, x AS (SELECT qid, unnest(path) AS node, score FROM pt), m AS (SELECT DISTINCT node, chunk FROM (SELECT src AS node, chunk FROM kg_edges UNION ALL SELECT dst, chunk FROM kg_edges)), c AS (SELECT qid, chunk AS doc, max(score) AS score FROM x JOIN m USING(node) GROUP BY 1,2) SELECT qid, doc, round(score,6) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score,9) DESC, doc) AS rk FROM c) WHERE rk<=8")
-def ret_s3(s, d, thin=True):
-    e = kg_edges(s, d, thin=thin)
+def ret_s3(s, d):
+    e = kg_edges(s, d)
     m = e.select(F.col("src").alias("node"), "chunk").unionAll(e.select("dst", "chunk")).distinct()
-    c = _paths(s, d, thin).select("qid", "score", F.explode("path").alias("node")).join(m, "node").groupBy("qid", F.col("chunk").alias("doc")).agg(F.max("score").alias("score"))
+    c = _paths(s, d).select("qid", "score", F.explode("path").alias("node")).join(m, "node").groupBy("qid", F.col("chunk").alias("doc")).agg(F.max("score").alias("score"))
     return S.top_k(c, 8).select("qid", "doc", F.round("score", 6).alias("score"), "rk")
 
 
@@ -127,11 +126,8 @@ RERANK = "rr AS (SELECT qid, doc, score, rk FROM (SELECT r.qid, r.doc, coalesce(
 
 
 def _rerank(s, d):
-    fused = S.fuse(S.bm25(_q(s, d), _docs(s, d)), _lexical(s, d))
-    q = _q(s, d).select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
-    x = fused.join(F.broadcast(q), "qid").join(_docs(s, d).select(F.col("doc_id").alias("doc"), "text"), "doc")
-    x = x.select("qid", "doc", F.col("rk").alias("first"), S.lexical_share(F.col("q"), F.col("text")).alias("score"))
-    return S.top_k(x, 8, tie="first").drop("first")
+    fused = S.fuse(_bm25(s, d), _lexical(s, d)).select("qid", "doc", F.col("rk").alias("first"))
+    return S.top_k(S.lexical_scores(fused, _q(s, d), _index(s, d)).withColumnRenamed("s2", "score"), 8, tie="first").drop("first")
 
 
 @query(f"WITH {BM}, {LEX}, {RRF}, {RERANK} SELECT qid, doc, round(score,6) AS score, rk FROM rr")
@@ -141,16 +137,16 @@ def ret_rerank(s, d):
 
 @query(f"WITH {BM}, {LEX}, {RRF}, {RERANK} SELECT qid, doc, round(score,6) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score,9) DESC, doc) AS rk FROM (SELECT qid, doc, sum(1.0/(60+rk)) AS score FROM (SELECT qid,doc,rk FROM bm UNION ALL SELECT qid,doc,rk FROM rr) GROUP BY 1,2)) WHERE rk<=30")
 def ret_s4(s, d):
-    return S.fuse(S.bm25(_q(s, d), _docs(s, d)), _rerank(s, d)).select("qid", "doc", F.round("score", 6).alias("score"), "rk")
+    return S.fuse(_bm25(s, d), _rerank(s, d)).select("qid", "doc", F.round("score", 6).alias("score"), "rk")
 
 
-@query("WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), r AS (SELECT q.vec_id AS qid, v.vec_id AS doc, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c, n.n FROM embeddings q JOIN embeddings v ON q.vec_id<>v.vec_id AND v.label IN (1,2) JOIN n ON n.label=v.label WHERE q.vec_id<20), f AS (SELECT qid, doc, c/ln(2+n) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(c,9) DESC, doc) AS rk FROM r WHERE c>=0.1) SELECT qid, doc, round(score,6) AS weight FROM f WHERE rk<=3")
+@query("WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), r AS (SELECT q.vec_id AS qid, v.vec_id AS doc, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c, n.n FROM embeddings q JOIN embeddings v ON q.vec_id<>v.vec_id JOIN n ON n.label=v.label WHERE q.vec_id%20=0), f AS (SELECT qid, doc, c/ln(2+n) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(c,9) DESC, doc) AS rk FROM r WHERE c>=0.1) SELECT qid, doc, round(score,6) AS weight FROM f WHERE rk<=3")
 def ret_link_seeds(s, d):
     v = table(s, d, "embeddings")
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     n = v.groupBy("label").agg(F.count("*").alias("n"))
-    c = v.where("label in (1, 2)").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec"), "label")
-    near = S.dense(q, c, 10_000).where("score >= 0.1 and rk <= 3").join(c.select("doc", "label"), "doc").join(F.broadcast(n), "label")
+    c = v.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec"), "label")
+    near = S.dense(q, c, 3).where("score >= 0.1").join(c.select("doc", "label"), "doc").join(n, "label")
     return near.select("qid", "doc", F.round(F.col("score") / F.ln(2 + F.col("n")), 6).alias("weight"))
 
 
@@ -164,12 +160,12 @@ def _links(s, d):
 
 @query(f"WITH {BM}, {POOL} SELECT qid, doc FROM pool")
 def ret_link_pool(s, d):
-    return S.link_pool(S.bm25(_q(s, d), _docs(s, d)), _links(s, d), 3, 8)
+    return S.link_pool(_bm25(s, d), _links(s, d), 3, 8)
 
 
 @query(f"WITH {BM}, {POOL}, z AS (SELECT qid, doc, CASE WHEN rk<=6 THEN 0 ELSE 2 END AS p, rk FROM bm WHERE rk<=8 UNION ALL SELECT qid, doc, 1, row_number() OVER (PARTITION BY qid ORDER BY doc) FROM pool), o AS (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY p, rk, doc) AS pos FROM z) SELECT qid, doc, pos FROM o WHERE pos<=8")
 def ret_combo(s, d):
-    ranked = S.bm25(_q(s, d), _docs(s, d))
+    ranked = _bm25(s, d)
     pool = S.link_pool(ranked, _links(s, d), 3, 8).withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy("doc")).cast("long"))
     return S.protected_fill(ranked, pool)
 
@@ -177,7 +173,7 @@ def ret_combo(s, d):
 # ---- evaluation
 @query(f"WITH {BM}, {GOLD} SELECT k, count(*) AS n, round(avg(ok::INT),6) AS complete FROM (SELECT k.k, g.qid, bool_and(EXISTS (SELECT 1 FROM bm b WHERE b.qid=g.qid AND b.doc=g.doc AND b.rk<=k.k)) AS ok FROM gold g, (VALUES (1),(3),(8)) k(k) GROUP BY 1,2) GROUP BY k".replace("bool_and(EXISTS (SELECT 1 FROM bm b WHERE b.qid=g.qid AND b.doc=g.doc AND b.rk<=k.k)) AS ok FROM gold g,", "bool_and(coalesce(b.rk,1000)<=k.k) AS ok FROM gold g LEFT JOIN bm b USING(qid,doc),"))
 def m_support_complete(s, d):
-    r = S.bm25(_q(s, d), _docs(s, d))
+    r = _bm25(s, d)
     out = None
     for k in (1, 3, 8):
         x = E.recall_at_k(r, _gold(s, d), k).agg(F.count("*").alias("n"), F.round(F.avg(F.col("complete").cast("int")), 6).alias("complete")).select(F.lit(k).alias("k"), "n", "complete")
@@ -187,12 +183,12 @@ def m_support_complete(s, d):
 
 @query(f"WITH {BM}, {GOLD}, c AS (SELECT qid, doc FROM bm WHERE rk<=5), h AS (SELECT c.qid, count(*) AS cited, count(g.doc) AS hit FROM c LEFT JOIN gold g USING(qid,doc) GROUP BY c.qid), t AS (SELECT qid, count(*) AS n FROM gold GROUP BY qid) SELECT qid, round(hit/cited,6) AS precision, round(hit/n,6) AS recall FROM h JOIN t USING(qid)")
 def m_citation(s, d):
-    return E.citations(S.bm25(_q(s, d), _docs(s, d)).where("rk <= 5"), _gold(s, d)).select("qid", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    return E.citations(_bm25(s, d).where("rk <= 5"), _gold(s, d)).select("qid", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 @query(f"WITH {BM}, {GOLD}, {RECALL} SELECT CASE WHEN n_gold>1 THEN 'multi' ELSE 'single' END AS span, count(*) AS n, round(avg(recall),6) AS recall FROM rec GROUP BY 1")
 def m_by_span(s, d):
-    r = E.recall_at_k(S.bm25(_q(s, d), _docs(s, d)), _gold(s, d))
+    r = E.recall_at_k(_bm25(s, d), _gold(s, d))
     return r.groupBy(F.when(F.col("n_gold") > 1, "multi").otherwise("single").alias("span")).agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("recall"))
 
 
@@ -204,7 +200,7 @@ def m_rollup_prf(s, d):
 
 @query(f"WITH {BM}, {LEX}, {GOLD}, x AS (SELECT g.qid, g.doc, EXISTS (SELECT 1 FROM bm b WHERE b.qid=g.qid AND b.doc=g.doc AND b.rk<=2) AS a, EXISTS (SELECT 1 FROM lex l WHERE l.qid=g.qid AND l.doc=g.doc AND l.rk<=2) AS b FROM gold g) SELECT count_if(b AND NOT a)::BIGINT AS recovered, count_if(a AND NOT b)::BIGINT AS broken, count(*) AS n FROM x")
 def m_recovered_broken(s, d):
-    return E.recovered_broken(_gold(s, d), S.bm25(_q(s, d), _docs(s, d)).where("rk <= 2"), _lexical(s, d).where("rk <= 2"))
+    return E.recovered_broken(_gold(s, d), _bm25(s, d).where("rk <= 2"), _lexical(s, d).where("rk <= 2"))
 
 
 @query("WITH x AS (SELECT v, row_number() OVER (ORDER BY k)-1 AS i FROM (SELECT user_id AS k, round(avg(value)-50,6) AS v FROM events WHERE user_id<10 GROUP BY 1)), n AS (SELECT count(*) AS n, avg(v) AS mean FROM x), f AS (SELECT b, avg(CASE WHEN (b>>i)&1=1 THEN -v ELSE v END) AS m FROM x, (SELECT unnest(range(0,(1<<(SELECT count(*) FROM x)::INT)::BIGINT)) AS b) GROUP BY b) SELECT n, round(mean,6) AS mean, round((SELECT avg(CASE WHEN abs(m)>=abs(mean)-1e-12 THEN 1.0 ELSE 0.0 END) FROM f),6) AS p FROM n")
@@ -226,9 +222,9 @@ def s_bootstrap_exact(s, d):
 
 
 # ---- service and streams
-@query(f"WITH {KG_THIN}, ids AS (SELECT src AS node FROM (SELECT DISTINCT src FROM kg_edges) ORDER BY md5(src), src LIMIT 5), near AS (SELECT node FROM ids UNION SELECT dst FROM kg_edges WHERE src IN (SELECT node FROM ids)) SELECT DISTINCT src, rel, dst FROM kg_edges WHERE src IN (SELECT node FROM near) AND dst IN (SELECT node FROM near)")
-def svc_subgraph(s, d, thin=True):
-    e = kg_edges(s, d, thin=thin)
+@query(f"WITH {KG_ALL}, ids AS ({SEEDS}), near AS (SELECT node FROM ids UNION SELECT dst FROM kg_edges WHERE src IN (SELECT node FROM ids)) SELECT DISTINCT src, rel, dst FROM kg_edges WHERE src IN (SELECT node FROM near) AND dst IN (SELECT node FROM near)")
+def svc_subgraph(s, d):
+    e = kg_edges(s, d)
     seeds = _seeds(e)
     near = seeds.unionByName(e.join(seeds, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node"))).distinct()
     return K.induced(e.select("src", "rel", "dst").distinct(), near)
@@ -242,39 +238,3 @@ def st_latest(s, d):
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality=1)")
 def st_resume(s, d):
     return _docs(s, d).join(table(s, d, "labels").where("quality = 1"), "doc_id", "left_anti").select("doc_id")
-
-
-# ---- the whole graph: what the catalogue runs on the thin one runs on all of kg_edges too, as NAME_whole
-THIN = ("kg_components", "gen_single_hop", "gen_multi_constraint", "gen_cross", "gen_version", "gen_error", "grf_expand_pool", "grf_ppr_k", "grf_paths", "grf_path_text", "grf_adamic_adar", "grf_doc_layer", "ret_s3", "svc_entity", "svc_subgraph")
-#: Spreading labels along a recursive query makes nodes times nodes rows; tests/test_whole.py holds it against brute force.
-NO_SQL = ("kg_components",)
-
-
-def _whole(name):
-    f = QUERIES[name]
-
-    def run(s, d):
-        return f(s, d, thin=False)
-
-    run.__name__ = f"{name}_whole"
-    return run
-
-
-for _name in THIN:
-    query(None if _name in NO_SQL else ORACLE_SQL[_name].replace(KG_THIN, KG_ALL))(_whole(_name))
-
-
-# ---- whole texts and all languages
-@query(ORACLE_SQL["txt_anchor_leak"].replace("left(d.text,2000)", "d.text"))
-def txt_anchor_leak_whole(s, d):
-    return txt_anchor_leak(s, d, whole=True)
-
-
-@query(ORACLE_SQL["txt_alias_mentions"].replace(" WHERE lang='en'", ""))
-def txt_alias_mentions_whole(s, d):
-    return txt_alias_mentions(s, d, lang="true")
-
-
-@query(ORACLE_SQL["txt_conditional_sentences"].replace(" WHERE lang='en'", ""))
-def txt_conditional_sentences_whole(s, d):
-    return txt_conditional_sentences(s, d, lang="true")
