@@ -9,7 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.sources.storage import drop, scratch, shared_dir, ship_package  # noqa: F401
+from lodestar.sources import storage
+from lodestar.sources.storage import drop, scratch, shared_dir  # noqa: F401
+
+#: Rows of an Arrow batch where the session leaves that open: texts can be long, and a batch lies in memory in the JVM and in its worker.
+BATCH_ROWS = 1000
 
 #: A word of the query contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +32,14 @@ def unit_interval(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives the workers this package, and the session a bound of batches if it has none of its own."""
+    storage.ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's own default
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def release() -> None:
     """Gives what this worker process no longer uses back to the system: idle workers stay beside later stages."""
     pa.default_memory_pool().release_unused()
