@@ -6,16 +6,21 @@ those, the characters LC and tags LT inside links. Its composite density is
     C / T * log(C * T / (LC * LT)) / log(ln(C * LC / notLC + LC_body * C / C_body + e))
 
 (a zero count is taken as 1), so a link-heavy node scores low. The density sum of a node adds up
-its children's densities. The subtree with the largest sum is the core of the main text; the
-lowest density on the path from it up to the body is the threshold: the core and every other
-subtree of the body's whose density reaches it, are main text, without what is no content by its
-tag, role or name (menus, headers and footers of the page, sidebars, notices, adverts, forms,
-scripts, styles, comments). A core inside an ``article`` or ``main`` element stands for that
-element. Block elements delimit blocks; inside one, white space is one space.
+its children's densities. The subtree with the largest sum, of elements that hold blocks, is the core of the main text, and the
+lowest density on the path from it up to the body is the threshold: the core and every other subtree of
+the body whose density reaches it are main text.
+
+Tags are a prior beside that. What HTML defines as something else (menus, footers, asides, forms, dialogs, scripts,
+styles, hidden parts, a header outside the core) is never text. A node named like boilerplate (adverts, notices,
+comments and so on) is dropped unless it holds the core; where the name is one that articles use too, only
+if links or shortness speak for it as well: density below the threshold. The core grows to an ``article`` or ``main`` element around it if it has most of that element's text, and a
+heading needs a third of the threshold. Pages without any such tags or names are decided by
+density alone. Block elements delimit blocks; inside one, white space is one space.
 
 Edge cases: a null page is an empty one; an empty page, one without text and one that is all boilerplate
 give an empty text; unclosed, stray and badly nested tags never fail; nothing is capped, and depth
-is handled without recursion. Pages are independent rows: there is no shuffle.
+is handled without recursion; repeated rows are rows of their own; an empty table gives an empty result; columns
+other than those named are not read, whatever their names. Pages are independent rows: there is no shuffle.
 """
 
 from __future__ import annotations
@@ -32,16 +37,25 @@ from lodestar.llm.common import lean, ship_package
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-SPACE = re.compile(r"[\s​﻿]+")
+SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed xmp template".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Never text, as HTML defines them.
 JUNK = frozenset("script style noscript template iframe object embed svg canvas audio video map nav footer aside form button select textarea input dialog menu head title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|toc|sidebar|aside|widget|related|recommended|share|sharing|social|newsletter|subscribe|subscription|signup|login|paywall|"
-    r"footer|masthead|header|topbar|comment|comments|disqus|respond|replies|reply|pagination|pager|copyright|legal|skip|hidden)(?:$|[\s_-]|\d)", re.I)
+#: Names of boilerplate, and names that boilerplate shares with parts of articles.
+NAMES, SHARED = (
+    re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-]|\d)", re.I)
+    for words in (
+        "ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|cookie|cookies|consent|gdpr|notice|notices|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|"
+        "newsletter|subscribe|paywall|footer|masthead|topbar|comment|comments|disqus|respond|replies|pagination|pager|copyright",
+        "promotion|banner|alert|toc|aside|widget|related|recommended|share|sharing|social|subscription|signup|login|header|reply|legal|skip|hidden",
+    )
+)
+#: Elements that hold blocks: one paragraph, item or heading is never the whole text of a page that has more.
+HOLDS = frozenset("article body center dd details div fieldset figure html li main section table tbody td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Opening one of these closes an open one of the others, up to the element that bounds it.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "thead": ("tr td th thead tbody tfoot", "table"), "tbody": ("tr td th thead tbody tfoot", "table"), "tfoot": ("tr td th thead tbody tfoot", "table")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
@@ -109,25 +123,24 @@ def parse(page: str) -> Node:
             node = new
 
 
-def is_junk(node: Node) -> bool:
-    """Whether a node is no content by its tag, role or name."""
+def attributes(node: Node) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(node.attrs)} if node.attrs.strip(" /") else {}
+
+
+def is_other(node: Node) -> bool:
+    """Whether a node is no text by what HTML says of it."""
     if node.tag in JUNK:
         return True
-    if node.tag == "header":  # that of the page; an article's own holds its heading
-        x = node.up
-        while x is not None and x.tag not in ("article", "main"):
-            x = x.up
-        if x is None:
-            return True
-    if "=" in node.attrs or "hidden" in node.attrs:
-        attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(node.attrs)}
-        if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in ROLES:
-            return True
-        if node.tag not in ("body", "html", "article", "main") and NAMES.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{attrs.get('class', '')} {attrs.get('id', '')}")):
-            return True
-        if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-            return True
-    return False
+    attrs = attributes(node)
+    return bool(
+        "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in ROLES
+        or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I)
+    )
+
+
+def named(node: Node, names: re.Pattern) -> bool:
+    attrs = attributes(node)
+    return bool(names.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{attrs.get('class', '')} {attrs.get('id', '')}")))
 
 
 def walk(root: Node) -> list[Node]:
@@ -193,42 +206,56 @@ def blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    root = parse(page or "")
-    body = next((x for x in walk(root) if x.tag == "body"), root)
+def path(node: Node, body: Node) -> list[Node]:
+    """The node and those above it, up to the body."""
+    out = [node]
+    while out[-1] is not body:
+        out.append(out[-1].up)
+    return out
+
+
+def prune(body: Node, drop) -> None:
     todo = [body]
     while todo:
         x = todo.pop()
-        x.below = [y for y in x.below if isinstance(y, str) or not is_junk(y)]
+        x.below = [y for y in x.below if isinstance(y, str) or not drop(y)]
         todo += [y for y in x.below if not isinstance(y, str)]
+
+
+def find_core(body: Node) -> tuple[Node | None, float]:
+    """(the subtree of the largest density sum, the threshold); None where there is no text."""
     nodes = measure(body)
     if not body.c:
+        return None, 0.0
+    core = max([x for x in nodes if x.tag in HOLDS or x is body], key=lambda x: x.total)  # the first in page order of equal ones
+    return core, min(x.density for x in path(core, body))
+
+
+def main_text(page: str | None) -> str:
+    root = parse(page or "")
+    body = next((x for x in walk(root) if x.tag == "body"), root)
+    prune(body, is_other)
+    core, least = find_core(body)
+    if core is None:
+        return ""
+    holds = set(map(id, path(core, body)))
+    inside = set(map(id, walk(core)))
+    around = {id(y) for x in path(core, body) if x.tag in ("article", "main") for y in walk(x)}
+    prune(body, lambda x: id(x) not in holds and (named(x, NAMES) or (named(x, SHARED) and (x.density < least or 2 * x.lc > x.c)) or (x.tag == "header" and id(x) not in inside and id(x) not in around)))
+    core, least = find_core(body)
+    if core is None:
         return ""
-    core = max(nodes, key=lambda x: x.total)  # the first in page order of equal ones
-    if not core.total:
-        core = max(nodes, key=lambda x: x.density)
-    least, x = core.density, core
-    while x is not body:
-        x = x.up
-        least = min(least, x.density)
-    x = core
-    while x is not body:
-        x = x.up
-        if x.tag in ("article", "main"):
+    for x in path(core, body):
+        if x.tag in ("article", "main") and 2 * core.c >= x.c:
             core = x
+    above = set(map(id, path(core, body)))
     kept, todo = [], [body]
     while todo:
         x = todo.pop()
-        if x is core:
+        if x is core or (id(x) not in above and x.c and x.density >= (least / 3 if x.tag in HEADINGS else least)):
             kept.append(x)
-            continue
-        y = core
-        while y is not None and y is not x:
-            y = y.up
-        if y is x:  # above the core: look below
+        elif x is not core:
             todo += [z for z in reversed(x.below) if not isinstance(z, str)]
-        elif x.density >= max(least, 1e-9) and core.tag not in ("article", "main"):
-            kept.append(x)
     return "\n".join(blocks(kept))
 
 
