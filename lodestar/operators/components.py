@@ -16,7 +16,7 @@ from lodestar.sources.storage import drop, scratch
 
 
 def _stars(e: DataFrame) -> tuple[DataFrame, int, int]:
-    e = scratch(e.distinct())
+    e = scratch(e.distinct(), even=True)
     got = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     return e, got["n"], got["x"] or 0
 

@@ -27,12 +27,15 @@ def _folder(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def scratch(df: DataFrame) -> DataFrame:
+def scratch(df: DataFrame, even: bool = False) -> DataFrame:
     """df written as Parquet in the shared folder and read back: computed once, compressed, its lineage cut.
 
-    The table goes when the application ends, or earlier by ``drop``.
+    The table goes when the application ends, or earlier by ``drop``. ``even`` says that no partition of df is
+    hot: then neighbouring ones are written together, four files a core of the cluster at most, so small tables
+    don't become thousands of files.
     """
     spark = df.sparkSession
+    df = df.coalesce(4 * spark.sparkContext.defaultParallelism) if even else df
     path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
     df.write.parquet(path)
     fs, p = _folder(spark, path)
