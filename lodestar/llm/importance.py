@@ -139,17 +139,9 @@ class Classifier:
         table[:, got["b"].to_numpy(dtype=np.int64)] = got[["raw", "good", "bad_texts", "good_texts"]].to_numpy().T
         n_good = sum(first.values())
         model = cls(spark, log_ratios(table[0], table[1]), telling(table[2], table[3], len(first) - n_good, n_good, z), None)
-        rest = spark.sparkContext.broadcast({i: y for n, (i, y) in enumerate(known.items()) if n % 2})
-
-        def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                y = [rest.value.get(i) for i in batch.column(0).to_pylist()]
-                kept = pa.array([i for i, v in enumerate(y) if v is not None], pa.int64())
-                part = batch.take(kept)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([v for v in y if v is not None], pa.int32())], names=["doc_id", "text", "y"])
-
         kind = docs.schema["doc_id"].dataType.simpleString()
-        seen = model.features(docs.select("doc_id", "text").mapInArrow(lean(only), f"doc_id {kind}, text string, y int")).select("mean", "sure", "y").where("mean is not null").toPandas()
+        rest = spark.createDataFrame([(i, y) for n, (i, y) in enumerate(known.items()) if n % 2], f"doc_id {kind}, y int")
+        seen = model.features(docs.select("doc_id", "text").join(rest, "doc_id")).select("mean", "sure", "y").where("mean is not null").toPandas()
         if len(set(first.values())) == 2 and seen["y"].nunique() == 2:
             x = seen[["mean", "sure"]].to_numpy()
             model.w = fit_logistic(np.column_stack([x, np.log1p(-x[:, 1])]), seen["y"].to_numpy(dtype=float))

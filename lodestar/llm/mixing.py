@@ -71,7 +71,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # exp(-key), the u^(1/w) of the paper: it is uniform where all weights are equal, so even slices of it hold about as many rows
     d = d.withColumn("draw", F.pow(unit_interval(F.lit(seed), F.col("id"), F.col("tie")), 1.0 / F.col("q"))).drop("q")
     d = scratch(d.withColumn("bin", (bins * (1.0 - F.col("draw"))).cast("int")))
-    slices = scratch(d.groupBy("source", "bin").agg(F.sum("size").alias("slice")))
+    slices = scratch(d.groupBy("source", "bin").agg(F.sum("size").alias("slice")), even=True)
     per = source_targets(slices.groupBy("source").agg(F.sum("slice").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     per = per.withColumn("epochs", epochs).withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))

@@ -35,7 +35,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import lean, scratch, ship_package, text_of
@@ -220,13 +220,10 @@ def _verify(threshold: float):
     return run
 
 
-def _alike(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, DRAWS) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).mean(1) >= least))
-
-    return run
+def _agreeing() -> Column:
+    """How many of the draws da and db agree."""
+    place = F.sequence(F.lit(1), F.lit(2 * DRAWS - 1), F.lit(2))
+    return F.size(F.filter(place, lambda i: F.substring("da", i, F.lit(2)) == F.substring("db", i, F.lit(2))))
 
 
 def _candidates(rows: DataFrame, leaders: int, small: int) -> tuple[DataFrame, DataFrame]:
@@ -321,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     idf = spark.sparkContext.broadcast(idf_of(*word_frequencies(d)))  # 1 MB
     drawn = scratch(d.mapInArrow(lean(_draw_pass(idf)), "id long, digest binary, draws binary"))
     copies = drawn.groupBy("digest").agg(F.min("id").alias("rep"))
-    texts = scratch(drawn.where("draws is not null").groupBy("digest").agg(F.min(F.struct("id", "draws")).alias("x")).select("x.*"))
+    texts = scratch(drawn.where("draws is not null").groupBy("digest").agg(F.min(F.struct("id", "draws")).alias("x")).select("x.*"), even=True)
     draw = lambda i, n=1: F.substring("draws", 2 * i + 1, 2 * n)
     keys = F.array(*[F.xxhash64(F.lit(b), draw(ROWS * b, ROWS)) for b in range(BANDS)])
     shared, pairs = _candidates(texts.select("id", F.col("id").alias("group"), F.explode(keys).alias("key")), leaders, small)
@@ -337,7 +334,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = (texts.select(F.col("id").alias(c), F.col("draws").alias(f"d{c}")) for c in "ab")
         pairs = pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "da", "db")
-        pairs = pairs.mapInArrow(lean(_alike(0.5)), "a long, b long")
+        pairs = pairs.where(_agreeing() >= 0.5 * DRAWS).select("a", "b")
         one, two = (lists.select(F.col("id").alias(c), F.col("h").alias(f"h{c}"), F.col("w").alias(f"w{c}")) for c in "ab")
         full = pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "wa", "hb", "wb")
         return scratch(full.mapInArrow(lean(_verify(threshold)), "a long, b long"))

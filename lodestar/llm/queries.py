@@ -60,7 +60,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     # the search by tables: documents whose id is divisible by 20 against all
     asked = F.coalesce(c("id") % 20 == 0, F.lit(False))
-    prints = scratch(f.groupBy(c("hi0").alias("hi"), c("lo0").alias("lo")).agg(F.count("*").alias("copies"), F.bool_or(asked).alias("asked")))
+    prints = scratch(f.groupBy(c("hi0").alias("hi"), c("lo0").alias("lo")).agg(F.count("*").alias("copies"), F.bool_or(asked).alias("asked")), even=True)
     near = simhash.within_radius(prints.where("asked"), prints.drop("asked")).groupBy(c("q_hi").alias("hi0"), c("q_lo").alias("lo0")).agg(F.sum("copies").alias("near"))
     f = f.join(near, ["hi0", "lo0"], "left")
     return f.select(
