@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -35,8 +36,29 @@ from lodestar.llm.common import lean, ship_package
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Ids that the decoder is fed at once.
 PORTION = 4096
-#: Entries of each memo table before it is emptied.
-MEMO = 700_000
+#: The bits of a move that name the state.
+LOW = (1 << 40) - 1
+#: Most moves of the transducer; the tables of pairs and of runs are parts of that.
+MEMO = 600_000
+
+
+class Memo:
+    """A table of bounded size: when its newer half is full it becomes the older one, and what is asked for again moves back."""
+
+    def __init__(self, most: int):
+        self.half, self.new, self.old = max(1, most // 2), {}, {}
+
+    def aged(self, key):
+        """What the older half knows, or None."""
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -53,12 +75,14 @@ class Transducer:
         self.longest = max(map(len, ranks), default=1)
         #: Proper prefixes of entries: what a token under way may look like.
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs = Memo(memo // 4)
         self._reset()
 
     def _reset(self) -> None:
-        #: Moves: 256 * state + byte -> (next state times 256, emitted ids).
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: Moves: 256 * state + byte -> next state times 256, and above bit 40 the number of what is emitted.
+        self.moves: dict[int, int] = {}
+        self.emitted: list[tuple[int, ...]] = [()]
+        self.emits: dict[tuple[int, ...], int] = {(): 0}
         self.ends: dict[int, tuple[int, ...]] = {}
         #: Of each state: the bytes read since the last boundary; for each of their prefixes the length of its last token.
         self.pending: list[tuple[bytes, tuple[int, ...]]] = [(b"", ())]
@@ -82,14 +106,15 @@ class Transducer:
 
     def _stands(self, left: bytes, right: bytes) -> bool:
         """Whether right can follow left: the merges of both together give just them."""
-        known = self.pairs.get((left, right))
+        known = self.pairs.new.get((left, right))
         if known is None:
-            if len(self.pairs) >= self.memo:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(left + right) == ([left, right] if left else [right])
+            known = self.pairs.aged((left, right))
+        if known is None:
+            known = self.merge(left + right) == ([left, right] if left else [right])
+            self.pairs.put((left, right), known)
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, state: int, byte: int) -> int:
         read, last = self.pending[state >> 8]
         read += bytes((byte,))
         n, ranks = len(read), self.ranks
@@ -119,7 +144,12 @@ class Transducer:
         if to is None:
             to = self.number[rest] = len(self.pending) << 8
             self.pending.append((rest, last[cut:]))
-        self.moves[state | byte] = move = (to, tuple(reversed(out)))
+        ids = tuple(reversed(out))
+        number = self.emits.get(ids)
+        if number is None:
+            number = self.emits[ids] = len(self.emitted)
+            self.emitted.append(ids)
+        self.moves[state | byte] = move = to | number << 40
         return move
 
     def encode(self, word: bytes) -> list[int]:
@@ -129,12 +159,15 @@ class Transducer:
             return [whole]
         if len(self.moves) > self.memo:
             self._reset()
-        state, out, get = 0, [], self.moves.get
+        state, at, out, get = 0, 0, [], self.moves.get
         for byte in word:
-            move = get(state | byte)
-            state, ids = move if move is not None else self._step(state, byte)
-            if ids:
-                out += ids
+            state = get(state | byte)
+            if state is None:
+                state = self._step(at, byte)
+            if state > LOW:
+                out += self.emitted[state >> 40]
+                state &= LOW
+            at = state
         end = self.ends.get(state)
         if end is None:
             end = self.ends[state] = tuple(self.ranks[p] for p in self.merge(self.pending[state >> 8][0]))
@@ -159,27 +192,29 @@ class Encoder:
         self.match = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{WS}\p{{L}}\p{{N}}]").replace(r"\s", f"[{WS}]").replace(r"\S", f"[^{WS}]"))
         #: Where the pattern always has a boundary: before a run of non-space and the one space that leads it.
         self.chunk = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
-        self.memo = memo
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        self.known = Memo(2 * memo // 3)
+        #: Ids are kept packed, in as few bytes as the largest needs.
+        self.code = "H" if max(ranks.values(), default=0) < 1 << 16 else "I"
+
+    def _chunk(self, chunk: str) -> bytes:
+        aged = self.known.aged(chunk)
+        if aged is not None:
+            return aged
         out: list[int] = []
         for word in self.match.findall(chunk):
             out += self.machine.encode(utf8(word))
-        ids = tuple(out)
+        ids = array(self.code, out).tobytes()
         if len(chunk) <= 64:
-            if len(self.known) >= self.memo:
-                self.known.clear()
-            self.known[chunk] = ids
+            self.known.put(chunk, ids)
         return ids
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        get, make, add = self.known.get, self._chunk, out.extend
+        out: list[bytes] = []
+        get, make, add = self.known.new.get, self._chunk, out.append
         for chunk in self.chunk.findall(text):
             ids = get(chunk)
             add(ids if ids is not None else make(chunk))
-        return out
+        return array(self.code, b"".join(out)).tolist()
 
 
 def _machine() -> tuple[list[list[int]], int]:

@@ -140,8 +140,9 @@ class Classifier:
         n_good = sum(first.values())
         model = cls(spark, log_ratios(table[0], table[1]), telling(table[2], table[3], len(first) - n_good, n_good, z), None)
         kind = docs.schema["doc_id"].dataType.simpleString()
+        # at most half of the sample, which bounds what is broadcast
         rest = spark.createDataFrame([(i, y) for n, (i, y) in enumerate(known.items()) if n % 2], f"doc_id {kind}, y int")
-        seen = model.features(docs.select("doc_id", "text").join(rest, "doc_id")).select("mean", "sure", "y").where("mean is not null").toPandas()
+        seen = model.features(docs.select("doc_id", "text").join(F.broadcast(rest), "doc_id")).select("mean", "sure", "y").where("mean is not null").toPandas()
         if len(set(first.values())) == 2 and seen["y"].nunique() == 2:
             x = seen[["mean", "sure"]].to_numpy()
             model.w = fit_logistic(np.column_stack([x, np.log1p(-x[:, 1])]), seen["y"].to_numpy(dtype=float))
