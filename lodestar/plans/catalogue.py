@@ -95,7 +95,7 @@ def txt_term_id(s, d):
     return t.select("term", T.term_id(F.col("term")).alias("id"))
 
 
-@query("SELECT p_partkey, slug, 'Fix:'||slug||':'||left(sha1('Fix|'||p_name),6) AS node_id FROM (SELECT *, coalesce(nullif(left(regexp_replace(regexp_replace(lower(p_name),'[^a-z0-9]+','-','g'),'^-+|-+$','','g'),60),''),'x') AS slug FROM part)")
+@query("SELECT p_partkey, slug, 'fix:'||slug||':'||left(sha1('Fix|'||p_name),6) AS node_id FROM (SELECT *, coalesce(nullif(left(regexp_replace(regexp_replace(lower(p_name),'[^a-z0-9]+','-','g'),'^-+|-+$','','g'),60),''),'x') AS slug FROM part)")
 def txt_slug_node_id(s, d):
     return table(s, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"), T.node_id(F.lit("Fix"), F.col("p_name")).alias("node_id"))
 
