@@ -170,6 +170,33 @@ def dense(queries: DataFrame, vectors: DataFrame, top: int = 50, block: int = 20
     return top_k(best, top)
 
 
+def _near(threshold: float):
+    """Links (a, b) of a pair of blocks that join the same vectors as all pairs at the threshold do."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        ids, x = part["id"].to_numpy(), np.array(part["vec"].tolist(), dtype=np.float64).reshape(len(part), -1)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        near, root, links = x @ x.T >= threshold, np.arange(len(x)), []
+        for a in range(len(x)):
+            for b in np.flatnonzero(near[a] & (root != root[a])):
+                if root[b] != root[a]:
+                    links.append((ids[a], ids[b]))
+                    root[root == root[b]] = root[a]
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return run
+
+
+def near_links(vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """(a, b) of (id, grp, vec): links whose components are those of all pairs of a group at the threshold, block by block."""
+    ship_package(vectors.sparkSession)
+    n = vectors.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    v = vectors.join(n, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    v = v.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "vec")
+    kind = vectors.schema["id"].dataType.simpleString()
+    return v.groupBy("grp", "x", "y").applyInPandas(_near(threshold), f"a {kind}, b {kind}")
+
+
 def fuse(*ranked: DataFrame, k: int = 60, cut: int = 50, keep: int = 30) -> DataFrame:
     """Reciprocal rank fusion of (qid, doc, rk) lists: (qid, doc, score, rk)."""
     every = None

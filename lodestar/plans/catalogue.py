@@ -300,7 +300,7 @@ def _seeds(e):
 )
 def grf_ppr_k(s, d):
     e = kg_edges(s, d)
-    return K.personalized_pagerank(K.adjacency(e), _seeds(e).withColumn("weight", F.lit(1.0))).select("node", F.round("mass", 6).alias("mass"))
+    return K.personalized_pagerank(K.adjacency(e), _seeds(e).withColumn("weight", F.lit(1.0)), rounds=10, tolerance=0).select("node", F.round("mass", 6).alias("mass"))
 
 
 STEP = f"step AS (SELECT src, dst, max(f) AS f FROM (SELECT src, dst, greatest(conf,0.1)*{RELW}*0.8 AS f FROM kg_edges UNION ALL SELECT dst, src, greatest(conf,0.1)*{RELW}*0.8 FROM kg_edges) GROUP BY src, dst)"

@@ -53,15 +53,6 @@ def kg_provenance(s, d):
     return m.agg(F.round(100 * F.avg(F.when(F.size("chunks") > 0, 1.0).otherwise(0.0)), 6).alias("provenance_pct"), F.round(100 * F.avg(F.when(F.col("n_support") > 1, 1.0).otherwise(0.0)), 6).alias("multi_pct"))
 
 
-REASON = "CASE WHEN dst IS NULL THEN 'bad_index' WHEN src=dst THEN 'self_loop' WHEN rel NOT IN ('RESOLVED_BY','EXHIBITS') THEN 'type' WHEN conf<0.92 THEN 'evidence' WHEN model='supp0' THEN 'grounding' WHEN n>1 THEN 'duplicate' ELSE 'kept' END"
-
-
-@query(f"WITH {KG_ALL}, x AS (SELECT *, row_number() OVER (PARTITION BY src,rel,dst ORDER BY chunk, conf, model) AS n FROM kg_edges) SELECT {REASON} AS reason, count(*) AS n FROM x GROUP BY 1")
-def kg_validate(s, d):
-    n = F.row_number().over(Window.partitionBy("src", "rel", "dst").orderBy("chunk", "conf", "model"))
-    return kg_edges(s, d).withColumn("n", n).groupBy(K.reject_reason().alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query(f"WITH {KG_ALL} SELECT DISTINCT src, dst, p_type AS version FROM kg_edges JOIN part ON 'part:'||p_partkey=dst WHERE p_size>40")
 def gen_version(s, d):
     v = table(s, d, "part").where("p_size > 40").select(F.concat(F.lit("part:"), "p_partkey").alias("dst"), F.col("p_type").alias("version"))
