@@ -153,10 +153,21 @@ def src_latest_record(s, d):
     return L.latest(table(s, d, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
 
 
-@query(r"SELECT o_orderpriority, sha256(string_agg(o_orderkey::VARCHAR, chr(10) ORDER BY o_orderkey::VARCHAR)) AS freeze FROM orders GROUP BY 1")
+@query(r"WITH p AS (SELECT o_orderpriority, left(md5(o_orderkey::VARCHAR),3) AS p, sha256(string_agg(o_orderkey::VARCHAR, chr(10) ORDER BY o_orderkey::VARCHAR)) AS h FROM orders GROUP BY 1,2) SELECT o_orderpriority, sha256(string_agg(h, chr(10) ORDER BY p)) AS freeze FROM p GROUP BY 1")
 def src_freeze_hash(s, d):
-    k = F.array_sort(F.collect_list(F.col("o_orderkey").cast("string")))
-    return table(s, d, "orders").groupBy("o_orderpriority").agg(F.sha2(F.encode(F.array_join(k, "\n"), "UTF-8"), 256).alias("freeze"))
+    """A digest of each set of keys: keys are digested by prefix of their hash, and those digests, at most 4,096, together."""
+    k = F.col("o_orderkey").cast("string")
+    parts = table(s, d, "orders").groupBy("o_orderpriority", F.substring(F.md5(F.encode(k, "UTF-8")), 1, 3).alias("p")).agg(F.array_sort(F.collect_list(k)).alias("k"))
+    digest = lambda a: F.sha2(F.encode(F.array_join(a, "\n"), "UTF-8"), 256)
+    parts = parts.select("o_orderpriority", F.struct("p", digest(F.col("k")).alias("h")).alias("x"))
+    return parts.groupBy("o_orderpriority").agg(digest(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"])).alias("freeze"))
+
+
+@query("SELECT sha256(string_agg(item_id::VARCHAR, chr(10) ORDER BY item_id::VARCHAR)) AS freeze, count(*) AS n FROM benchmark")
+def src_freeze_questions(s, d):
+    """The digest that freezes a question set, a list of ids that is small by nature."""
+    k = F.array_sort(F.collect_list(F.col("item_id").cast("string")))
+    return _q(s, d).agg(F.sha2(F.encode(F.array_join(k, "\n"), "UTF-8"), 256).alias("freeze"), F.count("*").alias("n"))
 
 
 @query("SELECT sha256(role||'|'||text) AS cache_key, count(*) AS n FROM conversations GROUP BY 1")
@@ -548,8 +559,9 @@ def win_cap_sample(s, d):
 
 @query("SELECT event_id, event_type, r FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY md5('13|'||event_id), event_id) AS r FROM events) ORDER BY r, event_type LIMIT 60")
 def win_interleave(s, d):
-    w = Window.partitionBy("event_type").orderBy(E.stable_order("13", F.col("event_id")), "event_id")
-    return table(s, d, "events").select("event_id", "event_type", F.row_number().over(w).cast("long").alias("r")).orderBy("r", "event_type").limit(60)
+    """The first 60 of the strata taken in turns: a top-k report."""
+    r = E.ranked_by_hash(table(s, d, "events"), "event_id", "event_type", "13")
+    return r.select("event_id", "event_type", F.col("_rank").cast("long").alias("r")).orderBy("r", "event_type").limit(60)
 
 
 @query("SELECT o_orderpriority, least(n, greatest(10, round_even(200*n/sum(n) OVER (),0)))::BIGINT AS take FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from lodestar.sources.storage import shared_dir
+
 
 def read_log(spark: SparkSession, path: str, schema: StructType, per_trigger: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
@@ -43,3 +46,30 @@ def append_once(stream: DataFrame, target: str, checkpoint: str, key: str, work:
         work(fresh).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_table_log(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The Parquet table NAME of a folder as a stream of its files, with the table's own schema."""
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    reader = spark.readStream.schema(table.schema)
+    if table.inputFiles()[0].endswith(f"/{name}.parquet"):  # a single file: a stream reads folders
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return reader.parquet(f"{folder}/{name}.parquet")
+
+
+def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """What an aggregated stream holds once all that is there has been read: each batch's whole result replaces the one before."""
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def latest_stream(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The last record of each key, also of a stream: a state of one record a key."""
+    row = F.max_by(F.struct(*stream.columns), F.struct(*order))
+    return stream.groupBy(key).agg(row.alias("x")).select("x.*")
