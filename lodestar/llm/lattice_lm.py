@@ -18,7 +18,7 @@ no frequent word can skew, for those are in the head.
 
 Edge cases: a null text is an empty one and has the end alone; a word that is in held-out texts
 only counts 0 and is spelt in pieces; repeated rows are texts of their own; an empty table gives
-an empty result.
+an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

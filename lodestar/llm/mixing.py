@@ -93,9 +93,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows of docs: each document as many times as it is taken, a part of at least half rounded up."""
     id_col, text_col, source_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")
-    got = mix(docs, **options).select(F.col(id_col).alias("__id"), F.col("tie").alias("__tie"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int").alias("__n"))
+    got = mix(docs, **options).select(F.col(id_col).alias("id"), "tie", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int").alias("n"))
     # copies of a row share a tie; they get the mean of what they took, so a row of docs meets one row here
-    got = got.groupBy("__id", "__tie").agg(F.round(F.avg("__n")).cast("int").alias("__n")).where("__n > 0")
-    tie = F.xxhash64(F.col(source_col), text_of(text_col))
-    rows = docs.join(got, docs[id_col].eqNullSafe(got["__id"]) & (tie == got["__tie"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), got["__n"]))).select(*[docs[c] for c in docs.columns])
+    got = got.groupBy("id", "tie").agg(F.round(F.avg("n")).cast("int").alias("n")).where("n > 0")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(F.col(source_col), text_of(text_col)).alias("own_tie"))
+    rows = rows.join(got, F.col("row").getField(id_col).eqNullSafe(F.col("id")) & (F.col("own_tie") == F.col("tie")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("row.*")

@@ -18,7 +18,8 @@ holds under any dependence. The cut is found from counts per tenth of log e: a t
 size, however many the candidates. A token inside a base span is reported as that span only.
 
 Edge cases: a null text is an empty one and has no span; positions count code points; a text may have any
-number of spans; repeated rows are scanned alike; an empty table gives an empty result.
+number of spans; repeated rows are scanned alike; an empty table gives an empty result; a column of the
+name given for the spans is replaced, and others pass through.
 """
 
 from __future__ import annotations
