@@ -1,18 +1,22 @@
 """Training corpus from documents: quality, near duplicates, secrets, mixing and encoding, each stage written and read again.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of documents. Rows of one id are one document.
+columns of documents, and further columns pass through whatever their names.
+
+Edge cases: a null text is an empty one, which the quality stage rejects, for nothing speaks for it. Rows of one id, null
+being one, are one document, of which the near-duplicate stage keeps the row of the least hash of its text. Ties are
+broken by ids and hashes of texts, so reruns agree. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import byte_bpe, importance, mixing, near_duplicates, secrets
-from lodestar.llm.common import read_table, scratch, text_of
+from lodestar.llm.common import drop, read_table, scratch, text_of
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,18 +26,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one of the least id."""
-    kept = near_duplicates.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    """One document of each class of near duplicates, the one of the least id, once."""
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(near_duplicates.NO_ID))
+    kept = near_duplicates.near_duplicates(docs).where("kept").select(key("doc_id").alias("k")).distinct()
+    rows = docs.select(key("doc_id").alias("k"), F.xxhash64(text_of()).alias("tie"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).join(kept, "k")
+    # the join has dealt rows out by k already
+    first = F.row_number().over(Window.partitionBy("k").orderBy("tie"))
+    return rows.withColumn("place", first).where("place = 1").select("row.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret; n_chars follows the text."""
-    found = secrets.scan(docs, out="__spans")
-    hit = F.size("__spans") > 0
-    text = F.when(hit, secrets.redacted(text_of(), F.col("__spans"))).otherwise(F.col("text"))
-    done = found.withColumn("text", text).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    rows = docs.select(text_of().alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = secrets.scan(rows, out="spans")
+    hit = F.size("spans") > 0
+    text = F.when(hit, secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("row").getField("text"))
+    done = rows.select("row", hit.alias("hit"), text.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("hit"), F.length("text").cast("long")).otherwise(F.col("row").getField("n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +76,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = read_table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch(docs)
+            drop(before)
     return docs
