@@ -23,7 +23,8 @@ share a bucket, shingle lists. Equal texts are one entry from the start, and the
 from an equi-join on the text's digest.
 
 Edge cases: a null text is an empty one; texts without words link with equal texts only; equal
-texts are one class; rows of one id, null being one, are one document; an empty table gives an empty result.
+texts are one class; rows of one id, null being one, each belong to the class of their text, and the row of a class's
+least id is kept; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +45,6 @@ from lodestar.operators.components import connected_components
 DF_BUCKETS = 1 << 18
 BANDS, ROWS = 10, 3
 DRAWS = BANDS * ROWS
-MAP_BITS = 24
 #: Shingles of a block, about: 6 MB.
 BLOCK_SHINGLES = 1 << 19
 #: Stands for a null id.
@@ -187,17 +187,21 @@ def _draw_pass(idf):
                     for i, row in zip(full, draws([sets[i] for i in full]), strict=True):
                         names[i] = row.tobytes()
                 digest = [hashlib.md5(x.encode("utf-8", "replace")).digest() for x in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(names, pa.binary())], names=["id", "digest", "draws"])
+                key = pa.array(np.frombuffer(b"".join(digest), np.int64)[::2])
+                yield pa.RecordBatch.from_arrays([batch.column(0), key, pa.array(digest, pa.binary()), pa.array(names, pa.binary())], names=["doc", "id", "digest", "draws"])
 
     return run
 
 
 def _shingle_pass(idf, wanted):
+    """(id, h, w, size) of the texts in (id, text) whose place p in the bitmap is set; of all texts without one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bitmap = idf.value, wanted.value
+        table, bitmap = idf.value, wanted.value if wanted else None
         for whole in batches:
-            key = whole.column(2).to_numpy()
-            whole = whole.filter(pa.array((bitmap[key >> 3] >> (key & 7)) & 1 == 1))
+            if bitmap is not None:
+                key = whole.column(2).to_numpy()
+                whole = whole.filter(pa.array((bitmap[key >> 3] >> (key & 7)) & 1 == 1))
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 sets = [shingles(word_hashes(x), table) for x in batch.column(1).to_pylist()]
@@ -310,25 +314,38 @@ def _block_links(threshold: float, least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, leaders: int = 2, small: int = 8, block: int = 512) -> DataFrame:
+def _digest_key(text: Column) -> Column:
+    """The first eight bytes of a text's MD5 as a little-endian whole number: its key wherever texts are compared."""
+    h = F.md5(F.encode(text, "UTF-8"))
+    turned = F.concat(*[F.substring(h, i, 2) for i in range(15, 0, -2)])
+    high, low = (F.conv(F.substring(turned, i, 8), 16, 10).cast("long") for i in (1, 9))
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, leaders: int = 2, small: int = 8, block: int = 512, map_bits: int = 24) -> DataFrame:
     """(id, class_id, kept) for each row: the least id of its class, and whether it is that one. A block has about ``block`` texts, fewer where they are long."""
     spark = docs.sparkSession
     ship_package(spark)
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(text_col).alias("text"))
     idf = spark.sparkContext.broadcast(idf_of(*word_frequencies(d)))  # 1 MB
-    drawn = scratch(d.mapInArrow(lean(_draw_pass(idf)), "id long, digest binary, draws binary"))
-    copies = drawn.groupBy("digest").agg(F.min("id").alias("rep"))
+    drawn = scratch(d.mapInArrow(lean(_draw_pass(idf)), "doc long, id long, digest binary, draws binary"))
+    copies = drawn.groupBy("digest").agg(F.min("doc").alias("rep"), F.min("id").alias("id"))
     texts = scratch(drawn.where("draws is not null").groupBy("digest").agg(F.min(F.struct("id", "draws")).alias("x")).select("x.*"), even=True)
     draw = lambda i, n=1: F.substring("draws", 2 * i + 1, 2 * n)
     keys = F.array(*[F.xxhash64(F.lit(b), draw(ROWS * b, ROWS)) for b in range(BANDS)])
     shared, pairs = _candidates(texts.select("id", F.col("id").alias("group"), F.explode(keys).alias("key")), leaders, small)
-    # the texts of shared buckets, as a bitmap of fixed size; strays that hash alike are filtered by the joins below
-    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - MAP_BITS).cast("int")
-    bits = shared.select("id").distinct().select(place(F.col("id")).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, p & 31)")).alias("b")).toPandas()
-    bitmap = np.zeros(1 << (MAP_BITS - 5), np.uint32)
-    bitmap[bits["w"].to_numpy(dtype=np.int64)] = bits["b"].to_numpy(dtype=np.uint64).astype(np.uint32)
-    wanted = spark.sparkContext.broadcast(bitmap.view(np.uint8))  # 2 MB
-    lists = d.select("id", "text", place(F.col("id")).alias("p")).mapInArrow(lean(_shingle_pass(idf, wanted)), "id long, h binary, w binary, size int")
+    asked = shared.select("id").distinct()
+    whole = d.select(_digest_key(F.col("text")).alias("id"), "text")
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - map_bits).cast("int")
+    if asked.count() <= 1 << (map_bits - 2):  # a bitmap of fixed size; strays that hash alike are filtered by the joins below
+        bits = asked.select(place(F.col("id")).alias("p")).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, p & 31)")).alias("b")).toPandas()
+        bitmap = np.zeros(max(1, 1 << max(0, map_bits - 5)), np.uint32)
+        bitmap[bits["w"].to_numpy(dtype=np.int64)] = bits["b"].to_numpy(dtype=np.uint64).astype(np.uint32)
+        wanted = spark.sparkContext.broadcast(bitmap.view(np.uint8))  # 2 MB
+        whole = whole.withColumn("p", place(F.col("id")))
+    else:  # more texts than it tells apart: they are picked by a join
+        wanted, whole = None, whole.join(asked, "id", "left_semi")
+    lists = whole.mapInArrow(lean(_shingle_pass(idf, wanted)), "id long, h binary, w binary, size int")
     lists = scratch(lists.dropDuplicates(["id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -350,8 +367,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
     whole = _block_pairs(members.drop("size"), blocks).join(lists.drop("size"), "id")
     links = links.unionByName(scratch(whole.groupBy("key", "x", "y").applyInArrow(_block_links(threshold, 0.5), "a long, b long")))
-    classes = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
-    entry = copies.join(classes, "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
-    out = drawn.select("id", "digest").join(entry, "digest")
+    classes = connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
+    entry = copies.join(classes, "id", "left").select("digest", "rep", "component")
+    least = entry.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    entry = entry.join(least, "component", "left").select("digest", F.coalesce("least", "rep").alias("class_id"))
+    out = drawn.select(F.col("doc").alias("id"), "digest").join(entry, "digest")
     given = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     return out.select(given("id").alias(id_col), given("class_id").alias("class_id"), (F.col("id") == F.col("class_id")).alias("kept"))

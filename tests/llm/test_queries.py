@@ -293,3 +293,27 @@ def test_contract_columns_by_sql(spark):
     c = duckdb.connect()
     want = c.execute(f"SELECT doc_id, length(text) AS n FROM '{SF}/documents.parquet'").fetchall()
     assert sorted((r["doc_id"], r["n_chars"]) for r in queries.op7_fingerprints(spark, SF).collect()) == sorted(want)
+
+
+def test_near_duplicates_without_the_bitmap_and_with_null_ids(spark):
+    base = [words(60, 900 + i) for i in range(30)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t + " more") for i, t in enumerate(base)] + [(None, base[3] + " x"), (None, base[4] + " x"), (None, words(60, 5000))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for bits in (4, 24):
+        got = [(r["doc_id"], r["class_id"], r["kept"]) for r in near_duplicates.near_duplicates(d, map_bits=bits).collect()]
+        assert all(c == i % 100 for i, c, _ in got if i is not None and i % 100 not in (3, 4))
+        assert sorted(str(c) for i, c, _ in got if i is None) == ["None", "None", "None"]
+        assert [k for i, _, k in got if i in (3, 4, 103, 104)] == [False] * 4 and sum(k for i, _, k in got if i is None) == 3
+
+
+def test_components_of_a_block():
+    rng = np.random.default_rng(1)
+    from lodestar.llm.embedding_dedup import _roots
+
+    m = rng.random((60, 60)) < 0.02
+    m |= m.T
+    np.fill_diagonal(m, False)
+    want = np.arange(60)
+    for _ in range(60):
+        want = np.array([min([want[i], *want[m[i]]]) for i in range(60)])
+    assert (_roots(m) == want).all()
