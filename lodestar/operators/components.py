@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from lodestar.sources.storage import drop, scratch
 
 
-def _stars(e: DataFrame) -> tuple[DataFrame, int, int]:
-    e = scratch(e.distinct(), even=True)
+def _stars(e: DataFrame, n: int | None = None) -> tuple[DataFrame, int, int]:
+    """(e written once, its rows, their digest); n is about how many there will be, if known: a file holds half a million."""
+    e = scratch(e.distinct() if n is None else e.distinct().coalesce(max(1, n >> 19)), even=True)
     got = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     return e, got["n"], got["x"] or 0
 
@@ -41,7 +42,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(low, large["a"] == low["k"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         before = e
-        e, n2, x2 = _stars(small.unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b"))))
+        e, n2, x2 = _stars(small.unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b"))), n)
         drop(before)
         settled = (n2, x2) == (n, x)
         n, x = n2, x2

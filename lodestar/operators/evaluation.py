@@ -312,3 +312,9 @@ def listwise_loss(df: DataFrame, key: str, score: str, positive: str) -> DataFra
 def random_part(key: Column, cut: int, seed: str = "13") -> Column:
     """``test`` for the keys whose hash's first byte is below ``cut``, else ``train``."""
     return F.when(F.conv(F.substring(stable_order(seed, key), 1, 2), 16, 10).cast("int") < cut, "test").otherwise("train")
+
+
+def screened(answerable: Column, supported: Column, quote: Column, quote_score: Column, leaks: Column, least: int = 15, ratio: float = 0.85) -> Column:
+    """struct<passed, quote_found, leaks>: the evidence answers and supports, the quote is long enough and stands in it, and the answer isn't given away. A missing verdict fails."""
+    found = (F.length(F.trim(quote)) >= least) & (quote_score >= ratio)
+    return F.struct(F.coalesce(answerable & supported & found & ~leaks, F.lit(False)).alias("passed"), F.coalesce(found, F.lit(False)).alias("quote_found"), leaks.alias("leaks"))

@@ -245,3 +245,15 @@ def protected_fill(ranked: DataFrame, extras: DataFrame, keep: int = 6, k: int =
     every = own.unionByName(extras.select("qid", "doc", F.lit(1).alias("p"), "rk"))
     pos = F.row_number().over(Window.partitionBy("qid").orderBy("p", "rk", "doc")).cast("long")
     return every.withColumn("pos", pos).where(F.col("pos") <= k).select("qid", "doc", "pos")
+
+
+def link_names(mentions: DataFrame, names: DataFrame, counts: DataFrame, threshold: float = 0.72, per_mention: int = 3, factor: float = 1.0) -> DataFrame:
+    """(mention, node, weight): the nearest node names of each phrase, both as (doc, bucket, w), weighted by rarity.
+
+    The join is on hashed tokens, so only names that share one are compared; a node's best alias counts. ``factor`` is for whole questions.
+    """
+    m, n = mentions.select(F.col("doc").alias("mention"), "bucket", F.col("w").alias("wm")), names.select(F.col("doc").alias("node"), "bucket", "w")
+    sim = m.join(n, "bucket").groupBy("mention", "node").agg(F.sum(F.col("wm") * F.col("w")).alias("sim")).where(F.round("sim", 9) >= threshold)
+    top = top_k(sim, per_mention, "sim", "mention", "node")
+    rare = 1 / F.ln(2 + F.coalesce("n", F.lit(0)))
+    return top.join(counts.select("node", "n"), "node", "left").groupBy("mention", "node").agg(F.max(F.col("sim") * factor * rare).alias("weight"))
