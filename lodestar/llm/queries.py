@@ -56,8 +56,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = simhash.fingerprints(d, ["bucket", "n", "ghost", "id", "n_chars", "which", "sha"], "t")
     f = f.groupBy("bucket", "n", "ghost", "id", "n_chars").agg(F.max("sha").alias("edited_sha256"), *[F.max(F.when(F.col("which") == w, F.col(c))).alias(f"{c}{w}") for w in (0, 1) for c in ("hi", "lo")])
     w = Window.partitionBy("bucket").orderBy("n")
-    f = scratch(f.select("*", F.lead("hi0").over(w).alias("hi2"), F.lead("lo0").over(w).alias("lo2")).where("not ghost"), even=True)  # ranges of ids hold about as many rows each
     c = F.col
+    f = f.select("*", F.lead("hi0").over(w).alias("hi2"), F.lead("lo0").over(w).alias("lo2")).where("not ghost")
+    f = scratch(f.select(
+        "id", "n_chars", F.unhex("edited_sha256").alias("sha"), "hi0", "lo0", "hi1", "lo1", simhash.likeness(c("hi0"), c("lo0"), c("hi1"), c("lo1")).alias("near_edited"),
+        simhash.likeness(c("hi0"), c("lo0"), c("hi2"), c("lo2")).alias("near_next"),
+    ))
     # the search by tables: documents whose id is divisible by 20 against all
     asked = F.coalesce(c("id") % 20 == 0, F.lit(False))
     prints = scratch(f.groupBy(c("hi0").alias("hi"), c("lo0").alias("lo")).agg(F.count("*").alias("copies"), F.bool_or(asked).alias("asked")), even=True)
@@ -65,9 +69,8 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     # only the rows that ask meet what was found
     near = f.where(asked).join(near, ["hi0", "lo0"]).unionByName(f.where(~asked).withColumn("near", F.lit(None).cast("long")))
     return near.select(
-        c("id").alias("doc_id"), "n_chars", "edited_sha256", simhash.shown(c("hi0"), c("lo0")).alias("fingerprint"), simhash.shown(c("hi1"), c("lo1")).alias("edited_fingerprint"),
-        simhash.likeness(c("hi0"), c("lo0"), c("hi1"), c("lo1")).alias("near_edited"), simhash.likeness(c("hi0"), c("lo0"), c("hi2"), c("lo2")).alias("near_next"),
-        (c("near") - 1).alias("n_within_3"),
+        c("id").alias("doc_id"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), simhash.shown(c("hi0"), c("lo0")).alias("fingerprint"), simhash.shown(c("hi1"), c("lo1")).alias("edited_fingerprint"),
+        "near_edited", "near_next", (c("near") - 1).alias("n_within_3"),
     )
 
 
