@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-import lodestar.plans.studies  # noqa: F401
+from lodestar.plans import build, intake, runs, serving, studies  # noqa: F401  each adds its queries
 from lodestar.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -44,3 +44,10 @@ def test_words_late_in_a_text_and_other_languages_count(spark, tmp_path):
     assert [r["doc"] for r in leaks] == [1] and "zebra" in leaks[0]["leak"].split()
     assert {r["doc_id"]: r["names"] for r in run("txt_alias_mentions")}[2] == "article,that"
     assert {r["doc_id"]: (r["conditional"], r["n_when"]) for r in run("txt_conditional_sentences")}[2] == (True, 1)
+
+
+def test_term_ids_are_the_checksums(spark):
+    import zlib
+
+    got = QUERIES["txt_term_id"](spark, SF).collect()
+    assert len(got) > 1000 and all(r["id"] == zlib.crc32(r["term"].encode()) & 0x7FFFFFFF for r in got)
