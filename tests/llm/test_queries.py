@@ -317,3 +317,28 @@ def test_components_of_a_block():
     for _ in range(60):
         want = np.array([min([want[i], *want[m[i]]]) for i in range(60)])
     assert (_roots(m) == want).all()
+
+
+@pytest.mark.parametrize("filled", [64, 16, 4])
+def test_op6_recall_over_several_cells(spark, filled):
+    """Planted pairs at 0.93 to 0.95 in 64 columns, at the query's own parameters: links and counts against brute force."""
+    from lodestar.llm import embedding_dedup
+
+    rng = np.random.default_rng(filled)
+    basis = np.linalg.qr(rng.normal(size=(64, 64)))[0][:filled]
+    n = 7000 if filled > 4 else 3500
+    x = rng.normal(size=(n, filled))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.normal(size=x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    cos = rng.uniform(0.931, 0.95, (n, 1))
+    v = (np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * u]) @ basis).astype(np.float32)
+    d = spark.createDataFrame([(i, y.tolist(), 0) for i, y in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(d, per_cell=4096 if filled > 4 else 1024).collect()}
+    w = v.astype(np.float64)
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    want = (w @ w.T >= 0.93).sum(1) - 1
+    links = np.array([got[i]["n_links"] for i in range(len(v))])
+    assert (links <= want).all() and links.sum() >= 0.99 * want.sum()
+    assert np.mean([got[i]["component_id"] == got[n + i]["component_id"] for i in range(n)]) >= 0.99
