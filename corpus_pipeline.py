@@ -57,7 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = f.read()
-    return byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, with_ids=True)
+    return byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, with_ids=True, memo=150_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
