@@ -1,20 +1,18 @@
-"""Embedding near-dedup: spherical k-means cells, blocked cosine products, one representative per group.
+"""Embedding near-dedup: tables of random-projection buckets, blocked cosine products, one representative per group.
 
 1. Equal vectors of one label are one entry with its number of copies.
-2. Spherical k-means, fitted on a bounded sample (``sample`` entries, taken by a hash of their
-   ids), gives cells. Every vector is indexed: it lives in the cell of its nearest centre, and is
-   a guest of each cell whose border is nearer than ``margin``, measured as the sine of its angle
-   to the border. Two vectors at the threshold's angle lie sin(angle) = 0.37 apart at most as a border
-   sees them; that margin is exact, but in many dimensions it makes nearly every vector a guest nearly
-   everywhere, and random directions move far less across a border. So the default is measured: vectors of the sample are
-   turned by the threshold's angle into random directions of the space that the sample fills, and the most
-   that any of these thousands of pairs needs, and a tenth more, is the margin, at most the exact one. Where vectors fill few
-   dimensions that is the exact one again. A margin of 1 or more is exact, too.
-3. Within a label and cell, rows are cut into blocks of ``block`` rows, and each pair of blocks is
-   one task's product: memory is bounded, and a hot cell is spread over many tasks. A task returns
+2. A label of few entries is one bucket, compared whole: exact. One of more entries is dealt into several tables
+   of 2**bits buckets. A bucket is named by the largest of some random projections and its sign, once for each 5
+   bits, so whether two vectors share it depends on their angle alone, not on the data: nothing is fitted. Enough
+   tables are taken that a pair at the threshold itself shares no bucket with a probability of ``miss`` at
+   most; closer pairs are missed far less. Bits and tables follow from the number of a label's entries (``plan``).
+   ``margin=1`` compares all pairs of each label: exact.
+3. Within a bucket, rows are cut into blocks of ``block`` rows, and each pair of blocks is
+   one task's product: memory is bounded, and a hot bucket is spread over many tasks. Single precision
+   screens; what is near the threshold is decided in double. A task returns
    for each vector how many it links with and the root of its group there: rows in proportion to
    its input, never pairs.
-4. Links counted at home are whole, because a partner is there as a resident or a guest. The roots
+4. A pair counts in the first table that holds it in one bucket, and nowhere else. The roots
    are edges of a graph whose components are the groups; the least id represents each.
 
 Edge cases: vectors that are null, empty, all zero or hold null or non-finite components, and those
@@ -26,137 +24,199 @@ empty result; other columns are not read, whatever their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import lean, scratch, ship_package
+from lodestar.llm.common import drop, lean, scratch, ship_package
 from lodestar.operators.components import connected_components
 
-
-def fit_cells(vectors: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
-    """Unit centres of spherical k-means, started at sampled vectors; an empty cell keeps its centre."""
-    if not len(vectors):
-        return np.zeros((0, 1))
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    centres = unit[np.random.default_rng(seed).permutation(len(unit))[:k]].copy()
-    for _ in range(rounds):
-        home = (unit @ centres.T).argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, home, unit)
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), centres)
-    return centres
-
-
-def measured_margin(sample: np.ndarray, centres: np.ndarray, threshold: float, exact: float, pairs: int = 20_000, seed: int = 9) -> float:
-    """The margin that pairs at the threshold need, from turned vectors of the sample; see the module's text."""
-    if len(centres) < 2 or threshold <= 0:
-        return exact
-    rng = np.random.default_rng(seed)
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    _, size, basis = np.linalg.svd(unit[:4000], full_matrices=False)
-    basis = basis[size > 1e-3 * size[0]]
-    most = 0.0
-    for _ in range(0, pairs, 1000):
-        x = unit[rng.integers(0, len(unit), 1000)]
-        u = rng.normal(size=(1000, len(basis))) @ basis
-        u -= (u * x).sum(1, keepdims=True) * x
-        length = np.linalg.norm(u, axis=1)
-        x, u = x[length > 1e-9], u[length > 1e-9] / length[length > 1e-9][:, None]
-        y = threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * u
-        near_x, near_y, at = x @ centres.T, y @ centres.T, np.arange(len(x))
-        hx, hy = near_x.argmax(1), near_y.argmax(1)
-        apart = np.linalg.norm(centres[hx] - centres[hy], axis=1) + 1e-12
-        need = np.maximum(near_x[at, hx] - near_x[at, hy], near_y[at, hy] - near_y[at, hx]) / apart
-        most = max(most, float(need[hx != hy].max(initial=0.0)))
-    return min(exact, 1.1 * most)
-
-
-def _assign(centres: dict[int, np.ndarray], margins: dict[int, float]):
-    def run(frames):
-        for frame in frames:
-            for dim, part in frame.groupby("dim"):
-                c = centres[dim]
-                for at in range(0, len(part), 256):
-                    rows = part.iloc[at : at + 256]
-                    x = np.array(rows["vec"].tolist(), dtype=np.float64)
-                    near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ c.T
-                    home = near.argmax(1)
-                    apart = np.sqrt(np.maximum(2 - 2 * (c[home] @ c.T), 0.0)) + 1e-12
-                    row, cell = np.nonzero((near[np.arange(len(x)), home][:, None] - near) / apart <= margins[dim])
-                    out = rows.iloc[row]
-                    yield pd.DataFrame({"label": out["label"], "dim": out["dim"], "cell": cell.astype(np.int32), "home": home[row] == cell, "rep": out["rep"], "copies": out["copies"], "vec": out["vec"]})
+#: Bits of one part of a bucket's name, at most: 16 projections with their signs.
+PART = 5
+
+
+def parts(bits: int) -> list[int]:
+    return [PART] * (bits // PART) + [bits % PART] * (bits % PART > 0)
+
+
+def shared(threshold: float, pairs: int = 50_000, seed: int = 9) -> list[float]:
+    """The probability that two vectors at the threshold agree in a part of 0 to PART bits, by simulation: it depends on nothing else."""
+    t = min(1.0, max(-1.0, threshold))
+    rng, row, out = np.random.default_rng(seed), np.arange(pairs), [1.0]
+    for bits in range(1, PART + 1):
+        x = rng.normal(size=(pairs, 1 << bits - 1))
+        y = t * x + math.sqrt(1 - t * t) * rng.normal(size=x.shape)
+        a, b = np.abs(x).argmax(1), np.abs(y).argmax(1)
+        out.append(float(((a == b) & (x[row, a] * y[row, a] > 0)).mean()))
+    return out
+
+
+def plan(n: int, agree: list[float], miss: float, per_cell: int, most_bits: int = 24) -> tuple[int, int]:
+    """(bits, tables) of least work for n entries. A row in one more table weighs as much as per_cell comparisons."""
+    best = (per_cell + 1.5 * n, 0, 1)
+    for bits in range(1, most_bits + 1):
+        together = math.prod(agree[b] for b in parts(bits))
+        tables = 1 if together >= 1 - miss else math.ceil(math.log(miss) / math.log1p(-together)) if together > 1e-9 else 1 << 40
+        best = min(best, (tables * (per_cell + 1.5 * n / (1 << bits)), bits, tables))
+    return best[1:]
+
+
+def _unit(vec: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision, also of components whose squares leave its range."""
+    x = vec.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _buckets(kind: str):
+    """Each row with its bucket in every table and its components as bytes, which move faster than lists; projections are a function of length, bits and seed."""
+    drawn: dict[tuple[int, int, int], np.ndarray] = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, bits, tables = (batch.column(c).to_numpy() for c in ("dim", "bits", "tables"))
+            keys, packed = [[0]] * len(dims), [b""] * len(dims)
+            for dim, b, n in {*zip(dims.tolist(), bits.tolist(), tables.tolist(), strict=True)}:
+                at = np.flatnonzero((dims == dim) & (bits == b))
+                x = batch.column("vec").take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
+                for r, v in zip(at.tolist(), x.astype(kind), strict=True):
+                    packed[r] = v.tobytes()
+                if not b:
+                    continue
+                if (dim, b, n) not in drawn:
+                    width = sum(1 << p - 1 for p in parts(b))
+                    drawn[dim, b, n] = np.random.default_rng([5, dim, b]).normal(size=(n * width, dim)).T
+                y = _unit(x) @ drawn[dim, b, n]
+                row, out, left = np.arange(len(at)), np.zeros((len(at), n), np.int32), 0
+                for t in range(n):
+                    for p in parts(b):
+                        own = y[:, left : left + (1 << p - 1)]
+                        most = np.abs(own).argmax(1)
+                        out[:, t] = (out[:, t] << p) + 2 * most + (own[row, most] > 0)
+                        left += 1 << p - 1
+                for r, k in zip(at.tolist(), out.tolist(), strict=True):
+                    keys[r] = k
+            batch = batch.set_column(batch.schema.get_field_index("vec"), "vec", pa.array(packed, pa.binary()))
+            yield batch.append_column("keys", pa.array(keys, pa.list_(pa.int32())))
 
     return run
 
 
+def _union(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """root, where each place names the least one of its group, after linking places a with b."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+
+
 def _roots(linked: np.ndarray) -> np.ndarray:
     """The least place that each place reaches by links; linked is symmetric."""
-    root = np.full(len(linked), -1)
-    for start in range(len(linked)):
-        if root[start] < 0:
-            front = np.array([start])
-            while len(front):
-                root[front] = start
-                front = np.flatnonzero(linked[front].any(0) & (root < 0))
-    return root
-
-
-def _block(threshold: float):
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[-2], key[-1]
-        part = part.sort_values("rep", kind="stable").reset_index(drop=True)  # the least id leads
-        x = np.array(part["vec"].tolist(), dtype=np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        rep, copies, chunk = part["rep"].to_numpy(), part["copies"].to_numpy(), part["chunk"].to_numpy()
+    return _union(np.arange(len(linked)), *np.nonzero(linked))
+
+
+def _block(threshold: float, kind: str):
+    last = np.iinfo(np.int64).max
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        column = lambda c: part.column(c).chunk(0)
+        i, j, dim = key[-2].as_py(), key[-1].as_py(), column("dim")[0].as_py()
+        rep = column("rep").fill_null(last).to_numpy()
+        order = np.argsort(rep, kind="stable")  # the least id leads
+        rep, entry, copies, chunk = rep[order], column("entry").to_numpy()[order], column("copies").to_numpy()[order], column("chunk").to_numpy()[order]
+        before = column("before").flatten().to_numpy().reshape(len(rep), -1)[order]
+        x = _unit(np.frombuffer(b"".join(column("vec").to_pylist()), kind).reshape(-1, dim))[order]
+        rough, slack = x.astype(np.float32), 1e-7 * (dim + 16)  # more than single precision can be off
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        linked = np.zeros((len(x), len(x)), bool)
-        for at in range(0, len(left), 512):
-            own = left[at : at + 512]
-            linked[np.ix_(own, right)] = x[own] @ x[right].T >= threshold
-        linked |= linked.T
-        np.fill_diagonal(linked, False)
-        n = linked @ copies
-        if i == j:
-            n = n + copies - 1
-        n[~part["home"].to_numpy()] = 0
-        return pd.DataFrame({"rep": rep, "n": n, "root": rep[_roots(linked)]})
+        n, root, step = np.zeros(len(x)), np.arange(len(x)), max(1, (1 << 22) // dim)
+        for at in range(0, len(left), 256):
+            own, others = left[at : at + 256], right[at:] if i == j else right
+            near = rough[own] @ rough[others].T
+            r, c = np.nonzero(near >= threshold - slack)
+            a, b, sure = own[r], others[c], near[r, c] >= threshold + slack
+            open_ = np.flatnonzero(~sure)
+            for k in range(0, len(open_), step):
+                o = open_[k : k + step]
+                sure[o] = (x[a[o]] * x[b[o]]).sum(1) >= threshold
+            if i == j:
+                sure &= a < b
+            a, b = a[sure], b[sure]
+            for t in range(before.shape[1]):  # tables that had the pair before this one
+                new = before[a, t] != before[b, t]
+                a, b = a[new], b[new]
+            if len(a):
+                n += np.bincount(a, copies[b], len(x)) + np.bincount(b, copies[a], len(x))
+                root = _union(root, a, b)
+        got = np.flatnonzero(n)
+        ids = lambda v: pa.array(v, pa.int64(), mask=v == last)
+        return pa.table({"entry": entry[got], "rep": ids(rep[got]), "n": n[got].astype(np.int64), "root": ids(rep[root[got]])})
 
     return run
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, margin: float | None = None, per_cell: int = 4096, most_cells: int = 8192, sample: int = 20_000, block: int = 2048) -> DataFrame:
-    """(id, n_links, component_id, kept) for each row. Without a ``margin`` it is measured; 1 is exact."""
-    exact = 1.0 if threshold <= 0 else math.sqrt(max(0.0, 1 - threshold * threshold)) + 1e-6
-    ship_package(df.sparkSession)
+@contextmanager
+def _shuffles_go(spark: SparkSession):
+    """Within it, the files of a query's shuffles go when the query has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, margin: float | None = None, per_cell: int = 8192, miss: float = 0.005, block: int = 8192) -> DataFrame:
+    """(id, n_links, component_id, kept) for each row. A ``margin`` as wide as the threshold's angle, 1 always, compares all pairs: exact."""
+    if margin is not None and margin < 1 and margin * margin < 1 - threshold * threshold:
+        raise ValueError(f"margin {margin} is narrower than the threshold's angle; leave it out, or take 1 for all pairs")
+    spark = df.sparkSession
+    ship_package(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec"))
     ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(math.inf))
     valid = F.coalesce(F.col("label").isNotNull() & (F.size("vec") > 0) & F.forall("vec", ok) & F.exists("vec", lambda x: x != 0), F.lit(False))
-    usable = rows.where(valid)
-    reps = scratch(usable.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("vec")))
-    sizes = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row per length of vectors
-    centres, margins = {}, {}
-    for dim, n in sizes.items():
-        bound = max(1, min(sample, 4_000_000 // dim))
-        got = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(bound).select("vec").collect()
-        drawn = np.array([r["vec"] for r in got], dtype=np.float64)
-        centres[dim] = fit_cells(drawn, max(1, min(most_cells, round(n / per_cell))))
-        margins[dim] = margin if margin is not None else measured_margin(drawn, centres[dim], threshold, exact)
-    label = df.schema[label_col].dataType.simpleString()
-    kind = df.schema[vec_col].dataType.simpleString()
-    spread = scratch(reps.mapInPandas(lean(_assign(centres, margins)), f"label {label}, dim int, cell int, home boolean, rep long, copies long, vec {kind}"))
-    counts = spread.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
-    s = spread.join(counts, ["label", "dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    s = s.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    s = s.select("label", "dim", "cell", "i", "j", "chunk", "home", "rep", "copies", "vec")
-    found = scratch(s.groupBy("label", "dim", "cell", "i", "j").applyInPandas(_block(threshold), "rep long, n long, root long").where("n > 0 or root != rep"))
-    links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    groups = connected_components(found.select("rep", "root"), "rep", "root")
-    entry = reps.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    entry = entry.select("label", "vec", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component"))
-    linked = usable.join(entry, ["label", "vec"]).select("id", F.col("n").alias("n_links"), "component")
+    digests = [F.xxhash64("label", "vec").alias("h1"), F.xxhash64(F.lit(1), "vec", "label").alias("h2")]
+    usable = rows.where(valid).select("id", "label", "vec", *digests)
+    with _shuffles_go(spark):
+        reps = scratch(usable.groupBy("label", "h1", "h2", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("vec")).withColumn("entry", F.monotonically_increasing_id()))
+        plans = {}  # of labels with too many entries to be compared whole: few
+        if margin is None:
+            agree = shared(threshold)
+            least = next((n for n in (1 << b for b in range(40)) if plan(n, agree, miss, per_cell)[0]), 1 << 40)
+            large = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") >= least // 2).collect()
+            plans = {(r["label"], r["dim"]): (bits, tables) for r in large for bits, tables in [plan(r["n"], agree, miss, per_cell)] if bits}
+        label = reps.schema["label"].dataType.simpleString()
+        kind = "<f4" if reps.schema["vec"].dataType.elementType.simpleString() == "float" else "<f8"
+        known = spark.createDataFrame([(*k, *v) for k, v in plans.items()], f"label {label}, dim int, bits int, tables int")
+        dealt = reps.join(F.broadcast(known), ["label", "dim"], "left").withColumn("bits", F.coalesce("bits", F.lit(0))).withColumn("tables", F.coalesce("tables", F.lit(1)))
+        dealt = dealt.select("label", "dim", "h1", "h2", "vec", "rep", "copies", "entry", "bits", "tables")
+        unpacked, reps = reps, scratch(dealt.mapInArrow(lean(_buckets(kind)), f"label {label}, dim int, h1 long, h2 long, vec binary, rep long, copies long, entry long, bits int, tables int, keys array<int>"))
+        drop(unpacked)
+        rows_of = F.least(F.lit(block), F.greatest(F.lit(256), F.floor(F.lit(1 << 23) / F.col("dim"))))  # long vectors: smaller blocks
+        found = None
+        for t in range(max([v[1] for v in plans.values()], default=1)):
+            s = reps.where(F.size("keys") > t).select("label", "dim", F.col("keys")[t].alias("key"), F.slice("keys", 1, t).alias("before"), "entry", "rep", "copies", "vec")
+            hot = s.groupBy("label", "dim", "key").agg(F.ceil(F.count("*") / F.first(rows_of)).cast("int").alias("chunks")).where("chunks > 1")
+            s = s.join(F.broadcast(hot), ["label", "dim", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+            s = s.withColumn("chunk", F.pmod(F.xxhash64("entry"), F.col("chunks")).cast("int"))
+            s = s.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+            s = s.select("label", "dim", "key", "i", "j", "chunk", "before", "entry", "rep", "copies", "vec")
+            got = scratch(s.groupBy("label", "dim", "key", "i", "j").applyInArrow(_block(threshold, kind), "entry long, rep long, n long, root long"))
+            found = got if found is None else found.unionByName(got)
+        groups = connected_components(found.select("rep", "root"), "rep", "root")
+    links = found.groupBy("entry").agg(F.sum("n").alias("n"))
+    entry = reps.select("entry", "h1", "h2", "rep", "copies").join(links, "entry", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    entry = entry.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
+    linked = usable.select("id", "h1", "h2").join(entry, ["h1", "h2"]).select("id", F.col("n").alias("n_links"), "component")
     alone = rows.where(~valid).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
