@@ -12,7 +12,12 @@
    screens; what is near the threshold is decided in double. A task returns
    for each vector how many it links with and the root of its group there: rows in proportion to
    its input, never pairs.
-4. A pair counts in the first table that holds it in one bucket, and nowhere else. The roots
+4. Vectors within half the threshold's angle of one direction link with each other, by the triangle inequality of
+   angles: such a ball is counted, not compared, so a large group of near copies isn't squared. Balls are looked
+   for where a bucket has more than a block of rows. Their directions are the means of dense places in some of its
+   rows and bound the work alone: whatever they are, each vector of the label is measured against them in double
+   precision, and pairs that share no ball are compared as all others.
+5. A pair counts in the first table that holds it in one bucket, and nowhere else. The roots
    are edges of a graph whose components are the groups; the least id represents each.
 
 Edge cases: vectors that are null, empty, all zero or hold null or non-finite components, and those
@@ -124,6 +129,46 @@ def _roots(linked: np.ndarray) -> np.ndarray:
     return _union(np.arange(len(linked)), *np.nonzero(linked))
 
 
+def _places(threshold: float, kind: str, most: int = 512):
+    """Directions of balls that hold an eighth or more of a hot bucket's rows, as far as ``most`` of these tell."""
+    half = math.sqrt(max(0.0, (1 + threshold) / 2))
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        dim, size = key[1].as_py(), part.column("n")[0].as_py()
+        x, found = _unit(np.frombuffer(b"".join(part.column("vec").to_pylist()[:most]), kind).reshape(-1, dim)), []
+        few = max(8, len(x) // 8)
+        while len(x) >= few:
+            near = x @ x.T >= half
+            mean = x[near[near.sum(1).argmax()]].mean(0)
+            inside = x @ (mean / np.linalg.norm(mean)) >= half
+            if inside.sum() < few:
+                break
+            found.append((mean / np.linalg.norm(mean)).tobytes())
+            x = x[~inside]
+        return pa.table({"label": pa.array([key[0].as_py()] * len(found), part.schema.field("label").type), "dim": pa.array([dim] * len(found), pa.int32()), "n": pa.array([size] * len(found), pa.int64()), "place": pa.array(found, pa.binary())})
+
+    return run
+
+
+def _balls(places: dict[tuple, tuple[np.ndarray, np.ndarray]], threshold: float, kind: str):
+    """Each row with the first ball of its label that holds it, or -1. The slack is far more than double precision can be off."""
+    half = math.sqrt(max(0.0, (1 + threshold) / 2)) + 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ball = {}, np.full(batch.num_rows, -1, np.int32)
+            for r, k in enumerate(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True)):
+                if k in places:
+                    at.setdefault(k, []).append(r)
+            for k, own in at.items():
+                number, place = places[k]
+                inside = _unit(np.frombuffer(b"".join(batch.column("vec").take(pa.array(own)).to_pylist()), kind).reshape(-1, k[1])) @ place.T >= half
+                ball[own] = np.where(inside.any(1), number[inside.argmax(1)], -1)
+            yield batch.append_column("ball", pa.array(ball))
+
+    return run
+
+
 def _block(threshold: float, kind: str):
     last = np.iinfo(np.int64).max
 
@@ -133,30 +178,33 @@ def _block(threshold: float, kind: str):
         i, j, dim = key[-2].as_py(), key[-1].as_py(), column("dim")[0].as_py()
         rep = column("rep").fill_null(last).to_numpy()
         order = np.argsort(rep, kind="stable")  # the least id leads
-        rep, entry, copies, chunk = rep[order], column("entry").to_numpy()[order], column("copies").to_numpy()[order], column("chunk").to_numpy()[order]
+        rep = rep[order]
+        entry, copies, chunk, ball = (column(c).to_numpy()[order] for c in ("entry", "copies", "chunk", "ball"))
         before = column("before").flatten().to_numpy().reshape(len(rep), -1)[order]
         x = _unit(np.frombuffer(b"".join(column("vec").to_pylist()), kind).reshape(-1, dim))[order]
         rough, slack = x.astype(np.float32), 1e-7 * (dim + 16)  # more than single precision can be off
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         n, root, step = np.zeros(len(x)), np.arange(len(x)), max(1, (1 << 22) // dim)
-        for at in range(0, len(left), 256):
-            own, others = left[at : at + 256], right[at:] if i == j else right
-            near = rough[own] @ rough[others].T
-            r, c = np.nonzero(near >= threshold - slack)
-            a, b, sure = own[r], others[c], near[r, c] >= threshold + slack
-            open_ = np.flatnonzero(~sure)
-            for k in range(0, len(open_), step):
-                o = open_[k : k + step]
-                sure[o] = (x[a[o]] * x[b[o]]).sum(1) >= threshold
-            if i == j:
-                sure &= a < b
-            a, b = a[sure], b[sure]
-            for t in range(before.shape[1]):  # tables that had the pair before this one
-                new = before[a, t] != before[b, t]
-                a, b = a[new], b[new]
-            if len(a):
-                n += np.bincount(a, copies[b], len(x)) + np.bincount(b, copies[a], len(x))
-                root = _union(root, a, b)
+        for v in np.unique(ball[left]):
+            mine, rest = left[ball[left] == v], right if v < 0 else right[ball[right] != v]
+            for at in range(0, len(mine), 256):
+                own, others = mine[at : at + 256], rest[at:] if i == j and len(mine) == len(left) else rest
+                near = rough[own] @ rough[others].T
+                r, c = np.nonzero(near >= threshold - slack)
+                a, b, sure = own[r], others[c], near[r, c] >= threshold + slack
+                open_ = np.flatnonzero(~sure)
+                for k in range(0, len(open_), step):
+                    o = open_[k : k + step]
+                    sure[o] = (x[a[o]] * x[b[o]]).sum(1) >= threshold
+                if i == j:
+                    sure &= a < b
+                a, b = a[sure], b[sure]
+                for t in range(before.shape[1]):  # tables that had the pair before this one
+                    new = before[a, t] != before[b, t]
+                    a, b = a[new], b[new]
+                if len(a):
+                    n += np.bincount(a, copies[b], len(x)) + np.bincount(b, copies[a], len(x))
+                    root = _union(root, a, b)
         got = np.flatnonzero(n)
         ids = lambda v: pa.array(v, pa.int64(), mask=v == last)
         return pa.table({"entry": entry[got], "rep": ids(rep[got]), "n": n[got].astype(np.int64), "root": ids(rep[root[got]])})
@@ -203,15 +251,32 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         unpacked, reps = reps, scratch(dealt.mapInArrow(lean(_buckets(kind)), f"label {label}, dim int, h1 long, h2 long, vec binary, rep long, copies long, entry long, bits int, tables int, keys array<int>"))
         drop(unpacked)
         rows_of = F.least(F.lit(block), F.greatest(F.lit(256), F.floor(F.lit(1 << 23) / F.col("dim"))))  # long vectors: smaller blocks
-        found = None
+        cell = ["label", "dim", "key"]
+        first = reps.withColumn("key", F.col("keys")[0])
+        sizes = first.groupBy(cell).agg(F.count("*").alias("n"), F.first(rows_of).alias("rows")).where("n > rows").drop("rows")
+        some = first.join(F.broadcast(sizes), cell).where(F.pmod(F.xxhash64("entry", F.lit(7)), F.ceil(F.col("n") / 512)) == 0).select(*cell, "n", "vec")
+        places = some.groupBy(cell).applyInArrow(_places(threshold, kind), f"label {label}, dim int, n long, place binary").orderBy(F.desc("n"), "place").collect() if sizes.count() else []
+        by_label: dict[tuple, list] = {}
+        for number, r in enumerate(places):
+            by_label.setdefault((r["label"], r["dim"]), []).append((number, np.frombuffer(r["place"])))
+        if places:
+            put = {k: (np.array([m for m, _ in v]), np.array([p for _, p in v])) for k, v in by_label.items()}
+            bare, reps = reps, scratch(reps.mapInArrow(lean(_balls(put, threshold, kind)), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema) + ", ball int"))
+            drop(bare)
+            held = reps.where("ball >= 0").groupBy("ball").agg(F.sum("copies").alias("all"), F.min("rep").alias("root"))
+            found = reps.where("ball >= 0").join(F.broadcast(held), "ball").select("entry", "rep", (F.col("all") - F.col("copies")).alias("n"), "root")
+        else:
+            reps, found = reps.withColumn("ball", F.lit(-1)), None
         for t in range(max([v[1] for v in plans.values()], default=1)):
-            s = reps.where(F.size("keys") > t).select("label", "dim", F.col("keys")[t].alias("key"), F.slice("keys", 1, t).alias("before"), "entry", "rep", "copies", "vec")
-            hot = s.groupBy("label", "dim", "key").agg(F.ceil(F.count("*") / F.first(rows_of)).cast("int").alias("chunks")).where("chunks > 1")
-            s = s.join(F.broadcast(hot), ["label", "dim", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-            s = s.withColumn("chunk", F.pmod(F.xxhash64("entry"), F.col("chunks")).cast("int"))
-            s = s.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-            s = s.select("label", "dim", "key", "i", "j", "chunk", "before", "entry", "rep", "copies", "vec")
-            got = scratch(s.groupBy("label", "dim", "key", "i", "j").applyInArrow(_block(threshold, kind), "entry long, rep long, n long, root long"))
+            s = reps.where(F.size("keys") > t).select("label", "dim", F.col("keys")[t].alias("key"), F.slice("keys", 1, t).alias("before"), "entry", "rep", "copies", "ball", "vec")
+            # a bucket of more rows than a block has is cut into chunks, each ball and the rest apart; chunks of one ball don't meet
+            units = s.groupBy(*cell, "ball").agg(F.count("*").alias("n"), F.first(rows_of).alias("rows")).groupBy(cell).agg(F.sum("n").alias("n"), F.first("rows").alias("rows"), F.collect_list(F.struct("ball", F.ceil(F.col("n") / F.col("rows")).cast("int").alias("own"))).alias("units"))
+            hot = units.where("n > rows").select(*cell, "units", F.inline("units")).select(*cell, "ball", "own", F.expr("aggregate(units, 0, (s, u) -> s + u.own)").alias("chunks"), F.expr("aggregate(filter(units, u -> u.ball < ball), 0, (s, u) -> s + u.own)").alias("start"))
+            s = s.join(F.broadcast(hot), [*cell, "ball"], "left")
+            s = s.withColumn("chunk", F.coalesce(F.col("start") + F.pmod(F.xxhash64("entry"), F.col("own")).cast("int"), F.lit(0)))
+            s = s.withColumn("other", F.explode(F.expr("case when chunks is null then array(0) else filter(sequence(0, chunks - 1), o -> ball < 0 or o < start or o >= start + own) end")))
+            s = s.select(*cell, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "before", "entry", "rep", "copies", "ball", "vec")
+            got = scratch(s.groupBy(*cell, "i", "j").applyInArrow(_block(threshold, kind), "entry long, rep long, n long, root long"))
             found = got if found is None else found.unionByName(got)
         groups = connected_components(found.select("rep", "root"), "rep", "root")
     links = found.groupBy("entry").agg(F.sum("n").alias("n"))
