@@ -14,9 +14,10 @@
    its input, never pairs.
 4. Vectors within half the threshold's angle of one direction link with each other, by the triangle inequality of
    angles: such a ball is counted, not compared, so a large group of near copies isn't squared. Balls are looked
-   for where a bucket has more than a block of rows. Their directions are the means of dense places in some of its
-   rows and bound the work alone: whatever they are, each vector of the label is measured against them in double
-   precision, and pairs that share no ball are compared as all others.
+   for where a bucket of the first table has more than a block of rows, in all of its rows: each small chunk, cut by
+   content, gives its dense places, and those of all chunks are put together to means. No row is left out and nothing
+   depends on how the table lies, so neither do links. Each vector of the label is measured against the means in
+   double precision, and pairs that share no ball are compared as all others.
 5. A pair counts in the first table that holds it in one bucket, and nowhere else. The roots
    are edges of a graph whose components are the groups; the least id represents each.
 
@@ -48,16 +49,17 @@ def parts(bits: int) -> list[int]:
     return [PART] * (bits // PART) + [bits % PART] * (bits % PART > 0)
 
 
-def shared(threshold: float, pairs: int = 50_000, seed: int = 9) -> list[float]:
-    """The probability that two vectors at the threshold agree in a part of 0 to PART bits, by simulation: it depends on nothing else."""
+def shared(threshold: float, cells: int = 800, most: float = 7.0) -> list[float]:
+    """The probability that two vectors at the threshold agree in a part of 0 to PART bits, by integration over a grid: it depends on nothing else."""
     t = min(1.0, max(-1.0, threshold))
-    rng, row, out = np.random.default_rng(seed), np.arange(pairs), [1.0]
-    for bits in range(1, PART + 1):
-        x = rng.normal(size=(pairs, 1 << bits - 1))
-        y = t * x + math.sqrt(1 - t * t) * rng.normal(size=x.shape)
-        a, b = np.abs(x).argmax(1), np.abs(y).argmax(1)
-        out.append(float(((a == b) & (x[row, a] * y[row, a] > 0)).mean()))
-    return out
+    s, edge, fine = max(math.sqrt(1 - t * t), 1e-9), np.linspace(0, most, cells + 1), np.linspace(-9, 9, 36_001)
+    below = lambda z: np.interp(z, fine, [0.5 * math.erfc(-v / math.sqrt(2)) for v in fine])
+    x, weight = (edge[1:] + edge[:-1]) / 2, np.diff(below(edge))
+    same, across = (weight[:, None] * np.diff(below((edge - sign * t * x[:, None]) / s), axis=1) for sign in (1, -1))
+    both = 2 * (same + across).cumsum(0).cumsum(1)  # of one projection: that neither vector's is larger in size
+    both = np.pad(both, ((1, 0), (1, 0)))
+    both = (both[1:, 1:] + both[1:, :-1] + both[:-1, 1:] + both[:-1, :-1]) / 4
+    return [1.0] + [float(2 * n * (same * both ** (n - 1)).sum()) for n in (1 << b for b in range(PART))]
 
 
 def plan(n: int, agree: list[float], miss: float, per_cell: int, most_bits: int = 24) -> tuple[int, int]:
@@ -129,23 +131,45 @@ def _roots(linked: np.ndarray) -> np.ndarray:
     return _union(np.arange(len(linked)), *np.nonzero(linked))
 
 
-def _places(threshold: float, kind: str, most: int = 512):
-    """Directions of balls that hold an eighth or more of a hot bucket's rows, as far as ``most`` of these tell."""
+def _places(threshold: float, kind: str):
+    """Sums and numbers of a chunk's rows in balls that hold an eighth or more of it."""
     half = math.sqrt(max(0.0, (1 + threshold) / 2))
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
-        dim, size = key[1].as_py(), part.column("n")[0].as_py()
-        x, found = _unit(np.frombuffer(b"".join(part.column("vec").to_pylist()[:most]), kind).reshape(-1, dim)), []
+        part = part.sort_by([("h1", "ascending"), ("h2", "ascending")])
+        x, sums, held = _unit(np.frombuffer(b"".join(part.column("vec").to_pylist()), kind).reshape(-1, key[1].as_py())), [], []
         few = max(8, len(x) // 8)
         while len(x) >= few:
             near = x @ x.T >= half
-            mean = x[near[near.sum(1).argmax()]].mean(0)
+            mean = x[near[near.sum(1).argmax()]].sum(0)
             inside = x @ (mean / np.linalg.norm(mean)) >= half
             if inside.sum() < few:
                 break
-            found.append((mean / np.linalg.norm(mean)).tobytes())
+            sums.append(x[inside].sum(0).tobytes())
+            held.append(int(inside.sum()))
             x = x[~inside]
-        return pa.table({"label": pa.array([key[0].as_py()] * len(found), part.schema.field("label").type), "dim": pa.array([dim] * len(found), pa.int32()), "n": pa.array([size] * len(found), pa.int64()), "place": pa.array(found, pa.binary())})
+        own = [pa.array([k.as_py()] * len(sums), part.schema.field(c).type) for c, k in zip(("label", "dim", "key"), key, strict=False)]
+        return pa.table([*own, pa.array([part.column("n")[0].as_py()] * len(sums), pa.int64()), pa.array(held, pa.int64()), pa.array(sums, pa.binary())], names=["label", "dim", "key", "n", "held", "place"])
+
+    return run
+
+
+def _directions(threshold: float):
+    """A bucket's places of all chunks, those within half the threshold's angle of a larger one put together: directions of balls."""
+    half = math.sqrt(max(0.0, (1 + threshold) / 2))
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by([("held", "descending"), ("place", "ascending")])
+        x, found = np.frombuffer(b"".join(part.column("place").to_pylist())).reshape(-1, key[1].as_py()), []
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        while len(x):
+            near = unit @ unit[0] >= half
+            near[0] = True
+            mean = x[near].sum(0)
+            found.append((mean / np.linalg.norm(mean)).tobytes())
+            x, unit = x[~near], unit[~near]
+        own = [pa.array([part.column(c)[0].as_py()] * len(found), part.schema.field(c).type) for c in ("label", "dim", "n")]
+        return pa.table([*own, pa.array(found, pa.binary())], names=["label", "dim", "n", "place"])
 
     return run
 
@@ -253,9 +277,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         rows_of = F.least(F.lit(block), F.greatest(F.lit(256), F.floor(F.lit(1 << 23) / F.col("dim"))))  # long vectors: smaller blocks
         cell = ["label", "dim", "key"]
         first = reps.withColumn("key", F.col("keys")[0])
-        sizes = first.groupBy(cell).agg(F.count("*").alias("n"), F.first(rows_of).alias("rows")).where("n > rows").drop("rows")
-        some = first.join(F.broadcast(sizes), cell).where(F.pmod(F.xxhash64("entry", F.lit(7)), F.ceil(F.col("n") / 512)) == 0).select(*cell, "n", "vec")
-        places = some.groupBy(cell).applyInArrow(_places(threshold, kind), f"label {label}, dim int, n long, place binary").orderBy(F.desc("n"), "place").collect() if sizes.count() else []
+        sizes = first.groupBy(cell).agg(F.count("*").alias("n"), F.first(rows_of).alias("rows")).where("n > rows")
+        chunked = first.join(F.broadcast(sizes), cell).select(*cell, F.pmod("h1", F.ceil(F.col("n") / F.least(F.lit(1024), "rows"))).alias("chunk"), "n", "h1", "h2", "vec")
+        dense = chunked.groupBy(*cell, "chunk").applyInArrow(_places(threshold, kind), f"label {label}, dim int, key int, n long, held long, place binary")
+        places = dense.groupBy(cell).applyInArrow(_directions(threshold), f"label {label}, dim int, n long, place binary").orderBy(F.desc("n"), "place").collect() if sizes.count() else []
         by_label: dict[tuple, list] = {}
         for number, r in enumerate(places):
             by_label.setdefault((r["label"], r["dim"]), []).append((number, np.frombuffer(r["place"])))
