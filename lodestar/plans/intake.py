@@ -224,13 +224,15 @@ LINKED = "SELECT doc_id AS src_article, doc_id+k AS dst_article, 'See that one n
 
 def _linked(s: SparkSession, d: str) -> DataFrame:
     """Articles of the documents, each linking to the next one, to the third before it twice, to a missing one and to itself."""
-    to = lambda id: f"lpad(cast({id} as string), 6, '0')"
-    link = lambda id: f"'<p>See <a href=\"/en-us/'||{to(id)}||'\">that one</a> now. Or not.</p>'"
-    html = "'<html><body><div id=\"content\"><h1>T</h1>'||" + "||".join(link(x) for x in ("doc_id+1", "doc_id-3", "doc_id-3", "doc_id+900000", "doc_id")) + "||'<p><a href=\"#top\">up</a></p></div></body></html>'"
-    return A.articles(_docs(s, d).select(F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("page_id"), F.expr(html).alias("html")))
+    docs = _docs(s, d)
+    last = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("last"))
+    to = lambda id: f"lpad({id}, greatest(6, length({id})), '0')"
+    link = lambda id: f"'<p>See <a href=\"/en-us/'||{to(f'cast({id} as string)')}||'\">that one</a> now. Or not.</p>'"
+    html = "'<html><body><div id=\"content\"><h1>T</h1>'||" + "||".join(link(x) for x in ("doc_id+1", "doc_id-3", "doc_id-3", "doc_id+last+900000", "doc_id")) + "||'<p><a href=\"#top\">up</a></p></div></body></html>'"
+    return A.articles(docs.join(F.broadcast(last), F.lit(True)).select(F.expr(to("cast(doc_id as string)")).alias("page_id"), F.expr(html).alias("html")))
 
 
-HREF = r"/(?:[a-z]{2}-[a-z]{2}/)?(\d{5,7})(?:$|[/?#])"
+HREF = r"/(?:[a-z]{2}-[a-z]{2}/)?(\d{5,})(?:$|[/?#])"
 
 
 @query(LINKED)
