@@ -3,21 +3,43 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import search_tokens
-from lodestar.sources.storage import shared_dir, ship_package
+from lodestar.sources.storage import scratch, shared_dir, ship_package
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, term, tf, dl): one row per document and term. dl comes from the token array, so one shuffle is enough."""
-    tokens = docs.select(F.col(id_col).alias("doc"), search_tokens(F.col(text_col)).alias("t"))
-    return tokens.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(doc, dl, x array of (term, tf)): one row per document with tokens. They are counted where they are; only rows of a repeated id are shuffled."""
+    again = docs.groupBy(F.col(id_col).alias("doc")).agg(F.count("*").alias("k")).where("k > 1").select("doc")
+    tokens = docs.select(F.col(id_col).alias("doc"), F.sort_array(search_tokens(F.col(text_col))).alias("t"))
+    if again.isEmpty():
+        return _counted(tokens)
+    same = tokens["doc"].eqNullSafe(again["doc"])
+    more = flat(_counted(tokens.join(again, same, "left_semi"))).groupBy("doc", "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    more = more.groupBy("doc").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("x"))
+    return _counted(tokens.join(again, same, "left_anti")).unionByName(more)
+
+
+def _counted(tokens: DataFrame) -> DataFrame:
+    """(doc, dl, x) of (doc, sorted tokens t), row by row: a term stands where the token differs from the one before."""
+    n = F.size("t")
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get("t", i - 1) != F.get("t", i - 2)))
+    d = tokens.select("doc", n.alias("dl"), "t", F.when(n > 0, starts).alias("at"))
+    return d.select("doc", "dl", F.transform("at", lambda i, k: F.struct(F.get("t", i - 1).alias("term"), (F.coalesce(F.get("at", k + 1), F.col("dl") + 1) - i).cast("long").alias("tf"))).alias("x"))
+
+
+def flat(p: DataFrame) -> DataFrame:
+    """(doc, term, tf, dl) of (doc, dl, x). The outer explode lets no filter on x down to where it is made, which would make it twice."""
+    return p.select("doc", F.explode_outer("x").alias("x"), "dl").select("doc", "x.term", "x.tf", "dl").where("term is not null")
 
 
 def average_length(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -26,11 +48,16 @@ def average_length(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Index(NamedTuple):
-    """A stored search index: postings (doc, term, tf, dl) and one row of lengths (n_docs, avgdl)."""
+    """A stored search index: postings (doc, dl, x array of (term, tf)) by document and one row of lengths (n_docs, avgdl)."""
 
-    postings: DataFrame
+    documents: DataFrame
     lengths: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(doc, term, tf, dl)."""
+        return flat(self.documents)
+
 
 _INDEXES: dict[tuple, Index] = {}
 
@@ -38,7 +65,11 @@ _INDEXES: dict[tuple, Index] = {}
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the index of documents: texts are tokenised once, whatever is asked later."""
     postings(docs, id_col, text_col).write.mode("overwrite").parquet(f"{path}/postings")
-    average_length(docs, text_col).write.mode("overwrite").parquet(f"{path}/lengths")
+    held = docs.sparkSession.read.parquet(f"{path}/postings")
+    tokens = held.agg(F.coalesce(F.sum(F.aggregate("x.tf", F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0)).alias("tokens"))
+    counts = docs.agg(F.count("*").alias("n_docs"), F.count(text_col).alias("texts")).join(F.broadcast(tokens), F.lit(True))
+    lengths = counts.select("n_docs", F.coalesce(F.try_divide(F.col("tokens"), F.col("texts")), F.lit(1.0)).alias("avgdl"))
+    lengths.coalesce(1).write.mode("overwrite").parquet(f"{path}/lengths")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
@@ -80,28 +111,109 @@ def query_terms(queries: DataFrame, qid: str = "item_id", qtext: str = "text") -
     return t.select("qid", F.size("t").alias("n"), F.explode("t").alias("term"))
 
 
-def bm25(queries: DataFrame, index: Index, qid: str = "item_id", qtext: str = "text", top: int = 50) -> DataFrame:
+#: So many (document, query) pairs a worker scores at a time, and so many rows of (query, term) go to the workers.
+PAIRS, MOST_TERMS = 1 << 21, 2_000_000
+
+
+def _scan(q: pd.DataFrame, qid: np.ndarray, top: int, k1: float, b: float, avgdl: float | None):
+    """The ``top`` documents of each query among a task's documents. q: (at, term, weight), ``at`` being the query's place in qid.
+
+    With avgdl the weight is multiplied by the term's BM25 weight in the document.
+    """
+    terms, code = np.unique(q["term"].to_numpy(dtype=object).astype(str), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    at, weight = q["at"].to_numpy()[order], q["weight"].to_numpy(dtype=float)[order]
+    first = np.searchsorted(code[order], np.arange(len(terms) + 1))
+    asked, n = pa.array(terms, pa.string()), len(qid)
+
+    def cut(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values(["q", "r", "doc"], ascending=[True, False, True], na_position="first")
+        return d[d.groupby("q").cumcount() < top]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, least, kind = None, np.full(n, -np.inf), None
+        for batch in batches:
+            kind = batch.schema.field("doc").type
+            step = max(1, PAIRS // max(n, 1))
+            for lo in range(0, len(batch), step):
+                part = batch.slice(lo, step)
+                x = pc.fill_null(part.column("x"), pa.scalar([], part.column("x").type))
+                rows, x = pc.list_parent_indices(x).to_numpy(zero_copy_only=False), pc.list_flatten(x)
+                found = pc.index_in(x.field("term"), value_set=asked)
+                hit = found.is_valid().to_numpy(zero_copy_only=False)
+                rows, c = rows[hit], found.drop_null().to_numpy(zero_copy_only=False)
+                if not len(c):
+                    continue
+                w = np.ones(len(c))
+                if avgdl is not None:
+                    tf, dl = x.field("tf").to_numpy(zero_copy_only=False)[hit], part.column("dl").to_numpy(zero_copy_only=False)[rows]
+                    w = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+                each = first[c + 1] - first[c]
+                place = np.repeat(first[c] - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(each.sum())
+                key = np.repeat(rows, each) * n + at[place]
+                score = np.bincount(key, np.repeat(w, each) * weight[place], len(part) * n)
+                got = np.unique(key) if len(key) < len(score) // 8 else np.flatnonzero(np.bincount(key, minlength=len(score)))
+                r = np.floor(score[got] * 1e9 + 0.5)
+                got, r = got[r >= least[got % n]], r[r >= least[got % n]]
+                if not len(got):
+                    continue
+                docs = part.column("doc").take(pa.array(got // n)).to_pandas()
+                d = cut(pd.DataFrame({"q": got % n, "r": r, "doc": docs.to_numpy(), "score": score[got]}))
+                best = d if best is None else cut(pd.concat([best, d]))
+                full = best.groupby("q")["r"].agg(["size", "min"])
+                full = full[full["size"] >= top]
+                least[full.index.to_numpy()] = full["min"].to_numpy()
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(qid[best["q"].to_numpy()]), pa.array(best["doc"].to_numpy(), kind), pa.array(best["score"].to_numpy(dtype=float))], ["qid", "doc", "score"])
+
+    return run
+
+
+def _ranked(q: DataFrame, index: Index, top: int, k1: float = 1.2, b: float = 0.75, avgdl: float | None = None) -> DataFrame:
+    """(qid, doc, score, rk) for (qid, term, weight): every document is scored where it is stored, and a task yields its ``top`` of each query."""
+    spark = index.documents.sparkSession
+    ship_package(spark)
+    asked = q.where("term is not null").toPandas()
+    qid, at = np.unique(asked["qid"].to_numpy(), return_inverse=True)
+    asked["at"] = at
+    kinds = [q.schema["qid"].dataType.simpleString(), index.documents.schema["doc"].dataType.simpleString()]
+    found = index.documents.select("doc", "dl", "x").mapInArrow(_scan(asked[["at", "term", "weight"]], qid, top, k1, b, avgdl), f"qid {kinds[0]}, doc {kinds[1]}, score double")
+    return scratch(top_k(found, top))
+
+
+def bm25(queries: DataFrame, index: Index, qid: str = "item_id", qtext: str = "text", top: int = 50, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(qid, doc, score, rk): the best documents of each query.
 
-    Only terms of queries leave the corpus side: the postings are cut to them before the
-    weights, and the join is an equi-join on the term.
+    Documents stay where they are stored and meet the queries' terms, which go to every worker; queries of more than
+    ``MOST_TERMS`` terms are joined by term instead.
     """
     q = query_terms(queries, qid, qtext).drop("n")
-    p = index.postings.join(q.select("term").distinct(), "term", "left_semi")
-    scored = weights(p, index.lengths).join(idf(p, index.lengths), "term").join(q, "term")
+    few = q.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    terms = q.select("term").distinct()
+    p = index.postings.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    rare = idf(p, index.lengths).select("term", "idf")
+    if few:
+        return _ranked(q.join(scratch(rare), "term").select("qid", "term", F.col("idf").alias("weight")), index, top, k1, b, index.lengths.first()["avgdl"])
+    scored = weights(p, index.lengths, k1, b).join(rare, "term").join(q, "term")
     return top_k(scored.groupBy("qid", "doc").agg(F.sum(F.col("w") * F.col("idf")).alias("score")), top)
 
 
 def lexical(queries: DataFrame, index: Index, qid: str = "item_id", qtext: str = "text", top: int = 50) -> DataFrame:
     """(qid, doc, score, rk) by the share of the query's distinct terms that the document has."""
-    hits = index.postings.join(query_terms(queries, qid, qtext), "term").groupBy("qid", "doc").agg((F.count("*") / F.greatest(F.first("n"), F.lit(1))).alias("score"))
+    q = query_terms(queries, qid, qtext)
+    if q.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        n = q.groupBy("qid").agg(F.first("n").alias("n"))
+        shares = _ranked(q.select("qid", "term", F.lit(1.0).alias("weight")), index, top).join(n, "qid")
+        return shares.select("qid", "doc", (F.col("score") / F.greatest("n", F.lit(1))).alias("score"), "rk")
+    hits = index.postings.join(q, "term").groupBy("qid", "doc").agg((F.count("*") / F.greatest(F.first("n"), F.lit(1))).alias("score"))
     return top_k(hits, top)
 
 
 def lexical_scores(ranked: DataFrame, queries: DataFrame, index: Index, qid: str = "item_id", qtext: str = "text") -> DataFrame:
-    """ranked with s2, the share of the query's distinct terms that the document has; read from postings, never from texts."""
+    """ranked with s2, the share of the query's distinct terms that the document has; read from the ranked documents' postings, never from texts."""
     asked = ranked.select("qid", "doc").join(query_terms(queries, qid, qtext), "qid")
-    hit = asked.join(index.postings.select("doc", "term"), ["doc", "term"]).groupBy("qid", "doc").agg((F.count("*") / F.first("n")).alias("s2"))
+    own = flat(index.documents.join(ranked.select("doc").distinct(), "doc", "left_semi"))
+    hit = asked.join(own.select("doc", "term"), ["doc", "term"]).groupBy("qid", "doc").agg((F.count("*") / F.first("n")).alias("s2"))
     return ranked.join(hit, ["qid", "doc"], "left").fillna({"s2": 0.0})
 
 
@@ -109,18 +221,21 @@ def lexical_scores(ranked: DataFrame, queries: DataFrame, index: Index, qid: str
 PLAIN_WORD = r"[\p{L}\p{N}]+"
 
 
-def containing(queries: DataFrame, docs: DataFrame, qid: str = "item_id", qtext: str = "text", doc: str = "doc_id", text: str = "text") -> DataFrame:
+def containing(queries: DataFrame, docs: DataFrame, qid: str = "item_id", qtext: str = "text", doc: str = "doc_id", text: str = "text", most: int = 100_000) -> DataFrame:
     """(qid, doc) of the documents whose text holds the query's text.
 
     Documents are looked up by the longest inner word of the query and then compared; only a query
-    without an inner word, of two words or fewer, is compared with every document.
+    without an inner word, of two words or fewer, is compared with every document. Up to ``most`` queries go to the
+    documents, and texts stay where they are; more are joined by word.
     """
     words = F.regexp_extract_all(F.col(qtext), F.lit(PLAIN_WORD), F.lit(0))
     longest = F.array_max(F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     q = queries.select(F.col(qid).alias("qid"), F.col(qtext).alias("q"), longest.alias("word"))
+    few = q.limit(most + 1).count() <= most
     d = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    held = d.select("doc", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PLAIN_WORD), F.lit(0)))).alias("word"))
-    pairs = held.join(q.where("word is not null"), "word").select("qid", "doc", "q").join(d, "doc")
+    held = d.select("doc", *(["text"] if few else []), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PLAIN_WORD), F.lit(0)))).alias("word"))
+    long = q.where("word is not null")
+    pairs = held.join(F.broadcast(long), "word") if few else held.join(long, "word").select("qid", "doc", "q").join(d, "doc")
     short = q.where("word is null").select("qid", "q").join(d, F.contains("text", F.col("q"))).select("qid", "doc")
     return pairs.where(F.contains("text", F.col("q"))).select("qid", "doc").unionByName(short)
 

@@ -19,3 +19,57 @@ def test_best_pairs_are_those_of_all_pairs(spark):
         pairs = K.best_pairs(spark.createDataFrame(src, "src string, sk int"), spark.createDataFrame(dst, "dst string, tk int"), spark.createDataFrame([(*k, v) for k, v in score.items()], "sk int, tk int, score double"), e, most)
         got = K.predicted_edges(pairs, e, most).select("src", "dst", F.round("conf", 9).alias("conf")).collect()
         assert sorted((r["src"], r["dst"]) for r in got) == sorted(x[1:] for x in want)
+
+
+def test_documents_are_ranked_where_they_are_stored(spark, tmp_path):
+    """Ties, repeated ids, null and empty texts; more queries' terms than workers take give the same by joins."""
+    import math
+
+    from lodestar.operators import search as S
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))) for i in range(120)] + [(7, "w1 w1 w2"), (200, None), (201, "")]
+    ask = [(i, " ".join(rng.sample(words, 3))) for i in range(6)] + [(9, "nothing"), (10, "")]
+    S.build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), f"{tmp_path}/index")
+    index, q = S.open_index(spark, f"{tmp_path}/index"), spark.createDataFrame(ask, "item_id long, text string")
+    texts = [t.split() for _, t in docs if t is not None]
+    n, avgdl = index.lengths.select("n_docs", "avgdl").first()
+    assert n == len(docs) and abs(avgdl - sum(map(len, texts)) / len(texts)) < 1e-9
+    held = {}
+    for i, t in docs:
+        held.setdefault(i, []).extend((t or "").split())
+    tf = {(r["doc"], r["term"]): r["tf"] for r in index.postings.collect()}
+    assert tf == {(i, w): t.count(w) for i, t in held.items() for w in set(t)}
+    share = sorted(((a, -round(sum(w in held[i] for w in t.split()) / 3, 9), i) for a, t in ask[:6] for i in held if set(t.split()) & set(held[i])))
+    want = [x for a in range(6) for x in [y for y in share if y[0] == a][:5]]
+    assert sorted((r["qid"], -round(r["score"], 9), r["doc"]) for r in S.lexical(q, index, top=5).collect()) == want
+    few = sorted(map(tuple, S.bm25(q, index, top=5).select("qid", "rk", "doc", F.round("score", 9)).collect()))
+    most, S.MOST_TERMS = S.MOST_TERMS, 0
+    try:
+        assert few == sorted(map(tuple, S.bm25(q, index, top=5).select("qid", "rk", "doc", F.round("score", 9)).collect())) and len(few) == 30
+    finally:
+        S.MOST_TERMS = most
+    assert all(math.isfinite(x[3]) for x in few)
+    plan = S.postings(spark.createDataFrame(docs[:100], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # tokens are counted without a shuffle
+
+
+def test_contained_texts_stay_where_they_are(spark):
+    from lodestar.operators import search as S
+
+    docs = spark.createDataFrame([(1, "say one big word now"), (2, "one bigger word"), (2, "xone big wordy"), (3, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "one big word"), (2, "big"), (3, None)], "item_id long, text string")
+    few = S.containing(q, docs)
+    assert "Exchange hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 2)]
+
+
+def test_links_of_articles_whose_ids_have_seven_digits(spark, tmp_path):
+    from lodestar.plans.intake import doc_link_chunks, doc_link_corpus
+
+    ids = [5, 6, 900005, 999999, 1000000, 1000002, 10000000, 10000001]
+    spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["src_article"], r["dst_article"]): r["src_chunk_id"] for r in doc_link_chunks(spark, str(tmp_path)).collect()}
+    assert got == {(i, j): f"{i:06d}:0:0" for i in ids for j in (i + 1, i - 3) if j in ids}
+    assert {(r["src_article"], r["dst_article"]) for r in doc_link_corpus(spark, str(tmp_path)).collect()} == set(got)
