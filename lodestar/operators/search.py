@@ -366,9 +366,14 @@ def link_names(mentions: DataFrame, names: DataFrame, counts: DataFrame, thresho
     """(mention, node, weight): the nearest node names of each phrase, both as (doc, bucket, w), weighted by rarity.
 
     The join is on hashed tokens, so only names that share one are compared; a node's best alias counts. ``factor`` is for whole questions.
+    Nodes of equal vectors are equally near, so a vector is compared once, and its first ``per_mention`` nodes stand for it.
     """
-    m, n = mentions.select(F.col("doc").alias("mention"), "bucket", F.col("w").alias("wm")), names.select(F.col("doc").alias("node"), "bucket", "w")
-    sim = m.join(n, "bucket").groupBy("mention", "node").agg(F.sum(F.col("wm") * F.col("w")).alias("sim")).where(F.round("sim", 9) >= threshold)
-    top = top_k(sim, per_mention, "sim", "mention", "node")
+    m = mentions.select(F.col("doc").alias("mention"), "bucket", F.col("w").alias("wm"))
+    vectors = names.groupBy(F.col("doc").alias("node")).agg(F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("v"))
+    first = vectors.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("node"))).where(F.col("r") <= per_mention)
+    first = scratch(first.withColumn("kind", F.min("node").over(Window.partitionBy("v"))))
+    n = first.where("r = 1").select("kind", F.explode("v").alias("x")).select("kind", "x.bucket", "x.w")
+    sim = m.join(n, "bucket").groupBy("mention", "kind").agg(F.sum(F.col("wm") * F.col("w")).alias("sim")).where(F.round("sim", 9) >= threshold)
+    top = top_k(sim.join(first.select("kind", "node"), "kind").select("mention", "node", "sim"), per_mention, "sim", "mention", "node")
     rare = 1 / F.ln(2 + F.coalesce("n", F.lit(0)))
     return top.join(counts.select("node", "n"), "node", "left").groupBy("mention", "node").agg(F.max(F.col("sim") * factor * rare).alias("weight"))
