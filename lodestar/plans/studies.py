@@ -90,8 +90,12 @@ def grf_path_text(s, d):
 @query(f"WITH {PATHS}, x AS (SELECT qid, unnest(path) AS node, score FROM pt), m AS (SELECT DISTINCT node, chunk FROM (SELECT src AS node, chunk FROM kg_edges UNION ALL SELECT dst, chunk FROM kg_edges)), c AS (SELECT qid, chunk AS doc, max(score) AS score FROM x JOIN m USING(node) GROUP BY 1,2) SELECT qid, doc, round(score,6) AS score, rk FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score,9) DESC, doc) AS rk FROM c) WHERE rk<=8")
 def ret_s3(s, d):
     e = kg_edges(s, d)
-    m = e.select(F.col("src").alias("node"), "chunk").unionAll(e.select("dst", "chunk")).distinct()
-    c = _paths(s, d).select("qid", "score", F.explode("path").alias("node")).join(m, "node").groupBy("qid", F.col("chunk").alias("doc")).agg(F.max("score").alias("score"))
+    nodes = _paths(s, d).select("qid", "score", F.explode("path").alias("node")).groupBy("qid", "node").agg(F.max("score").alias("score"))
+    asked = nodes.select("node").distinct()
+    m = e.select(F.col("src").alias("node"), "chunk").unionAll(e.select("dst", "chunk")).join(asked, "node", "left_semi").distinct()
+    # chunks of a node score the same, so of each node only the first eight can be among a question's first eight
+    m = m.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("chunk"))).where("r <= 8").drop("r")
+    c = nodes.join(m, "node").groupBy("qid", F.col("chunk").alias("doc")).agg(F.max("score").alias("score"))
     return S.top_k(c, 8).select("qid", "doc", F.round("score", 6).alias("score"), "rk")
 
 

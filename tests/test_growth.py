@@ -73,3 +73,60 @@ def test_links_of_articles_whose_ids_have_seven_digits(spark, tmp_path):
     got = {(r["src_article"], r["dst_article"]): r["src_chunk_id"] for r in doc_link_chunks(spark, str(tmp_path)).collect()}
     assert got == {(i, j): f"{i:06d}:0:0" for i in ids for j in (i + 1, i - 3) if j in ids}
     assert {(r["src_article"], r["dst_article"]) for r in doc_link_corpus(spark, str(tmp_path)).collect()} == set(got)
+
+
+def test_paths_are_those_of_the_whole_beam(spark):
+    """Beams and pruning against the search that goes on with every path, for one seed and several."""
+    from lodestar.operators import knowledge
+
+    rng = random.Random(11)
+    e = [(f"a:{rng.randrange(9)}", rng.choice(["CAUSED_BY", "EXHIBITS", "RUNS"]), f"b:{rng.randrange(7)}", rng.choice([0.05, 0.5, 0.9, 1.0])) for _ in range(70)]
+    seeds = [(1, "a:1", 1.0), (2, "a:2", 0.5), (2, "b:3", 0.9), (3, "b:0", 1.0)]
+    f = {}
+    for a, r, b, c in e:
+        v = max(c, 0.1) * K.RELATION_WEIGHT[r] * 0.8
+        f[a, b] = f[b, a] = max(v, f.get((a, b), 0))
+    want = {}
+    for q in (1, 2, 3):
+        own = {n: w for i, n, w in seeds if i == q}
+        front, found = [(w, [n]) for n, w in own.items()], []
+        for _ in range(3):
+            nxt = [(s * v * (1 + own.get(y, 0)), [*p, y]) for s, p in front for (x, y), v in f.items() if x == p[-1] and y not in p]
+            nxt.sort(key=lambda x: (-round(x[0], 9), ">".join(x[1])))
+            found, front = found + [x for x in nxt if x[1][-1].startswith("b:")], nxt[:8]
+        found.sort(key=lambda x: (-round(x[0], 9), ">".join(x[1])))
+        want |= {(q, i + 1): (p, round(s, 8)) for i, (s, p) in enumerate(found[:4])}
+    written, scratch = [], knowledge.scratch
+    knowledge.scratch = lambda d, **k: written.append(scratch(d, **k)) or written[-1]
+    try:
+        got = K.paths(spark.createDataFrame(e, "src string, rel string, dst string, conf double"), spark.createDataFrame(seeds, "qid int, node string, weight double"), ["b"], beam=8, top=4).collect()
+    finally:
+        knowledge.scratch = scratch
+    assert {(r["qid"], r["rk"]): (r["path"], round(r["score"], 8)) for r in got} == want
+    fronts = [d.where("qid = 1").count() for d in written if "node" in d.columns and "path" in d.columns]
+    assert fronts and min(fronts) < 8  # paths of one seed that can't matter go no further
+
+
+def test_names_of_equal_vectors_are_compared_once(spark):
+    from lodestar.operators import search as S
+
+    names = spark.createDataFrame([(f"n{i:03d}", i % 2, w) for i in range(400) for w in (1.0,)] + [("m", 0, 0.9), ("m", 5, 0.1)], "doc string, bucket int, w double")
+    ask = spark.createDataFrame([("p", 0, 1.0), ("q", 1, 1.0)], "doc string, bucket int, w double")
+    got = S.link_names(ask, names, spark.createDataFrame([("n000", 8)], "node string, n long"))
+    assert sorted((r["mention"], r["node"]) for r in got.collect()) == [("p", "n000"), ("p", "n002"), ("p", "n004"), ("q", "n001"), ("q", "n003"), ("q", "n005")]
+
+
+def test_records_of_one_file_are_dealt_to_tasks(spark):
+    from lodestar.operators import extraction as X
+    from lodestar.plans.intake import GOODS
+
+    record = '{"products":[{"name":"hub","components":["rod","Rod"]}]}'
+    rows = spark.range(300).coalesce(1).select(F.concat(F.lit("c"), "id").alias("chunk"), F.lit(record).alias("record"))
+    most, X.RECORDS = X.RECORDS, 25
+    try:
+        raw = X.relations(rows, GOODS)
+        assert raw.rdd.getNumPartitions() == 12
+        d = X.distinct_relations(raw)
+        assert d._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and d.count() == 300
+    finally:
+        X.RECORDS = most
