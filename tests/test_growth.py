@@ -130,3 +130,22 @@ def test_records_of_one_file_are_dealt_to_tasks(spark):
         assert d._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and d.count() == 300
     finally:
         X.RECORDS = most
+
+
+def test_shared_neighbours_in_pieces_and_tasks(spark):
+    import math
+
+    rng = random.Random(2)
+    e = [(f"a{rng.randrange(8)}", f"b{rng.randrange(9)}") for _ in range(50)] + [("a1", "a1"), ("b1", "a1")]
+    near = {}
+    for a, b in e:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {(a, b): sum(1 / math.log(len(near[m])) for m in near[a] & near[b]) for a in near for b in near if a < b and near[a] & near[b]}
+    sizes, K.LIST, K.TASK = (K.LIST, K.TASK), 2, 5
+    try:
+        got = {(r["a"], r["b"]): r["score"] for r in K.adamic_adar(spark.createDataFrame(e, "src string, dst string")).collect()}
+    finally:
+        K.LIST, K.TASK = sizes
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
