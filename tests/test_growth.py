@@ -149,3 +149,37 @@ def test_shared_neighbours_in_pieces_and_tasks(spark):
     finally:
         K.LIST, K.TASK = sizes
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_walks_share_tables(spark):
+    """Walks in columns of several tables against one by one, with a node that leads nowhere."""
+    rng = random.Random(4)
+    w = {(f"n{rng.randrange(7)}", f"n{rng.randrange(7)}"): rng.random() for _ in range(20)} | {("n1", "end"): 0.5}
+    seeds = [(3, "n1", 1.0), (3, "n2", 3.0), (5, "n3", 1.0), (8, "end", 2.0)]
+    total = {a: sum(v for (x, _), v in w.items() if x == a) for a, _ in w}
+    want = {}
+    for q in (3, 5, 8):
+        t = sum(x[2] for x in seeds if x[0] == q)
+        start = {n: v / t for i, n, v in seeds if i == q}
+        m = dict(start)
+        for _ in range(6):
+            lost = sum(v for n, v in m.items() if n not in total)
+            nxt = {n: v * (0.5 + 0.5 * lost) for n, v in start.items()}
+            for (a, b), v in w.items():
+                if a in m:
+                    nxt[b] = nxt.get(b, 0.0) + 0.5 * m[a] * v / total[a]
+            m = nxt
+        want |= {(q, n): v for n, v in m.items()}
+    most, K.WALKS = K.WALKS, 2
+    try:
+        adj = spark.createDataFrame([(*k, v) for k, v in w.items()], "src string, dst string, w double")
+        s = spark.createDataFrame(seeds, "qid int, node string, weight double")
+        assert [own for own, _ in K.walks(adj, s, rounds=1, tolerance=0)] == [[3, 5], [8]]
+        got = {(r["qid"], r["node"]): r["mass"] for r in K.personalized_pagerank(adj, s, rounds=6, tolerance=0).collect()}
+        docs = spark.createDataFrame([("n1", 1), ("n1", 1), ("n2", 1), ("end", 2)], "node string, doc int")
+        scores = {(r["qid"], r["doc"]): r["score"] for r in K.walk_scores(adj, s, docs, rounds=6, tolerance=0).collect()}
+    finally:
+        K.WALKS = most
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    of = lambda q, *n: sum(want.get((q, x), 0.0) for x in n)
+    assert all(abs(scores.get((q, d), 0.0) - of(q, *n)) < 1e-12 for q in (3, 5, 8) for d, n in ((1, ("n1", "n2")), (2, ("end",))))
